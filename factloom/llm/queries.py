@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _WHERE = {
+    "op9_closed_syncmers": "fingerprint",
     "op7_byte_bpe": "bpe",
 }
 
