@@ -5,12 +5,19 @@ from __future__ import annotations
 from importlib import import_module
 
 _WHERE = {
-    "op9_closed_syncmers": "fingerprint",
+    "op2_quality_rules": "quality_rules",
+    "op6_language_id": "language",
+    "op10_minmax_groups": "minmax",
     "op7_byte_bpe": "bpe",
+    "op9_closed_syncmers": "fingerprint",
 }
 
 ORACLES: dict[str, str] = {}
 
 
+def _lazy(module: str, name: str):
+    return lambda spark, sf_dir: getattr(import_module(f"factloom.llm.{module}"), name)(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {name: getattr(import_module(f"factloom.llm.{module}"), name) for name, module in _WHERE.items()}
+    return {name: _lazy(module, name) for name, module in _WHERE.items()}
