@@ -6,6 +6,7 @@ from importlib import import_module
 
 _WHERE = {
     "op2_quality_rules": "quality_rules",
+    "op5_pivotal_mix": "mixing",
     "op6_language_id": "language",
     "op10_minmax_groups": "minmax",
     "op7_byte_bpe": "bpe",
