@@ -162,6 +162,22 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def recognised(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose language is known with a score of at least `least`."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.priors, model.pieces))
+    key, at = uuid.uuid4().hex, docs.columns.index("text")
+
+    def run(batches):
+        if key not in _models:
+            _models.clear()
+            _models[key] = Model(*sent.value)
+        for batch in batches:
+            found = map(_models[key].predict, batch.column(at).to_pylist())
+            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learned(docs: DataFrame, vocabulary: str | None = None) -> Model:
     """The model of the contract's training fold: ids whose crc32 modulo 5 is not 0."""
     import public_tokenizers

@@ -42,6 +42,7 @@ PERMS, ROWS, BANDS = 80, 5, 32
 SALT = 256
 COUNTERS = 1 << 18
 NULL_ID = -(2**63)
+BROADCAST_IDS = 1_000_000
 _MEMO = 300_000
 
 _rng = np.random.default_rng(20240)
@@ -270,6 +271,24 @@ def groups(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     return out.select(*(F.when(F.col(c) != NULL_ID, F.col(c)).alias(c) if c != "n_shingles" else c for c in out.columns))
 
 
+def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, without those that a smaller id of their group stands for.
+
+    Of rows that repeat an id one stays; rows without an id stay all. Up to BROADCAST_IDS removed ids are
+    broadcast, more are joined by a shuffle.
+    """
+    found = materialize(groups(docs, width, percent), "groups")
+    gone = materialize(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "gone")
+    few = gone.count() <= BROADCAST_IDS
+    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
+    again = materialize(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return kept
+    few = again.count() <= BROADCAST_IDS
+    side = F.broadcast(again) if few else again
+    return kept.join(side, "doc_id", "left_anti").unionByName(kept.join(side, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+
+
 def op10_minmax_groups(spark, sf_dir: str) -> DataFrame:
     found = groups(table(spark, sf_dir, "documents"), width=3, percent=85)
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
