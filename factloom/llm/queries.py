@@ -7,6 +7,7 @@ from importlib import import_module
 _WHERE = {
     "op2_quality_rules": "quality_rules",
     "op3_private_data": "private",
+    "op4_template_text": "html",
     "op5_pivotal_mix": "mixing",
     "op6_language_id": "language",
     "op10_minmax_groups": "minmax",

@@ -5,6 +5,7 @@ import public_tokenizers as P
 import tiktoken
 
 from factloom.llm import bpe, language, minmax, mixing, private
+from factloom.llm.common import materialize
 from tests.llm.test_minmax import brute
 
 
@@ -17,7 +18,7 @@ def test_stages_against_plain_versions(spark):
     model = language.learned(docs)
     kept = {}
     for name, stage in pipeline.STAGES[:4]:
-        out = stage(spark, docs, None).localCheckpoint()
+        out = materialize(stage(spark, docs, None), "test")
         assert out.columns == columns, name
         kept[name], docs = out.collect(), out
     lang = kept["language ID"]
