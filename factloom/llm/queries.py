@@ -12,6 +12,7 @@ _WHERE = {
     "op6_language_id": "language",
     "op10_minmax_groups": "minmax",
     "op7_byte_bpe": "bpe",
+    "op8_recurrent_lm": "lm",
     "op9_closed_syncmers": "fingerprint",
 }
 
