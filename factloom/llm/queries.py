@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _WHERE = {
+    "op1_site_quality": "quality_classifier",
     "op2_quality_rules": "quality_rules",
     "op3_private_data": "private",
     "op4_template_text": "html",
