@@ -215,7 +215,7 @@ def probe_paths(base: Column) -> Column:
     more = F.when(base.endswith(".js"), F.array(*[F.concat(cut("js"), F.lit(x)) for x in (".ts", ".tsx", ".d.ts")]))
     more = more.when(base.endswith(".jsx"), F.array(*[F.concat(cut("jsx"), F.lit(x)) for x in (".tsx", ".ts")]))
     more = more.when(F.element_at(F.split(base, "/"), -1).contains("."), F.array().cast("array<string>"))
-    return F.concat(F.array(base), more.otherwise(F.array(*[F.concat(base, F.lit(x)) for x in PROBES])))
+    return F.when(base.isNotNull(), F.concat(F.array(base), more.otherwise(F.array(*[F.concat(base, F.lit(x)) for x in PROBES]))))
 
 
 def simple_hash(text: Column) -> Column:
