@@ -637,3 +637,135 @@ def _(t):
     out = F.col("direction") == "out"
     section = F.when((F.col("kind") == "calls") & out, "callees").when(F.col("kind") == "calls", "callers").when(out, "references_out").otherwise("references_in")
     return near.select(section.alias("section"), F.when(out, F.col("target_id")).otherwise(F.col("source_id")).alias("other"), "line")
+
+
+# --- more of the same families ---------------------------------------------------
+
+
+@query("s13_hash_table", "select file_path, content_hash, language from p_hash")
+def _(t):
+    return t("p_hash").select("file_path", "content_hash", "language")
+
+
+@query("s14_hash_join", "select n.id, h.content_hash from p_node n left join p_hash h on h.file_path = n.file_path")
+def _(t):
+    return scan.symbol_facts(t("p_node"), t("p_hash")).select("id", F.col("source_hash").alias("content_hash"))
+
+
+@query("p05_kind", f"select {_NODE} from p_node where kind = 'method' and file_path = 'src/n3/building.ts'")
+def _(t):
+    return scan.nodes_where(t("p_node"), kind="method", file_path="src/n3/building.ts").select(NODE)
+
+
+@query("m09_hash_upsert", f"select file_path, case when file_path in ({_PATHS}) then 'new' else content_hash end as content_hash from p_hash union select file_path, 'new' from p_sym where k % 17 = 3")
+def _(t):
+    new = _paths(t).withColumn("content_hash", F.lit("new"))
+    return mutate.upsert(t("p_hash").select("file_path", "content_hash"), new, ["file_path"])
+
+
+@query("m10_remove_file", f"select 'edge' as fact, source_id as what, line from p_edge where file_path not in ({_PATHS}) union all select 'hash', file_path, 0 from p_hash where file_path not in ({_PATHS})")
+def _(t):
+    edges = mutate.delete_keep_incoming(t("p_edge"), _paths(t)).select(F.lit("edge").alias("fact"), F.col("source_id").alias("what"), "line")
+    hashes = mutate.vanished(t("p_hash"), _paths(t)).select(F.lit("hash").alias("fact"), F.col("file_path").alias("what"), F.lit(0).alias("line"))
+    return edges.unionByName(hashes)
+
+
+@query("j03_related_tests", "with t as (select id from p_node where is_test) select distinct t.id from t where exists (select 1 from p_edge e where e.source_id = t.id and e.kind = 'calls' and coalesce(e.confidence, 'static') <> 'heuristic') or exists (select 1 from p_edge e where e.target_id = t.id and e.kind = 'calls' and coalesce(e.confidence, 'static') <> 'heuristic')")
+def _(t):
+    static, tests = graph.static_calls(t("p_edge")), t("p_node").where("is_test").select("id")
+    by = lambda side: tests.join(static.select(F.col(side).alias("id")), "id", "left_semi")
+    return by("source_id").unionByName(by("target_id")).distinct()
+
+
+@query("j07_confirmed", "select e.source_id, e.target_id, e.kind, e.file_path, e.line from p_edge e join p_node a on a.id = e.source_id join p_node b on b.id = e.target_id where e.kind = 'calls' order by e.source_id, e.target_id, e.line limit 50")
+def _(t):
+    ends = t("p_node").select("id")
+    real = t("p_edge").where("kind = 'calls'").join(ends.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ends.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
+    return real.orderBy("source_id", "target_id", "line").limit(50).select(EDGE)
+
+
+@query("j21_reparsed_exclusion", f"select {_NODE} from p_node where file_path not in ({_PATHS})")
+def _(t):
+    return mutate.vanished(t("p_node"), _paths(t)).select(NODE)
+
+
+@query("a01_count_nodes", "select count(*) as n from p_node")
+def _(t):
+    return t("p_node").agg(F.count("*").alias("n"))
+
+
+@query("a03_count_files", "select count(distinct file_path) as n from p_node")
+def _(t):
+    return t("p_node").agg(F.count_distinct("file_path").alias("n"))
+
+
+@query("a06_lang_symbols", "select coalesce(h.language, 'none') as language, count(*) as n from p_node n left join p_hash h on h.file_path = n.file_path group by 1")
+def _(t):
+    joined = t("p_node").join(t("p_hash").select("file_path", "language"), "file_path", "left").withColumn("language", F.coalesce("language", F.lit("none")))
+    return aggregate.counted(joined, "language")
+
+
+@query("a10_unresolved_count", "select count(*) as n from p_edge where kind = 'imports' and target_id like 'module:%'")
+def _(t):
+    return scan.raw_imports(t("p_edge")).agg(F.count("*").alias("n"))
+
+
+@query("t02_prefix_phrases", f"with tok as (select doc_id, i, w from (select doc_id, unnest(a) as w, unnest(range(1, len(a)+1)) as i from (select doc_id, list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') as a from documents) y) z) select a.doc_id, count(*) as tf from tok a join tok b on b.doc_id = a.doc_id and b.i = a.i + 1 where a.w = 'of' and b.w like 'th%' group by a.doc_id")
+def _(t):
+    return text.phrase_hits(text.postings(t("documents"), "doc_id", ["text"]), ["of", "th"], "doc_id")
+
+
+@query("t04_name_tokens", f"select k, concat(case when strpos(trim(replace({_SPLIT}, '_', ' ')), ' ') > 0 then concat(name, ' ', lower(trim(replace({_SPLIT}, '_', ' ')))) else name end, ' Outer ', case when strpos(trim(replace({_SPLIT}, '_', ' ')), ' ') > 0 then concat(name, ' ', lower(trim(replace({_SPLIT}, '_', ' ')))) else name end) as tokens from ({_NAMES}) x")
+def _(t):
+    name = F.expr("case k % 4 when 0 then name when 1 then replace(name, 'handle', 'HTTPHandle') when 2 then concat(lower(name), '_part_', cast(k as string)) else upper(name) end")
+    return t("p_sym").select("k", N.name_tokens(name, F.concat(F.lit("Outer."), name)).alias("tokens"))
+
+
+@query("u01_retained_union", f"select {_NODE} from p_node where file_path not in ({_PATHS}) union select {_NODE} from p_sym where file_path in ({_PATHS})")
+def _(t):
+    kept = mutate.vanished(t("p_node"), _paths(t)).select(NODE)
+    return kept.unionByName(t("p_sym").join(_paths(t), "file_path", "left_semi").select(NODE)).distinct()
+
+
+@query("u02_difference", f"select distinct file_path from p_node where file_path not in ({_PATHS})")
+def _(t):
+    return t("p_node").select("file_path").subtract(_paths(t))
+
+
+@query("f09_alias", _PROBED.split(", l as")[0] + " select okey, base from b")
+def _(t):
+    spec = F.expr(_IMPORT.split("file_path, ", 1)[1].split(" as specifier")[0])
+    return t("p_import").select("okey", N.import_base(F.col("file_path"), spec).alias("base"))
+
+
+@query("f13_anchor", "select k, concat('the-', lower(name), case when k % 2 = 0 then '-a--b' else '-x_y' end) as anchor from p_sym")
+def _(t):
+    title = F.concat(F.lit("  The "), F.col("name"), F.expr("case when k % 2 = 0 then '! a - b' else ' x_y?' end"))
+    return t("p_sym").select("k", N.anchor(title).alias("anchor"))
+
+
+@query("f23_specificity", "select distinct kind, case kind when 'variable' then 0 when 'function' then 2 else 3 end as rank from p_node")
+def _(t):
+    return t("p_node").select("kind", N.specificity(F.col("kind")).alias("rank")).distinct()
+
+
+@query("search_page", f"select {_NODE} from p_node where name = 'Box1' or (name <> 'Box1' and starts_with(lower(name), 'box1')) order by case when name = 'Box1' then 0 else 1 end, file_path, start_line, id limit 20")
+def _(t):
+    found = text.search(t("p_node"), "Box1", ["name"])
+    return found.orderBy("block", "file_path", "start_line", "id").limit(20).select(NODE)
+
+
+@query("outline_page", f"select {_NODE} from p_node v where file_path = 'src/n1/automobile.ts' and (kind <> 'variable' or not exists (select 1 from p_sym s where s.file_path = v.file_path and s.start_line <= v.start_line and s.end_line >= v.end_line)) order by start_line, id limit 20 offset 2")
+def _(t):
+    rows = scan.nodes_where(t("p_node"), file_path="src/n1/automobile.ts")
+    return scan.in_order(structure.top_level(rows, rows)).offset(2).limit(20).select(NODE)
+
+
+@query("path_query", _LEVELS + " select level, count(*) as n from (select id, min(level) as level from b group by id) x group by level")
+def _(t):
+    edges = t("p_edge")
+    found = graph.levels(edges, t("p_node"), _start(t), depth=6)
+    sizes: dict[int, int] = {}
+    for level, _ in found.values():
+        sizes[level] = sizes.get(level, 0) + 1
+    return edges.sparkSession.createDataFrame(sorted(sizes.items()), "level int, n long")
