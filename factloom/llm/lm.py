@@ -35,6 +35,8 @@ VOCAB, CLASSES, HIDDEN = 1024, 32, 8
 STEPS, LANES, RATE = 16, 256, 0.05
 SHARE = 2e-6
 BUFFER = 400_000
+#: Tokens that are scored together.
+TOGETHER = 1_500_000
 END = ""
 _FLUSH = 300_000
 
@@ -163,7 +165,8 @@ class Network:
         if not docs:
             return np.empty(0)
         lengths = np.array([len(d) for d in docs])
-        lanes: list[list[int]] = [[] for _ in range(min(LANES * 2, len(docs)))]
+        width = min(LANES * 2, len(docs), -(-2 * int(lengths.sum()) // int(lengths.max())))  # a long document must not widen all lanes
+        lanes: list[list[int]] = [[] for _ in range(width)]
         load = np.zeros(len(lanes), np.int64)
         for i in np.argsort(-lengths, kind="stable"):
             k = int(load.argmin())
@@ -304,7 +307,7 @@ def scored(docs: DataFrame, held_out) -> DataFrame:
                 out.append((len(ids), int((vocab.counts[known] > 0).sum()), base - len(ids) * vocab.log_base, shared - n_shared * vocab.log_shared, tail))
                 nets.append(vocab.for_network(ids))
                 size += len(ids)
-                if size >= BUFFER or i + 1 == len(batch.column(2)):
+                if size >= TOGETHER or i + 1 == len(batch.column(2)):
                     model = net.score(nets, vocab.end) / math.log(10)
                     yield pa.RecordBatch.from_arrays(
                         [ids_col.slice(first, len(out)), held_col.slice(first, len(out)), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64()), pa.array(model + np.array([x[3] for x in out])), pa.array([x[4] for x in out], pa.list_(pa.string()))],
