@@ -144,9 +144,6 @@ def _(t):
 
 # --- changes -------------------------------------------------------------------
 
-_CHANGED = "select k % 50 as slot, k, id, name, file_path, start_line + 1 as start_line from p_sym where k % 3 = 1"
-
-
 @query(
     "m01_upsert_last_wins",
     "with old as (select k as slot, name, start_line from p_sym), new as (select slot, name, start_line from (select k % 50 as slot, name, start_line + 1 as start_line, row_number() over (partition by k % 50 order by k desc) as n from p_sym where k % 3 = 1) x where n = 1) select slot, name, start_line from old where slot not in (select slot from new) union all select slot, name, start_line from new",
@@ -270,8 +267,7 @@ h as (select doc_id, i, length(regexp_extract(t, '^(#+) ', 1)) as level, trim(rt
 
 
 def _heads(t):
-    spec = _MD.replace("repeat(", "repeat(")
-    of_lines = t("p_md").select("doc_id", "i", F.expr(spec).alias("line"))
+    of_lines = t("p_md").select("doc_id", "i", F.expr(_MD).alias("line"))
     return markdown.headings(of_lines, "doc_id")
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_right
 
 from factloom.functions.names import BUILTIN_TYPES, bounded
 
@@ -137,17 +138,14 @@ _MAPPING = re.compile(r"@(?P<verb>Get|Post|Put|Patch|Delete)Mapping\s*(?P<rest>\
 class _Text:
     def __init__(self, text: str):
         self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
-        self.size = len(text)
 
     def line(self, at: int) -> int:
-        from bisect import bisect_right
-
         return bisect_right(self.starts, at)
 
 
 def _close(text: str, at: int) -> int | None:
     """The end of the braces that open at or after `at`, unless a statement ends first."""
-    depth, i, parens = 0, at, 0
+    depth, parens = 0, 0
     for m in re.compile(r"[{}();]").finditer(text, at):
         c, i = m[0], m.start()
         if c in "()":
@@ -176,7 +174,7 @@ def _comment_above(lines: list[str], line: int) -> str | None:
 
 def _patterned(text: str, language: str) -> list[dict]:
     code, at = blanked(text, language), _Text(text)
-    lines, out, spans = text.split("\n"), [], []
+    lines, out = text.split("\n"), []
     exports = language in _SCRIPT
     classes: list[tuple[int, int]] = []
     if language in _BRACES:
@@ -190,8 +188,6 @@ def _patterned(text: str, language: str) -> list[dict]:
             if name in _NOT_NAMES or kind == "method" and language in _SCRIPT | {"java", "csharp"} and not any(a < m.start("name") < b for a, b in classes):
                 continue
             start = m.start() + len(m[0]) - len(m[0].lstrip())
-            if kind == "variable" and language == "java" and any(a <= start <= b for a, b, _ in spans if _ == "method"):
-                pass
             inside = any(a < start < b for a, b in classes)
             if kind == "function" and inside and language in ("rust", "php", "kotlin", "swift", "scala", "dart", "groovy", "cpp"):
                 kind_here = "method" if language in ("rust", "php", "swift", "cpp") else kind
@@ -213,7 +209,6 @@ def _patterned(text: str, language: str) -> list[dict]:
                     body, i = lines[i].strip() + "\n" + body, i - 1
             module = ".".join([n for a, b, n in modules if a < start < b]) or None
             named.add(m.start("name"))
-            spans.append((start, end or start, kind_here))
             out.append(_fact("node", name, first, kind=kind_here, end_line=max(first, last), start_column=start - at.starts[first - 1], exported=exported, body=bounded(body, BODY_BYTES), doc=_comment_above(lines, first), module=module, match_index=k * 1_000_000 + len(out)))
     for pattern in _IMPORTS.get(language, []):
         source = text if "['" in pattern or '"' in pattern else code
