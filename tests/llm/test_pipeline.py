@@ -4,7 +4,7 @@ import importlib
 import public_tokenizers as P
 import tiktoken
 
-from factloom.llm import bpe, language, minmax, mixing, private
+from factloom.llm import bpe, language, private
 from factloom.llm.common import materialize
 from tests.llm.test_minmax import brute
 
@@ -42,4 +42,3 @@ def test_stages_against_plain_versions(spark):
     for r in pipeline.byte_bpe(spark, docs, None).collect():
         assert list(memoryview(bytes(r["ids"])).cast("I")) == real.encode_ordinary(once[r["doc_id"]])
         assert r["decoded_sha256"] == hashlib.sha256(once[r["doc_id"]].encode()).hexdigest()
-    assert mixing and minmax
