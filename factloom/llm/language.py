@@ -33,7 +33,9 @@ MARK = "▁"
 ALPHA = 0.1
 UNKNOWN = 1e-9
 LONGEST = 12
-_MEMO = 400_000
+#: Words from this length on are scored one by one, with rescaling.
+SHORT = 26
+_MEMO = 1_000_000
 
 letters = re.compile(r"[^\W\d_]+").findall
 
@@ -54,6 +56,8 @@ class Model:
     def __init__(self, langs: list[str], priors: np.ndarray, pieces: dict[str, tuple[float, ...]]):
         self.langs, self.priors, self.pieces = langs, priors, pieces
         self.starts = {p[:i] for p in pieces for i in range(1, len(p) + 1)}
+        self.table = dict.fromkeys(self.starts, -1) | {p: k for k, p in enumerate(pieces)}
+        self.probs = np.array([*pieces.values(), (UNKNOWN,) * len(langs)], np.float64).reshape(len(pieces) + 1, len(langs))
         self.row: dict[str, int] = {}
         self.scores = np.zeros((1024, len(langs)))
 
@@ -79,20 +83,66 @@ class Model:
                     alpha[j] = [a * b for a, b in zip(here, p)] if old is None else [o + a * b for o, a, b in zip(old, here, p)]
         return np.log(np.maximum(alpha[n], 1e-300)) + scale
 
+    def forward_many(self, words: list[str]) -> np.ndarray:
+        """forward() of short words together: pieces are looked up word by word, sums run place by place."""
+        by_start: list[list[int]] = [[] for _ in range(SHORT + 1)]
+        get, unknown = self.table.get, len(self.pieces)
+        for k, word in enumerate(words):
+            s, n, base = MARK + word, len(word) + 1, k << 24
+            for i in range(n):
+                p = get(s[i : i + 1], -2)
+                edges = by_start[i]
+                edges.append(base | (i + 1) << 16 | (p if p >= 0 else unknown))
+                if p == -2:
+                    continue
+                for j in range(i + 2, min(n, i + LONGEST) + 1):
+                    p = get(s[i:j])
+                    if p is None:
+                        break
+                    if p >= 0:
+                        edges.append(base | j << 16 | p)
+        alpha = np.zeros((len(words), SHORT + 2, len(self.langs)))
+        alpha[:, 0] = 1
+        for i, edges in enumerate(by_start):
+            if edges:
+                e = np.array(edges, np.int64)
+                at = e >> 24
+                alpha[at, (e >> 16) & 255] += alpha[at, i] * self.probs[e & 65535]  # a word and end occur once for each start
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        return np.log(np.maximum(alpha[np.arange(len(words)), lengths], 1e-300))
+
+    def learn(self, words: set[str]) -> None:
+        """Puts the words' scores into the memo."""
+        new = [w for w in words if w not in self.row]
+        if len(self.row) + len(new) > _MEMO:
+            self.row.clear()
+            new = list(words)
+        short, long = [w for w in new if len(w) < SHORT], [w for w in new if len(w) >= SHORT]
+        at = len(self.row)
+        while len(self.scores) < at + len(new):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+        for i in range(0, len(short), 5000):
+            self.scores[at + i : at + i + len(short[i : i + 5000])] = self.forward_many(short[i : i + 5000])
+        for i, w in enumerate(long, at + len(short)):
+            self.scores[i] = self.forward(w)
+        self.row.update(zip(short + long, range(at, at + len(new))))
+
     def text_scores(self, words: list[str]) -> np.ndarray:
-        row = self.row
-        if len(row) > _MEMO:
-            row.clear()
-        for w in words:
-            if w not in row:
-                if len(row) == len(self.scores):
-                    self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-                self.scores[len(row)] = self.forward(w)
-                row[w] = len(row)
-        return self.scores[np.fromiter(map(row.__getitem__, words), np.int64, len(words))].sum(axis=0)
+        return self.scores[np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))].sum(axis=0)
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        out = []
+        for i in range(0, len(texts), 500):
+            split = [text_words(t) for t in texts[i : i + 500]]
+            if self.langs:
+                self.learn(set().union(*split))
+            out += map(self.judge, split)
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = text_words(text)
+        return self.predict_all([text])[0]
+
+    def judge(self, words: list[str]) -> tuple[str, float]:
         if not words or not self.langs:
             return "und", 0.0
         x = self.priors + self.text_scores(words)
@@ -156,7 +206,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             _models.clear()
             _models[key] = Model(*sent.value)
         for batch in batches:
-            out = [_models[key].predict(t) for t in batch.column(1).to_pylist()]
+            out = _models[key].predict_all(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -172,7 +222,7 @@ def recognised(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
             _models.clear()
             _models[key] = Model(*sent.value)
         for batch in batches:
-            found = map(_models[key].predict, batch.column(at).to_pylist())
+            found = _models[key].predict_all(batch.column(at).to_pylist())
             yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

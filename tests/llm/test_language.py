@@ -32,6 +32,8 @@ def test_forward_sums_all_segmentations():
     m = model()
     for word in ("a", "b", "ab", "aba", "zab", "abab", "aéb"):
         assert np.allclose(m.forward(word), brute(m, word))
+    words = ["a", "b", "ab", "aba", "zab", "abab", "aéb", "abzzabé"]
+    assert np.allclose(m.forward_many(words), [m.forward(w) for w in words])
 
 
 def test_forward_survives_long_words():
