@@ -21,6 +21,16 @@ def ascii_lower(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(_UPPER)
 
 
+def byte_words(text: str | None) -> list[bytes]:
+    """The words as UTF-8: bytes split at just the six white-space characters."""
+    return text.encode().split() if text else []
+
+
+def lower_byte_words(text: str | None) -> list[bytes]:
+    """The same with A-Z lower-cased, which is all that bytes lower-case."""
+    return text.encode().lower().split() if text else []
+
+
 def ascii_lower_col(column):
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

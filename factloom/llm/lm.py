@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import ascii_lower, find_words, fold, materialize, table
+from factloom.llm.common import fold, lower_byte_words, materialize, table
 
 VOCAB, CLASSES, HIDDEN = 1024, 32, 8
-STEPS, LANES, RATE = 16, 256, 0.05
+STEPS, LANES, RATE = 16, 1024, 0.1
 SHARE = 2e-6
 BUFFER = 400_000
 #: Tokens that are scored together.
@@ -165,7 +165,7 @@ class Network:
         if not docs:
             return np.empty(0)
         lengths = np.array([len(d) for d in docs])
-        width = min(LANES * 2, len(docs), -(-2 * int(lengths.sum()) // int(lengths.max())))  # a long document must not widen all lanes
+        width = min(LANES, len(docs), -(-2 * int(lengths.sum()) // int(lengths.max())))  # a long document must not widen all lanes
         lanes: list[list[int]] = [[] for _ in range(width)]
         load = np.zeros(len(lanes), np.int64)
         for i in np.argsort(-lengths, kind="stable"):
@@ -209,15 +209,14 @@ def token_counts(docs: DataFrame) -> DataFrame:
         sums: Counter = Counter()
 
         def rows():
-            out = pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], ["word", "c"])
+            out = pa.RecordBatch.from_arrays([pa.array(list(sums), pa.binary()).cast(pa.string()), pa.array(list(sums.values()), pa.int64())], ["word", "c"])
             sums.clear()
             return out
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                if text:
-                    sums.update(find_words(ascii_lower(text)))
-                sums[END] += 1
+                sums.update(lower_byte_words(text))
+                sums[END.encode()] += 1
             if len(sums) > _FLUSH:
                 yield rows()
         yield rows()
@@ -225,27 +224,37 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+class _Index(dict):
+    """Places of words; -1 for any other."""
+
+    def __missing__(self, word):
+        return -1
+
+
 class Vocabulary:
     """The broadcast head: index of a word, its count, its id in the network (the shared id is the last)."""
 
     def __init__(self, head: list[tuple[str, int]], total: int, distinct: int):
-        head = sorted(head, key=lambda x: (-x[1], x[0].encode()))
-        top = [x for x in head if x[0] != END][: VOCAB - 1] + [x for x in head if x[0] == END][:1]
-        top = sorted(top if END in dict(top) else [*top, (END, 0)], key=lambda x: (-x[1], x[0].encode()))
+        last = END.encode()
+        head = sorted(((w.encode(), c) for w, c in head), key=lambda x: (-x[1], x[0]))
+        top = [x for x in head if x[0] != last][: VOCAB - 1] + [x for x in head if x[0] == last][:1]
+        top = sorted(top if last in dict(top) else [*top, (last, 0)], key=lambda x: (-x[1], x[0]))
         rest = [x for x in head if x[0] not in dict(top)]
-        self.index = {w: i for i, (w, _) in enumerate(top + rest)}
+        self.index = _Index({w: i for i, (w, _) in enumerate(top + rest)})
         self.counts = np.array([c for _, c in top + rest], np.int64)
-        self.size, self.end = len(top), self.index[END]
+        self.size, self.end = len(top), self.index[last]
         self.total, self.distinct = total, distinct
         shared = total - int(self.counts[: self.size].sum())
         self.log_shared = math.log10(max(1, shared + distinct - self.size + 1))
         self.net_counts = np.append(self.counts[: self.size], shared)
         self.log_base = math.log10(total + distinct + 1)
 
-    def ids(self, text: str | None) -> tuple[list[str], np.ndarray]:
-        words = find_words(ascii_lower(text)) if text else []
-        get = self.index.get
-        return words, np.array([get(w, -1) for w in words] + [self.end], np.int64)
+    def ids(self, text: str | None) -> tuple[list[bytes], np.ndarray]:
+        words = lower_byte_words(text)
+        ids = np.empty(len(words) + 1, np.int64)
+        ids[:-1] = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        ids[-1] = self.end
+        return words, ids
 
     def for_network(self, ids: np.ndarray) -> np.ndarray:
         return np.where((ids < 0) | (ids >= self.size), self.size, ids)
@@ -310,7 +319,7 @@ def scored(docs: DataFrame, held_out) -> DataFrame:
                 if size >= TOGETHER or i + 1 == len(batch.column(2)):
                     model = net.score(nets, vocab.end) / math.log(10)
                     yield pa.RecordBatch.from_arrays(
-                        [ids_col.slice(first, len(out)), held_col.slice(first, len(out)), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64()), pa.array(model + np.array([x[3] for x in out])), pa.array([x[4] for x in out], pa.list_(pa.string()))],
+                        [ids_col.slice(first, len(out)), held_col.slice(first, len(out)), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64()), pa.array(model + np.array([x[3] for x in out])), pa.array([x[4] for x in out], pa.list_(pa.binary())).cast(pa.list_(pa.string()))],
                         ["doc_id", "held_out", "n_tokens", "n_known", "base", "model", "tail"],
                     )
                     out, nets, size, first = [], [], 0, i + 1
