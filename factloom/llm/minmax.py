@@ -11,8 +11,10 @@ probability of (1 - s ** ROWS) ** BANDS: 7e-9 at 0.85, 3e-6 at 0.8.
    costs comparisons in proportion to its members, and those found linked are one component.
 3. What shares a bucket but not yet a component could still be linked through any pair. Those classes are
    matched exactly by prefixes: in an order of shingles from rare to frequent, two sets at the similarity
-   asked for share one of their first n - ceil(s * n) + 1 shingles. Only pairs from different components
-   are compared. The order may come from hashed counters, as any common order is right.
+   asked for share one of the larger's first n - ceil(s * n) + 1 shingles and the smaller's first
+   n - ceil(2 * s / (1 + s) * n) + 1. Shingles that no other set has can't be shared, so a set or pair that
+   has too few others is out. Only pairs from different components are compared. The order may come from
+   hashed counters, as any common order is right.
 
 Every link is confirmed on the two full sets. Components are found by label propagation with pointer
 jumping over tables in the shared folder. A compared pair's centre is copied for every SALT partners, so
@@ -36,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import ascii_lower, find_words, materialize, table
+from factloom.llm.common import lower_byte_words, materialize, table
 
 PERMS, ROWS, BANDS = 80, 5, 32
 SALT = 256
@@ -55,7 +57,7 @@ class _Hashes(dict):
     def __missing__(self, word):
         if len(self) > _MEMO:
             self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word.encode())
+        found = self[word] = xxhash.xxh64_intdigest(word)
         return found
 
 
@@ -69,7 +71,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles."""
-    words = find_words(ascii_lower(text)) if text else []
+    words = lower_byte_words(text)
     n = len(words)
     if not n:
         return np.empty(0, np.uint64)
@@ -219,22 +221,32 @@ def prefix_pairs(texts: DataFrame, comp: DataFrame, width: int, percent: int) ->
 
     def prefixes(batches):
         for batch in batches:
-            docs, keys = [], []
+            out = []
             for doc, s in zip(batch.column(0).to_pylist(), sets(batch)):
-                head = s[np.lexsort((s, sent.value[slot(s)]))][: len(s) + percent * len(s) // -100 + 1]
-                docs += [doc] * len(head)
-                keys.append(head.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))], ["node", "key"])
-
-    rows = texts.select("doc_id", "z").mapInArrow(prefixes, "node long, key long").join(comp, "node")
-    rows = materialize(rows, "prefixes")
+                times = sent.value[slot(s)]
+                n, can = len(s), int((times > 1).sum())  # a counter at 1 is a shingle that no other set has
+                if 100 * can >= percent * n:
+                    order = np.lexsort((s, times))[: n + percent * n // -100 + 1]
+                    out.append((doc, n, can, n + 2 * percent * n // -(100 + percent) + 1, s[order].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in out], pa.int64()) for i in range(4)), pa.array([x[4] for x in out], pa.list_(pa.int64()))], ["node", "n", "can", "brief", "head"])
+
+    heads = materialize(texts.select("doc_id", "z").mapInArrow(prefixes, "node long, n long, can long, brief long, head array<long>").join(comp, "node"), "heads")
+    rows = materialize(heads.select("node", "comp", "n", "can", "brief", F.posexplode("head").alias("at", "key")), "prefixes")
     shared = materialize(rows.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key"), "shared")
-    rows = materialize(rows.join(shared, "key"), "rows")
-    kinds = rows.select("key", "comp").distinct()
-    meet = kinds.withColumnRenamed("comp", "one").join(kinds.withColumnRenamed("comp", "two"), "key").where("one < two")
-    left = rows.select("key", F.col("comp").alias("one"), F.col("node").alias("u"))
-    right = rows.select("key", F.col("comp").alias("two"), F.col("node").alias("c"))
-    return meet.join(left, ["key", "one"]).join(right, ["key", "two"]).select("u", "c").distinct()
+    rows = rows.join(shared, "key")
+    kinds = rows.groupBy("key", "comp").agg(F.min("n").alias("n"), F.max("can").alias("can"), F.max(F.col("at") < F.col("brief")).alias("short"))
+    side = lambda df, k: df.select("key", *[F.col(c).alias(f"{c}{k}") for c in df.columns if c != "key"])
+    enough = (100 + percent) * F.least("can1", "can2") >= percent * (F.col("n1") + F.col("n2"))
+    kinds = materialize(kinds, "kinds")
+    meet = side(kinds, 1).join(side(kinds, 2), "key").where((F.col("comp1") < F.col("comp2")) & enough & (F.col("short1") | F.col("short2"))).select("key", "comp1", "comp2")
+    meet = materialize(meet, "meet")
+    rows = rows.join(meet.select("key").distinct(), "key", "left_semi").select("key", "comp", "node").join(heads.drop("comp"), "node")
+    near = 100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")
+    # a pair comes out once, at its smallest common key
+    less = lambda a, b: F.array_min(F.array_intersect(F.slice(f"head{a}", F.lit(1), F.col(f"brief{a}").cast("int")), f"head{b}"))
+    least = F.when(F.col("n1") <= F.col("n2"), less(1, 2)).otherwise(less(2, 1))
+    both = meet.join(side(rows, 1), ["key", "comp1"]).join(side(rows, 2), ["key", "comp2"]).where(enough & near & (F.col("key") == least))
+    return both.select(F.col("node1").alias("u"), F.col("node2").alias("c")).distinct()
 
 
 def groups(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
