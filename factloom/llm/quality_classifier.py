@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import ascii_lower, find_words, materialize, table
+from factloom.llm.common import lower_byte_words, materialize, table
 from factloom.llm.quality_rules import BUCKETS, SYMBOLS, ngram_buckets, repeated_words
 
 LABELLED = 20_000
@@ -42,7 +42,7 @@ def word_ratios(docs: DataFrame, sample: DataFrame) -> np.ndarray:
         sums = np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
             for text, quality in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if words := find_words(ascii_lower(text or "")):
+                if words := lower_byte_words(text):
                     sums[quality] += np.bincount(ngram_buckets(words)[: len(words)], minlength=BUCKETS)
         used = np.flatnonzero(sums.sum(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(sums[0, used]), pa.array(sums[1, used])], ["bucket", "bad", "good"])
@@ -66,7 +66,7 @@ def measures(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
         for batch in batches:
             out = []
             for text in batch.column(len(rest)).to_pylist():
-                words = find_words(ascii_lower(text or ""))
+                words = lower_byte_words(text)
                 n = max(1, len(words))
                 ratio = float(table[ngram_buckets(words)[: len(words)]].mean()) if words else 0.0
                 out.append((ratio, sum(map((text or "").count, SYMBOLS)) / n, repeated_words(words) / n, float(np.log10(n))))

@@ -21,13 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import ascii_lower, find_words, table
+from factloom.llm.common import byte_words, find_words, lower_byte_words, table
 
 BUCKETS = 1 << 15
 TRUSTED = 100_000
 LAMBDA = 0.5
 THRESHOLD = -0.07
 SYMBOLS = "#*$%&|<>"
+WHITE = " \t\n\v\f\r"
 _MEMO = 300_000
 
 
@@ -35,14 +36,14 @@ class _Hashes(dict):
     def __missing__(self, word):
         if len(self) > _MEMO:
             self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word.encode())
+        found = self[word] = xxhash.xxh64_intdigest(word)
         return found
 
 
 _hashes = _Hashes()
 
 
-def ngram_buckets(words: list[str]) -> np.ndarray:
+def ngram_buckets(words: list[bytes]) -> np.ndarray:
     """A bucket for each word, then BUCKETS plus a bucket for each pair."""
     h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     bits = np.uint64(64 - (BUCKETS.bit_length() - 1))
@@ -50,12 +51,12 @@ def ngram_buckets(words: list[str]) -> np.ndarray:
     return np.concatenate([h >> bits, (pairs >> bits) + np.uint64(BUCKETS)]).astype(np.int64)
 
 
-def repeated_words(words: list[str], width: int = 5) -> int:
+def repeated_words(words: list[bytes], width: int = 5) -> int:
     """Words inside windows of `width` words that the text has twice or more."""
     n = len(words)
     if n <= width:
         return 0
-    known: dict[str, int] = {}
+    known: dict[bytes, int] = {}
     ids = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, n)
     two = np.unique(ids[:-1] * len(known) + ids[1:], return_inverse=True)[1]
     four = np.unique(two[:-2] * (two.max() + 1) + two[2:], return_inverse=True)[1]
@@ -85,7 +86,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, most: int = TRUSTED) -> np.nd
         raw, target = np.zeros(2 * BUCKETS, np.int64), np.zeros(2 * BUCKETS, np.int64)
         for batch in batches:
             for text, trusted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if words := find_words(ascii_lower(text or "")):
+                if words := lower_byte_words(text):
                     found = np.bincount(ngram_buckets(words), minlength=2 * BUCKETS)
                     raw += found
                     if trusted:
@@ -114,11 +115,11 @@ def judge(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD) ->
             out = []
             for text in batch.column(1).to_pylist():
                 text = text or ""
-                words = find_words(text)
+                words = byte_words(text)
                 n, repeated = len(words), repeated_words(words)
                 failed = n < 10 or 100 * repeated > 20 * n
-                llr = float(table[ngram_buckets(find_words(ascii_lower(text)))].mean()) if n else 0.0
-                out.append((n, sum(map(len, words)), sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeated, failed, not failed and llr >= threshold, llr))
+                llr = float(table[ngram_buckets(lower_byte_words(text))].mean()) if n else 0.0
+                out.append((n, len(text) - sum(map(text.count, WHITE)), sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeated, failed, not failed and llr >= threshold, llr))
             columns = list(zip(*out)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, (_, t) in zip(columns, kinds))], ["doc_id", *(k for k, _ in kinds)])
 

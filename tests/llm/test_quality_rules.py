@@ -43,5 +43,5 @@ def test_ratio_tells_target_from_the_rest(spark):
 
 
 def test_buckets_are_in_range():
-    b = q.ngram_buckets(["a", "b", "a"])
+    b = q.ngram_buckets([b"a", b"b", b"a"])
     assert len(b) == 5 and (b[:3] < q.BUCKETS).all() and (b[3:] >= q.BUCKETS).all() and np.unique(b[:3]).size == 2
