@@ -42,7 +42,6 @@ from factloom.llm.common import lower_byte_words, materialize, table
 
 PERMS, ROWS, BANDS = 80, 5, 32
 SALT = 256
-COUNTERS = 1 << 18
 NULL_ID = -(2**63)
 BROADCAST_IDS = 1_000_000
 _MEMO = 300_000
@@ -199,38 +198,27 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 def prefix_pairs(texts: DataFrame, comp: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (u, c) from different components that share a prefix shingle, over the rows of `texts` (doc_id, z)."""
 
-    def sets(batch):
+    def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress
-        return [shingle_set(unpack(z).decode(), width) for z in batch.column(1).to_pylist()]
-
-    def slot(s):
-        return (s >> np.uint64(64 - (COUNTERS.bit_length() - 1))).astype(np.int64)
-
-    def count(batches):
-        sums = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for s in sets(batch):
-                np.add.at(sums, slot(s), 1)
-        used = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(sums[used])], ["slot", "n"])
-
-    table_ = np.zeros(COUNTERS, np.int64)
-    for k, n in texts.select("doc_id", "z").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # COUNTERS rows at most
-        table_[k] = n
-    sent = texts.sparkSession.sparkContext.broadcast(table_)
-
-    def prefixes(batches):
-        for batch in batches:
-            out = []
-            for doc, s in zip(batch.column(0).to_pylist(), sets(batch)):
-                times = sent.value[slot(s)]
-                n, can = len(s), int((times > 1).sum())  # a counter at 1 is a shingle that no other set has
-                if 100 * can >= percent * n:
-                    order = np.lexsort((s, times))[: n + percent * n // -100 + 1]
-                    out.append((doc, n, can, n + 2 * percent * n // -(100 + percent) + 1, s[order].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in out], pa.int64()) for i in range(4)), pa.array([x[4] for x in out], pa.list_(pa.int64()))], ["node", "n", "can", "brief", "head"])
-
-    heads = materialize(texts.select("doc_id", "z").mapInArrow(prefixes, "node long, n long, can long, brief long, head array<long>").join(comp, "node"), "heads")
+            found = [shingle_set(unpack(z).decode(), width) for z in batch.column(1).to_pylist()]
+            sizes = [len(s) for s in found]
+            keys = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
+            spread = lambda x: pa.array(np.repeat(np.array(x, np.int64), sizes))
+            yield pa.RecordBatch.from_arrays([spread(batch.column(0).to_pylist()), spread(sizes), pa.array(keys)], ["node", "n", "key"])
+
+    every = texts.select("doc_id", "z").mapInArrow(run, "node long, n long, key long").dropDuplicates(["node", "key"])
+    every = materialize(every, "shingles")
+    often = every.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = every.join(often, "key").groupBy("node").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "key"))).alias("r"))
+    can, n = F.size("r"), F.col("n")
+    alone = n - can  # shingles that no other set has come first and match nothing
+    length = n - F.ceil(n * percent / 100) + 1 - alone
+    brief = n - F.ceil(n * (2 * percent) / (100 + percent)) + 1 - alone
+    ranked = ranked.where((100 * can >= percent * n) & (length > 0))
+    keys = F.transform(F.slice("r", F.lit(1), length.cast("int")), lambda x: x["key"])
+    heads = ranked.select("node", "n", can.cast("long").alias("can"), F.greatest(brief, F.lit(0)).cast("long").alias("brief"), keys.alias("head"))
+    heads = materialize(heads.join(comp, "node"), "heads")
     rows = materialize(heads.select("node", "comp", "n", "can", "brief", F.posexplode("head").alias("at", "key")), "prefixes")
     shared = materialize(rows.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key"), "shared")
     rows = rows.join(shared, "key")
