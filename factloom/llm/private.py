@@ -138,8 +138,12 @@ def candidates(text: str, taken: list[tuple[str, int, int]]):
 _ROW = "tag string, row long, doc_id long, base string, cue string, shape string, value string, s long, e long, n long"
 
 
+def _digest(text):
+    return F.xxhash64(text)
+
+
 def _scan(docs: DataFrame) -> DataFrame:
-    """One pass: a `doc` row for each document, `seed` and `new` rows for instances, `cue` rows for word counts."""
+    """One pass: a `doc` row for each document (n: the text's digest), `seed` and `new` rows for instances, `cue` rows for word counts."""
 
     def run(batches):
         row, words = TaskContext.get().partitionId() << 33, Counter()
@@ -153,10 +157,10 @@ def _scan(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, text, digest in zip(*(c.to_pylist() for c in batch.columns)):
                 text, row = text or "", row + 1
                 spans = base_spans(text)
-                out.append(("doc", row, doc_id, as_text(spans), None, None, None, None, None, None))
+                out.append(("doc", row, doc_id, as_text(spans), None, None, None, None, None, digest))
                 for _, a, b in spans:
                     if kind := shape(text[a:b]):
                         out.append(("seed", row, doc_id, None, cue_before(text, a), kind, text[a:b], a, b, None))
@@ -168,7 +172,7 @@ def _scan(docs: DataFrame) -> DataFrame:
             yield _rows(out)
         yield _rows(cues())
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _ROW)
+    return docs.select(F.col("doc_id").cast("long"), "text", _digest("text")).mapInArrow(run, _ROW)
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
@@ -197,11 +201,11 @@ def scored_patterns(scan: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def extract(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(`row`, `doc_id`, `base`) of every row and (`row`, `doc_id`, `s`, `e`) of what the patterns found."""
+    """(`row`, `doc_id`, `base`, `digest`) of every row and (`row`, `doc_id`, `s`, `e`) of what the patterns found."""
     scan = materialize(_scan(docs), "scan")
     good = scored_patterns(scan).where((F.col("confidence") >= CONFIDENT) & (F.col("seeds") >= SEEDS)).select("cue", "shape")
     found = materialize(scan.where("tag = 'new'").join(good, ["cue", "shape"]).select("row", "doc_id", "s", "e"), "found")
-    return scan.where("tag = 'doc'").select("row", "doc_id", "base"), found
+    return scan.where("tag = 'doc'").select("row", "doc_id", "base", F.col("n").alias("digest")), found
 
 
 def spans_of(docs: DataFrame) -> DataFrame:
@@ -230,11 +234,16 @@ def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """docs with every base and found span of `text` masked, and `n_chars`, if there is one, to match."""
-    _, found = extract(docs)
-    each = materialize(found.groupBy("doc_id").agg(F.collect_set(F.struct("s", "e")).alias("_found")), "found-of")
+    """docs with every base and found span of `text` masked, and `n_chars`, if there is one, to match.
+
+    Spans follow from the text, so they meet their rows by id (a null one, too) and the text's digest.
+    """
+    base, found = extract(docs)
+    of_text = found.join(base.select("row", F.col("digest").alias("_digest")), "row")
+    each = materialize(of_text.groupBy(F.col("doc_id").alias("_id"), "_digest").agg(F.collect_set(F.struct("s", "e")).alias("_found")), "found-of")
     few = each.count() <= BROADCAST_ROWS
-    joined = docs.join(F.broadcast(each) if few else each, "doc_id", "left").select(*docs.columns, "_found")
+    same = docs["doc_id"].eqNullSafe(each["_id"]) & (_digest(docs["text"]) == each["_digest"])
+    joined = docs.join(F.broadcast(each) if few else each, same, "left").select(*[docs[c] for c in docs.columns], "_found")
     at, schema = docs.columns.index("text"), docs.schema
 
     def run(batches):

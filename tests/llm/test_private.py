@@ -65,3 +65,12 @@ def test_query_and_bootstrap(spark, tmp_path):
     assert clean[12]["text"] is None and clean[10]["n_chars"] == len(clean[10]["text"])
     assert private.masked(docs).columns == docs.columns
     assert private.spans_of(docs.limit(0)).count() == 0
+
+
+def test_found_spans_are_masked_without_an_id(spark):
+    cards = ["4111111111111111", "5500005555555559", "4012888888881881"]
+    rows = [(i, f"pay with acct: {c} now") for i, c in enumerate(cards)]
+    rows += [(None, "pay with acct: 99887766554 now"), (None, "an innocent text, long enough"), (None, None), (7, "acct: 88776655443"), (7, "a text of the same id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["text"] for r in private.masked(docs).collect() if r["doc_id"] in (None, 7)), key=str)
+    assert got == sorted(["pay with acct: <found> now", "an innocent text, long enough", None, "acct: <found>", "a text of the same id"], key=str)
