@@ -1,8 +1,9 @@
 """Main-text extraction by equivalence-class template deduction.
 
 A page is read as tokens: each tag and each text node, qualified by the path of elements around it. A
-token's occurrence vector over the pages of one host is summed into two linear fingerprints, so equal
-vectors meet without any page list. Tokens of one host with equal vectors form an equivalence class; a class
+token's occurrence vector over the distinct pages of one host is summed into two linear fingerprints, so equal
+vectors meet without any page list. Copies of a page have one vote together: each row weighs the inverse of
+their number modulo PRIME, so the sums over all rows are exactly those over distinct pages. Tokens of one host with equal vectors form an equivalence class; a class
 is valid if it is in SUPPORT or more of the host's pages and has two tokens or more. Valid classes nest by
 where they stand: one lies in a slot of another if its tokens fall between two of the other's neighbours.
 The nested classes are the host's template; what a page has beside them fills the template's slots.
@@ -34,6 +35,8 @@ SUPPORT = 0.3
 CONSTANT, FEWEST = 0.9, 10
 #: Template tokens to broadcast at most; beyond, pages are joined with templates by a shuffle.
 BROADCAST_TOKENS = 200_000
+#: Above any count or sum of places of a host; sums of residues of 2**18 tasks stay below 2**63.
+PRIME = 2**45 - 55
 _FLUSH = 150_000
 
 # Fixed values of HTML: elements without content, with raw content, and that start a block.
@@ -138,19 +141,28 @@ def _host():
     return F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
 
 
+def weighted(pages: DataFrame) -> DataFrame:
+    """`host`, `html` and `copies`, the number of the host's rows with the same page."""
+    keyed = pages.select("host", "html", F.xxhash64("html").alias("digest"))
+    repeated = materialize(keyed.groupBy("host", "digest").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
+    few = repeated.count() <= BROADCAST_TOKENS
+    return keyed.join(F.broadcast(repeated) if few else repeated, ["host", "digest"], "left").select("host", "html", F.coalesce("copies", F.lit(1)).alias("copies"))
+
+
 def occurrences(pages: DataFrame) -> DataFrame:
-    """For each host and token: fingerprints f1, f2 of its occurrence vector, pages, times, mean place, whether text."""
+    """For each host and token over distinct pages: fingerprints f1, f2 of its occurrence vector, pages, times, places, whether text."""
 
     def run(batches):
         sums: dict[tuple[str, int], list] = {}
 
         def rows():
-            keys, values = list(sums), list(sums.values())
+            keys, values = list(sums), [[*(x % PRIME for x in v[:5]), v[5]] for v in sums.values()]
             sums.clear()
             return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), *[pa.array([v[i] for v in values], pa.int64()) for i in range(6)]], ["host", "token", "f1", "f2", "pages", "times", "places", "is_text"])
 
         for batch in batches:
-            for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for host, html, copies in zip(*(c.to_pylist() for c in batch.columns)):
+                weight = pow(copies, -1, PRIME)
                 page: dict[int, list] = {-1: [1, 0, 0]}
                 for k, (path, tag, text, _, _) in enumerate(read(html or "")):
                     if tag is None and not (text := tidy(text)):
@@ -162,17 +174,17 @@ def occurrences(pages: DataFrame) -> DataFrame:
                 h1, h2 = digest >> 34, digest & (2**30 - 1)
                 for token, (times, places, is_text) in page.items():
                     s = sums.setdefault((host, token), [0, 0, 0, 0, 0, is_text])
-                    s[0] += h1 * times
-                    s[1] += h2 * times
-                    s[2] += 1
-                    s[3] += times
-                    s[4] += places
+                    s[0] += h1 * times * weight
+                    s[1] += h2 * times * weight
+                    s[2] += weight
+                    s[3] += times * weight
+                    s[4] += places * weight
                 if len(sums) > _FLUSH:
                     yield rows()
         yield rows()
 
-    found = pages.mapInArrow(run, "host string, token long, f1 long, f2 long, pages long, times long, places long, is_text long")
-    return found.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("f1", "f2", "pages", "times", "places")], F.max("is_text").alias("is_text"))
+    found = weighted(pages).mapInArrow(run, "host string, token long, f1 long, f2 long, pages long, times long, places long, is_text long")
+    return found.groupBy("host", "token").agg(*[(F.sum(c) % PRIME).alias(c) for c in ("f1", "f2", "pages", "times", "places")], F.max("is_text").alias("is_text"))
 
 
 def nested(tokens: list[tuple]) -> list[tuple[int, int, int, bool]]:

@@ -36,3 +36,14 @@ def test_template_text_is_left_out(spark, tmp_path):
     assert texts[3] == "Title 3\nbody 3 Home\ntwo & <three>" or texts[3] == "Title 3\nbody 3 Home"
     assert texts[50] == "Lone\nbody\ntwo & <three>" and texts[51] == "" and texts[52] == "" and texts[None] == "x"
     assert html.extracted(df.limit(0)).count() == 0
+
+
+def test_copies_of_a_page_have_one_vote(spark):
+    same = page("Copied", "the one body")
+    rows = [(i, f"http://c.org/{i}", same) for i in range(12)]
+    rows += [(100 + i, f"http://d.org/{i}", same) for i in range(95)] + [(200 + i, f"http://d.org/x{i}", page(f"Other {i}", f"body {i}")) for i in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    texts = {r["page_id"]: r["text"] for r in html.extracted(df).collect()}
+    assert {texts[i] for i in [*range(12), *range(100, 195)]} == {"Copied\nthe one body\ntwo & <three>"}
+    seen = html.occurrences(df.selectExpr("split(url, '/')[2] as host", "html")).where("token = -1").collect()
+    assert {r["host"]: r["pages"] for r in seen} == {"c.org": 1, "d.org": 9}
