@@ -1,12 +1,13 @@
 """Personal data: fixed patterns, and contextual extraction bootstrapped from what they find.
 
-Base spans come from four fixed patterns. They are the seeds: the last word before a seed (its cue) and the
-seed's shape make a lexical pattern. Tokens of an identifier's shape that no base span covers are the
-candidates. Patterns and instances form a graph that Spark scores ROUNDS times: a pattern's confidence is
-the sum of its instances' scores over its cue's occurrences anywhere in the corpus (so a cue that ordinary
-words follow is worth little), and an instance's score is one minus the product of its patterns' doubts,
-seeds staying at 1. Candidates under a pattern with CONFIDENT or more and SEEDS different seeds are found,
-as spans of kind `found` after the base ones.
+Base spans come from four fixed patterns. They are the first seeds: the last word before a seed (its cue), alone
+or with the seed's shape, makes a lexical pattern. Tokens of an identifier's shape that no base span covers, and
+runs of neighbouring tokens that have it together, are the candidates. Patterns and instances form a graph that
+Spark scores ROUNDS times: a pattern's confidence is the sum of its instances' scores over its cue's occurrences
+anywhere in the corpus (so a cue that ordinary words follow is worth little), and an instance's score is one minus
+the product of its cues' doubts, seeds staying at 1. A pattern with CONFIDENT or more and SEEDS different seeds is
+good; instances under a good one become seeds of the next round, whatever their shape, and so make patterns that
+no base span could. Candidates under a good pattern are found, as spans of kind `found` after the base ones.
 
 Cases: a null text counts as empty and has no spans; an empty text likewise; very long runs of one character
 class are matched in linear time; repeated rows and null ids are rows of their own; an empty table gives an
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -28,6 +30,8 @@ from factloom.llm.common import find_words, materialize, table
 ROUNDS = 3
 CONFIDENT = 0.5
 SEEDS = 3
+#: The shape in a pattern of a cue alone.
+ANY = "*"
 PRIOR = 1.0
 #: Spans to broadcast at most; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 100_000
@@ -41,6 +45,7 @@ _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]").finditer
 _digits = re.compile(r"[0-9]").findall
 _token = re.compile(r"[^\x20\x09-\x0D]+").finditer
 _inner = re.compile(r"[0-9A-Za-z+][^\x20\x09-\x0D]*[0-9A-Za-z]").search
+_inner_run = re.compile(r"[0-9A-Za-z].*[0-9A-Za-z]").search
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -117,21 +122,46 @@ def cue_before(text: str, start: int) -> str:
     return ""
 
 
+def key_of(value: str) -> str:
+    """An instance as a key: without white space, and long runs by their digest."""
+    v = "".join(value.split())
+    return v if len(v) <= 64 else blake2b(v.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 _has_id = re.compile(r"[0-9][^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*[0-9]|@").search
+_group = r"\(?(?=[A-Za-z]*+[0-9])[0-9A-Za-z]++(?:[-/.][0-9A-Za-z]++)*+\)?(?=[\x20\x09-\x0D,;.:!?]|\Z)"
+#: Groups with digits, one blank apart; groups of capitals only between them.
+_runs = re.compile(rf"(?<![^\x20\x09-\x0D]){_group}(?:[\x20\x09](?:[A-Z]++[\x20\x09])?{_group})++").finditer
 
 
 def candidates(text: str, taken: list[tuple[str, int, int]]):
-    """(start, end, shape) of identifier-like tokens that no base span touches."""
-    if not _has_id(text):
-        return
+    """(start, end, shape) of identifier-like tokens, and of runs of tokens, that no base span touches."""
     busy = sorted((a, b) for _, a, b in taken)
-    k = 0
-    for m in _token(text):
-        if (value := _inner(m[0])) and (kind := shape(value[0])):
-            a, b = m.start() + value.start(), m.start() + value.end()
+
+    def free():
+        k = 0
+
+        def test(a, b):
+            nonlocal k
             while k < len(busy) and busy[k][1] <= a:
                 k += 1
-            if not any(x < b and y > a for x, y in busy[k : k + 8]):
+            return not any(x < b and y > a for x, y in busy[k : k + 8])
+
+        return test
+
+    if _has_id(text):
+        clear = free()
+        for m in _token(text):
+            if (value := _inner(m[0])) and (kind := shape(value[0])):
+                a, b = m.start() + value.start(), m.start() + value.end()
+                if clear(a, b):
+                    yield a, b, kind
+    clear = free()
+    for m in _runs(text):
+        value = _inner_run(m[0])
+        if (kind := shape(value[0])) and not all(map(shape, value[0].split())):  # else each token is one by itself
+            a, b = m.start() + value.start(), m.start() + value.end()
+            if clear(a, b):
                 yield a, b, kind
 
 
@@ -162,10 +192,9 @@ def _scan(docs: DataFrame) -> DataFrame:
                 spans = base_spans(text)
                 out.append(("doc", row, doc_id, as_text(spans), None, None, None, None, None, digest))
                 for _, a, b in spans:
-                    if kind := shape(text[a:b]):
-                        out.append(("seed", row, doc_id, None, cue_before(text, a), kind, text[a:b], a, b, None))
+                    out.append(("seed", row, doc_id, None, cue_before(text, a), shape(text[a:b]) or "number", key_of(text[a:b]), a, b, None))
                 for a, b, kind in candidates(text, spans):
-                    out.append(("new", row, doc_id, None, cue_before(text, a), kind, text[a:b], a, b, None))
+                    out.append(("new", row, doc_id, None, cue_before(text, a), kind, key_of(text[a:b]), a, b, None))
                 words.update(find_words(text))
             if len(words) > _FLUSH:
                 out += cues()
@@ -181,30 +210,41 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], [n for n, _ in names])
 
 
+def _good():
+    return (F.col("confidence") >= CONFIDENT) & (F.col("seeds") >= SEEDS)
+
+
+def _of_pattern(left, right):
+    return (left["cue"] == right["cue"]) & ((right["shape"] == left["shape"]) | (right["shape"] == ANY))
+
+
 def scored_patterns(scan: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """`cue`, `shape`, `confidence`, `seeds` of the patterns that some seed induced."""
+    """`cue`, `shape` (ANY for the cue alone), `confidence`, `seeds` of the patterns that some seed induced."""
     edges = scan.where("tag in ('seed', 'new') and cue <> ''").groupBy("cue", "shape", "value").agg(F.max((F.col("tag") == "seed").cast("int")).alias("seed"), F.count("*").alias("times"))
     edges = materialize(edges, "edges")
-    induced = edges.groupBy("cue", "shape").agg(F.sum("seed").alias("seeds")).where("seeds > 0")
-    seen = scan.where("tag = 'cue'").groupBy("cue").agg(F.sum("n").alias("seen"))
-    patterns = materialize(induced.join(seen, "cue", "left").select("cue", "shape", "seeds", F.coalesce("seen", F.lit(0)).alias("seen")), "patterns")
+    cues = edges.select("cue").distinct()
+    seen = materialize(scan.where("tag = 'cue'").groupBy("cue").agg(F.sum("n").alias("seen")).join(cues, "cue", "left_semi"), "seen")
     scored = edges.withColumn("score", F.col("seed").cast("double"))
     for k in range(rounds):
-        confidence = scored.groupBy("cue", "shape").agg(F.sum(F.col("score") * F.col("times")).alias("mass"))
-        confidence = patterns.join(confidence, ["cue", "shape"]).withColumn("confidence", F.least(F.lit(1.0), F.col("mass") / (F.greatest("seen", "mass") + PRIOR)))
-        confidence = materialize(confidence, f"confidence-{k}")
+        patterns = scored.withColumn("shape", F.explode(F.array("shape", F.lit(ANY)))).groupBy("cue", "shape").agg(F.sum(F.col("score") * F.col("times")).alias("mass"), F.sum("seed").alias("seeds")).where("seeds > 0")
+        share = F.col("mass") / (F.greatest(F.coalesce("seen", F.lit(0)), "mass") + PRIOR)
+        confidence = materialize(patterns.join(seen, "cue", "left").select("cue", "shape", "seeds", F.least(F.lit(1.0), share).alias("confidence")), f"confidence-{k}")
         if k + 1 < rounds:
-            doubt = edges.join(confidence.select("cue", "shape", "confidence"), ["cue", "shape"])
-            score = doubt.groupBy("value").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))).alias("new"))
-            scored = materialize(edges.join(score, "value", "left").withColumn("score", F.when(F.col("seed") == 1, 1.0).otherwise(F.coalesce("new", F.lit(0.0)))).drop("new"), f"scored-{k}")
+            held = confidence.select("cue", "shape", "confidence", _good().alias("good"))
+            by_cue = edges.join(held, _of_pattern(edges, held)).groupBy("value", edges["cue"]).agg(F.max("confidence").alias("confidence"), F.max("good").alias("good"))
+            new = by_cue.groupBy("value").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))).alias("new"), F.max("good").alias("good"))
+            seed = F.when((F.col("seed") == 1) | F.coalesce("good", F.lit(False)), 1).otherwise(0)
+            score = F.when(F.col("seed") == 1, 1.0).otherwise(F.coalesce("new", F.lit(0.0)))
+            scored = materialize(edges.join(new, "value", "left").withColumn("seed", seed).withColumn("score", score).drop("new", "good"), f"scored-{k}")
     return confidence.select("cue", "shape", "confidence", "seeds")
 
 
 def extract(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(`row`, `doc_id`, `base`, `digest`) of every row and (`row`, `doc_id`, `s`, `e`) of what the patterns found."""
     scan = materialize(_scan(docs), "scan")
-    good = scored_patterns(scan).where((F.col("confidence") >= CONFIDENT) & (F.col("seeds") >= SEEDS)).select("cue", "shape")
-    found = materialize(scan.where("tag = 'new'").join(good, ["cue", "shape"]).select("row", "doc_id", "s", "e"), "found")
+    good = scored_patterns(scan).where(_good()).select("cue", "shape")
+    new = scan.where("tag = 'new'")
+    found = materialize(new.join(good, _of_pattern(new, good), "left_semi").select("row", "doc_id", "s", "e"), "found")
     return scan.where("tag = 'doc'").select("row", "doc_id", "base", F.col("n").alias("digest")), found
 
 

@@ -74,3 +74,27 @@ def test_found_spans_are_masked_without_an_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r["text"] for r in private.masked(docs).collect() if r["doc_id"] in (None, 7)), key=str)
     assert got == sorted(["pay with acct: <found> now", "an innocent text, long enough", None, "acct: <found>", "a text of the same id"], key=str)
+
+
+def test_runs_of_tokens_are_candidates():
+    found = lambda t: [t[a:b] for a, b, _ in private.candidates(t, private.base_spans(t))]
+    assert found("call 555 867 5309, now") == ["555 867 5309"]
+    assert found("IBAN DE89 3704 0044 0532 0130 00.") == ["DE89 3704 0044 0532 0130 00"]
+    assert found("GB29 NWBK 6016 1331 9268 19 IBAN") == ["GB29 NWBK 6016 1331 9268 19"]
+    assert found("(555) 867 5309") == ["555) 867 5309"] and found("in 5 of 12 cases") == []
+    assert found("99887766554 88776655443") == ["99887766554", "88776655443"]
+    for text in ("1 " * 200_000, "A1 " * 100_000 + "é", "A" * 300_000, "1." * 100_000, "1 A " * 100_000):
+        list(private.candidates(text, []))
+
+
+def test_bootstrap_reaches_other_shapes_and_cues(spark):
+    hosts = [f"via host 10.0.0.{i} ok" for i in range(1, 5)] + ["via host 10002000 ok"]
+    cards = [f"pay with acct: {c} now" for c in ("4111111111111111", "5500005555555559", "4012888888881881")]
+    ibans = ["DE89370400440532013000", "GB29NWBK60161331926819", "FR1420041010050500013M02606"]
+    texts = [*hosts, *cards, *(f"pay with acct: {i} now" for i in ibans), *(f"their iban: {i} now" for i in ibans), "their iban: NL91ABNA0417164300 now", "pay with acct: 555 867 5309 now", "nothing like NL91ABNA0417164301 now"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in private.masked(docs).collect()}
+    assert got[4] == "via host <found> ok"
+    assert [got[i] for i in (8, 9, 10, 15)] == ["pay with acct: <found> now"] * 4
+    assert [got[i] for i in (11, 12, 13, 14)] == ["their iban: <found> now"] * 4
+    assert got[16] == texts[16]
