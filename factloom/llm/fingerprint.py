@@ -2,11 +2,11 @@
 
 A k-mer of code points is a closed syncmer when the smallest hash among its inner s-mers stands at its first
 or last place. Whether a k-mer is chosen depends on that k-mer alone, so an edit changes only the anchors
-that overlap it. The fingerprint keeps the SKETCH smallest distinct hashes of a text's chosen k-mers, as
-8 hex digits each, ascending; likeness of two fingerprints is the Dice coefficient that their merged bottom
-sketch estimates, 1 for equal ones and 0 where one alone is empty.
-
-`anchors` gives the chosen k-mers with their positions, for positional matching.
+that overlap it. The fingerprint keeps all chosen k-mers of a text with their positions, in order: base64 of
+the varints of the steps from position to position, then of the upper four bytes of each hash. Two fingerprints
+are matched by position: the first anchor of a hash in one meets the first of that hash in the other, the
+second the second, and so on. Likeness is the Dice coefficient of the matches, 1 for equal fingerprints and 0
+where one alone is empty; matches() gives the positions themselves.
 
 Cases: a null text counts as empty and has the empty fingerprint; a text under K code points, or one
 without a chosen k-mer, has one anchor, the whole text; rows with a null id come before all others; repeated
@@ -16,6 +16,7 @@ itself; an empty table gives an empty table; only the columns named are read.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 
 import numpy as np
@@ -24,9 +25,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-K, S, SKETCH = 20, 10, 128
+K, S = 20, 10
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+_LOW = np.uint64(2**32 - 1)
 
 
 def code_points(text: str) -> np.ndarray:
@@ -77,24 +79,63 @@ def anchors(points: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.
 
 
 def sketch(points: np.ndarray) -> np.ndarray:
-    hashes = np.unique((anchors(points)[1] >> np.uint64(32)).astype(np.uint32))
-    return hashes[:SKETCH]
+    """All anchors in order of position: the position in the upper half, the hash's upper half in the lower."""
+    at, hashes = anchors(points)
+    return at.astype(np.uint64) << np.uint64(32) | hashes >> np.uint64(32)
 
 
 def as_text(x: np.ndarray) -> str:
-    return x.astype(">u4").tobytes().hex()
+    steps = np.diff((x >> np.uint64(32)).astype(np.int64), prepend=0)
+    parts = []
+    for k in range(5):  # a step is below 2**35
+        used = (steps >> 7 * k > 0) | (k == 0)
+        more = steps >> 7 * (k + 1) > 0
+        parts.append(np.where(used, (steps >> 7 * k) & 127 | more << 7, -1))
+        if not more.any():
+            break
+    laid = np.stack(parts, axis=1).ravel()
+    return base64.b64encode(laid[laid >= 0].astype(np.uint8).tobytes() + (x & _LOW).astype(">u4").tobytes()).decode()
+
+
+def from_text(text: str) -> np.ndarray:
+    """The inverse of as_text."""
+    raw = np.frombuffer(base64.b64decode(text), np.uint8)
+    n, at, steps = 0, 0, []
+    while len(raw) - at > 4 * n:  # as many varints as there are hashes behind them
+        step = shift = 0
+        while True:
+            byte = int(raw[at])
+            at += 1
+            step |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                break
+        steps.append(step)
+        n += 1
+    return np.cumsum(np.array(steps, np.uint64), dtype=np.uint64) << np.uint64(32) | np.frombuffer(raw[at:].tobytes(), ">u4").astype(np.uint64)
+
+
+def _keys(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and number of its occurrence as one ascending key each, and the anchors' places in x."""
+    hashes = np.asarray(x, np.uint64) & _LOW
+    order = np.argsort(hashes, kind="stable")
+    hashes = hashes[order]
+    first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(x) else np.empty(0, np.int64)
+    nth = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
+    return hashes << np.uint64(32) | nth.astype(np.uint64), order
+
+
+def matches(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the anchors of a and of b that meet."""
+    (x, i), (y, j) = _keys(a), _keys(b)
+    _, p, q = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    return (a[i[p]] >> np.uint64(32)).astype(np.int64), (b[j[q]] >> np.uint64(32)).astype(np.int64)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    both = np.intersect1d(a, b, assume_unique=True)
-    union = len(a) + len(b) - len(both)
-    if len(a) == SKETCH or len(b) == SKETCH:  # only below the smaller sketch's end are both complete
-        union = min(union, SKETCH)
-        both = both[both <= np.partition(np.union1d(a, b), union - 1)[union - 1]]
-    jaccard = len(both) / union
-    return 2 * jaccard / (1 + jaccard)
+    return 2 * len(np.intersect1d(_keys(a)[0], _keys(b)[0], assume_unique=True)) / (len(a) + len(b))
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -59,3 +59,20 @@ def test_query_against_brute_force(spark, tmp_path):
     assert fp.with_edits(df.limit(0)).count() == 0
     assert fp.with_edits(df.limit(1)).count() == 1
     assert fp.fingerprints(df).count() == len(rows)
+
+
+def test_long_texts_keep_all_anchors():
+    passage = text(20, 1000)
+    a, b = (text(k, 50_000) + passage + text(k + 1, 49_000) for k in (21, 23))
+    x, y, z = (fp.sketch(fp.code_points(t)) for t in (a, b, passage))
+    assert 0.005 < fp.likeness(x, y) < 0.015
+    p, q = fp.matches(z, x)
+    assert len(p) == len(z) and (q - p == 50_000).all()
+    assert len(x) == len(brute(fp.code_points(a)))
+    for one in (x, z, x[:1], x[:0], np.array([5, (2**31 << 32) + 7], np.uint64)):
+        assert fp.from_text(fp.as_text(one)).tolist() == one.tolist()
+
+
+def test_repeated_anchors_count_as_often_as_both_have_them():
+    x, y = (fp.sketch(fp.code_points("the same line again and again\n" * n)) for n in (10, 30))
+    assert 0.4 < fp.likeness(x, y) < 0.6
