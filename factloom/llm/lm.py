@@ -122,11 +122,15 @@ class Network:
     def train(self, stream: np.ndarray, end: int, sums: dict) -> None:
         """One pass of windows over a stream of documents, each closed by end."""
         lanes = max(1, min(LANES, len(stream) // STEPS))
-        length = len(stream) // lanes
-        ids = stream[: lanes * length].reshape(lanes, length).T
+        length, longer = divmod(len(stream), lanes)  # the first `longer` lanes have one token more
+        cut = longer * (length + 1)
+        ids = np.full((length + (longer > 0), lanes), -1)
+        ids[:length, longer:] = stream[cut:].reshape(lanes - longer, length).T
+        if longer:
+            ids[:, :longer] = stream[:cut].reshape(longer, length + 1).T
         prev = np.vstack([np.full((1, lanes), end), ids[:-1]])
         h = np.zeros((lanes, HIDDEN), np.float32)
-        for at in range(0, length, STEPS):
+        for at in range(0, len(ids), STEPS):
             x, y = prev[at : at + STEPS], ids[at : at + STEPS]
             keep = (x != end)[:, :, None].astype(np.float32)
             trace, states = [], []
@@ -137,7 +141,9 @@ class Network:
                 states.append(new)
                 h = new
             learn: dict = {}
-            _, dout = self.output(np.concatenate(states), y.ravel(), learn)
+            real = y.ravel() >= 0
+            dout = np.zeros((x.size, HIDDEN), h.dtype)
+            _, dout[real] = self.output(np.concatenate(states)[real], y.ravel()[real], learn)
             dout = dout.reshape(len(x), lanes, HIDDEN)
             du, dx, later = np.zeros_like(self.w["u"]), np.empty((len(x), lanes, 3 * HIDDEN), np.float32), 0
             for t in range(len(x) - 1, -1, -1):
@@ -154,7 +160,7 @@ class Network:
             seen, starts = np.unique(flat_ids[order], return_index=True)
             learn["u"], learn["x"] = du, np.zeros_like(self.w["x"])
             learn["x"][seen] = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], starts)
-            size = x.size
+            size = int(real.sum())
             for key, v in learn.items():
                 g = v / size
                 sums[key] = sums.get(key, 1e-8) + g * g

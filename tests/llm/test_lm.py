@@ -84,3 +84,12 @@ def test_query_against_plain_counts(spark, tmp_path):
     out = [r for r in got if r["held_out"]]
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
     assert lm.scored(docs.limit(0), lm.fold(lm.F.col("doc_id"), 7) == 2).count() == 0
+
+
+def test_training_reads_every_token(monkeypatch):
+    for size in (1, 15, 17, 100, 1024 * 16 + 1, 1024 * 17 + 1023):
+        n, stream, read = net(), np.random.default_rng(size).integers(0, 41, size), Counter()
+        output = n.output
+        monkeypatch.setattr(n, "output", lambda h, ids, learn=None: read.update(ids.tolist()) or output(h, ids, learn))  # noqa: B023
+        n.train(stream, 0, {})
+        assert read == Counter(stream.tolist())
