@@ -32,7 +32,6 @@ from factloom.llm.common import fold, table
 MARK = "▁"
 ALPHA = 0.1
 UNKNOWN = 1e-9
-LONGEST = 12
 #: Words from this length on are scored one by one, with rescaling.
 SHORT = 26
 _MEMO = 1_000_000
@@ -47,7 +46,7 @@ def text_words(text: str | None) -> list[str]:
 
 def usable(piece: str) -> bool:
     body = piece.removeprefix(MARK)
-    return len(piece) <= LONGEST and (body.isalpha() or piece == MARK) and body == body.lower()
+    return (body.isalpha() or piece == MARK) and body == body.lower()
 
 
 class Model:
@@ -55,6 +54,7 @@ class Model:
 
     def __init__(self, langs: list[str], priors: np.ndarray, pieces: dict[str, tuple[float, ...]]):
         self.langs, self.priors, self.pieces = langs, priors, pieces
+        self.longest = max(map(len, pieces), default=1)
         self.starts = {p[:i] for p in pieces for i in range(1, len(p) + 1)}
         self.table = dict.fromkeys(self.starts, -1) | {p: k for k, p in enumerate(pieces)}
         self.probs = np.array([*pieces.values(), (UNKNOWN,) * len(langs)], np.float64).reshape(len(pieces) + 1, len(langs))
@@ -69,11 +69,11 @@ class Model:
         for i in range(n):
             here = alpha[i]
             if (top := max(here)) < 1e-150:  # rescale all that the coming steps read
-                for j in range(i, min(n, i + LONGEST) + 1):
+                for j in range(i, min(n, i + self.longest) + 1):
                     if alpha[j] is not None:
                         alpha[j] = [a / top for a in alpha[j]]
                 here, scale = alpha[i], scale + np.log(top)
-            for j in range(i + 1, min(n, i + LONGEST) + 1):
+            for j in range(i + 1, min(n, i + self.longest) + 1):
                 part = s[i:j]
                 if part not in self.starts and j > i + 1:
                     break
@@ -95,7 +95,7 @@ class Model:
                 edges.append(base | (i + 1) << 16 | (p if p >= 0 else unknown))
                 if p == -2:
                     continue
-                for j in range(i + 2, min(n, i + LONGEST) + 1):
+                for j in range(i + 2, min(n, i + self.longest) + 1):
                     p = get(s[i:j])
                     if p is None:
                         break

@@ -58,3 +58,11 @@ def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [r["lang_pred"] for r in lang.identify(docs, lang.learned(docs)).collect()] == ["und"]
     assert lang.identify(docs.limit(0), lang.learned(docs.limit(0))).count() == 0
+
+
+def test_long_pieces_count():
+    piece = "▁international"
+    assert lang.usable(piece)
+    model = lang.Model(["a", "b"], np.zeros(2), {piece: (0.25, 0.5), "▁": (0.1, 0.1)})
+    want = np.log([0.25, 0.5])
+    assert np.allclose(model.forward("international"), want) and np.allclose(model.forward_many(["international"])[0], want)
