@@ -5,31 +5,29 @@ two signature values, its minimum and its maximum over the set, so PERMS evaluat
 runs of ROWS values form BANDS band keys. Two sets at the similarity asked for share a band but with a
 probability of (1 - s ** ROWS) ** BANDS: 7e-9 at 0.85, 3e-6 at 0.8.
 
-1. Documents with equal sets form a class; its smallest id stands for it from here on.
-2. Classes that share a band key meet in a bucket. Each class is compared with the smallest id of its
-   buckets, the commonest first, then the others as long as they are in another component. So a bucket
-   costs comparisons in proportion to its members, and those found linked are one component.
-3. What shares a bucket but not yet a component could still be linked through any pair. Those classes are
-   matched exactly by prefixes: in an order of shingles from rare to frequent, two sets at the similarity
-   asked for share one of the larger's first n - ceil(s * n) + 1 shingles and the smaller's first
-   n - ceil(2 * s / (1 + s) * n) + 1. Shingles that no other set has can't be shared, so a set or pair that
-   has too few others is out. Only pairs from different components are compared. The order may come from
-   hashed counters, as any common order is right.
-
-Every link is confirmed on the two full sets. Components are found by label propagation with pointer
-jumping over tables in the shared folder. A compared pair's centre is copied for every SALT partners, so
-no task gets a large group.
-
-Cases: a null or wordless text has the empty set, is linked with nothing and is a component by itself;
-a text with fewer words than a shingle has one element, its whole sequence; rows that repeat an id and its
-text fall together like other copies; a null id is a document of its own, before all others; an empty table
-gives an empty table; columns besides id and text are ignored.
+1. Documents with equal sets form a class, the node of all that follows; its key is the set's digest.
+2. Classes that share a band key meet in a bucket. Each class is held against the centres of its buckets, and
+   the nearest that can be linked is confirmed. So a bucket costs comparisons in proportion to its members.
+3. Buckets that still hold several components are searched in blocks: their classes are dealt into chunks of
+   about CHUNK, and each pair of chunks is a cell that one task scans. Chunks of the bucket's largest
+   component never meet each other. A class hands on its nearest class of another component only, and rounds
+   go on until one merges nothing; a last round then hands on all that is left.
+
+A cell tells apart what can be linked by parity bitmaps: bit i is the parity of the set's hashes that fall on
+i, so two bitmaps differ in no more bits than the sets have unlike elements. Nothing that is linked is lost,
+and what passes is confirmed on the two full sets. Components are found by label propagation with pointer
+jumping over tables in the shared folder. A confirmed pair's centre is copied for every SALT partners.
+
+Cases: a null or wordless text has the empty set, is linked with nothing and is a component by itself, in
+every row; a text with fewer words than a shingle has one element, its whole sequence; rows are told apart by
+id and text, so rows that repeat an id with another text are documents of their own, and rows that repeat
+both fall together like other copies; null ids come before all others, and the id of a component with a
+document without an id is null; an empty table gives an empty table; columns besides id and text are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +36,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import lower_byte_words, materialize, table
+from factloom.llm.common import discard, lower_byte_words, materialize, table
 
 PERMS, ROWS, BANDS = 80, 5, 32
 SALT = 256
-NULL_ID = -(2**63)
+CHUNK = 128
+#: Keys to broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _MEMO = 300_000
 
@@ -101,6 +100,13 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """Parity bitmap of a set, as 64-bit words: the power of two from twice its size on, 256 bits at least."""
+    bits = max(256, 1 << (2 * len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     if not len(a) or not len(b):
         return False
@@ -113,39 +119,86 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def unlike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which each bitmap of a (a row each) differs from each of b; the wider ones are folded first."""
+    while a.shape[1] > b.shape[1]:
+        a = a[:, : a.shape[1] // 2] ^ a[:, a.shape[1] // 2 :]
+    while b.shape[1] > a.shape[1]:
+        b = b[:, : b.shape[1] // 2] ^ b[:, b.shape[1] // 2 :]
+    out = np.zeros((len(a), len(b)), np.int64)
+    for k in range(a.shape[1]):
+        out += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
+    return out
+
+
+def gaps(sizes, bits: list[bytes], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Share of unlike bits for each pair of left and right; infinite for pairs that can't be linked."""
+    out = np.full((len(left), len(right)), np.inf)
+    width = np.array([len(b) for b in bits])
+    for w in np.unique(width[left]):
+        i = np.flatnonzero(width[left] == w)
+        a = np.frombuffer(b"".join(bits[k] for k in left[i]), np.uint64).reshape(len(i), -1)
+        for v in np.unique(width[right]):
+            if not w // 4 < v < w * 4:
+                continue  # sizes that far apart are below any similarity of a half or more
+            j = np.flatnonzero(width[right] == v)
+            b = np.frombuffer(b"".join(bits[k] for k in right[j]), np.uint64).reshape(len(j), -1)
+            n, m = sizes[left[i]][:, None], sizes[right[j]][None, :]
+            d = unlike(a, b)
+            fits = (d * (100 + percent) <= (100 - percent) * (n + m)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            out[np.ix_(i, j)] = np.where(fits, d / (n + m), np.inf)
+    return out
+
+
+def _keyed(docs: DataFrame, *more) -> DataFrame:
+    """A text's two hashes beside it; they stand for the text wherever rows must meet again."""
+    return docs.select(*more, F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
+
+
 def features(docs: DataFrame, width: int) -> DataFrame:
-    """`doc_id`, `n`, `set_id`, `bands`, for every row; one pass."""
+    """`doc_id`, `t1`, `t2`, `n`, `set_id`, `bands`, `bits` for every row; one pass."""
 
     def run(batches):
         for batch in batches:
-            ns, ids, bands = [], [], []
-            for text in batch.column(1).to_pylist():
+            ns, ids, bands, bits = [], [], [], []
+            for text in batch.column(3).to_pylist():
                 s = shingle_set(text, width)
                 ns.append(len(s))
                 ids.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 bands.append(band_keys(signature(s)) if len(s) else np.empty(0, np.int64))
+                bits.append(bitmap(s).tobytes() if len(s) else b"")
             ends = np.cumsum([0, *map(len, bands)]).astype(np.int32)
             flat = np.concatenate(bands) if bands else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "n", "set_id", "bands"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(ns, pa.int64()), pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(bits, pa.binary())],
+                ["doc_id", "t1", "t2", "n", "set_id", "bands", "bits"],
+            )
 
-    return docs.mapInArrow(run, "doc_id long, n long, set_id binary, bands array<long>")
+    return _keyed(docs, "doc_id").mapInArrow(run, "doc_id long, t1 long, t2 long, n long, set_id binary, bands array<long>, bits binary")
 
 
-def _packed(docs: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, z), the compressed text of each wanted (node, t1, t2)."""
+
     def run(batches):
         press = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "z"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([press((t or "").encode()) for t in batch.column("text").to_pylist()], pa.binary())], [*batch.schema.names[:-1], "z"])
 
-    return docs.mapInArrow(run, "doc_id long, z binary")
+    keyed = _keyed(docs)
+    if wanted.count() <= BROADCAST_IDS:
+        found = keyed.join(F.broadcast(wanted), ["t1", "t2"]).select("node", "text").mapInArrow(run, "node binary, z binary")
+    else:
+        found = keyed.mapInArrow(run, "t1 long, t2 long, z binary").join(wanted, ["t1", "t2"]).select("node", "z")
+    return found.dropDuplicates(["node"])
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (u, c) that are linked by their full sets. pairs must be a stored table."""
-    centres = materialize(pairs.groupBy("c").agg(F.ceil(F.count("*") / SALT).alias("salts")), "centres")
-    members = pairs.join(centres, "c").select(F.col("u").alias("doc_id"), "c", F.pmod(F.xxhash64("u"), "salts").alias("salt"))
-    sides = members.join(texts, "doc_id").select("c", "salt", F.lit(1).alias("kind"), "doc_id", "z").unionByName(
-        centres.select(F.col("c").alias("doc_id"), "c", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(texts, "doc_id").select("c", "salt", F.lit(0).alias("kind"), "doc_id", "z")
+    centres = pairs.groupBy("c").agg(F.ceil(F.count("*") / SALT).alias("salts"))
+    members = pairs.join(centres, "c").select(F.col("u").alias("node"), "c", F.pmod(F.xxhash64("u"), "salts").alias("salt"))
+    sides = members.join(texts, "node").select("c", "salt", F.lit(1).alias("kind"), "node", "z").unionByName(
+        centres.select(F.col("c").alias("node"), "c", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(texts, "node").select("c", "salt", F.lit(0).alias("kind"), "node", "z")
     )
 
     def run(batches):
@@ -153,15 +206,15 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
         held, centre = None, None
         for batch in batches:
             out = []
-            for c, salt, kind, doc, z in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for c, salt, kind, node, z in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 s = shingle_set(unpack(z).decode(), width)
                 if kind == 0:
                     held, centre = (c, salt), s
                 elif held == (c, salt) and linked(centre, s, percent):
-                    out.append((doc, c))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["u", "v"])
+                    out.append((node, c))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["u", "v"])
 
-    return sides.repartition("c", "salt").sortWithinPartitions("c", "salt", "kind").mapInArrow(run, "u long, v long")
+    return sides.repartition("c", "salt").sortWithinPartitions("c", "salt", "kind").mapInArrow(run, "u binary, v binary")
 
 
 def components(edges: DataFrame, tag: str = "labels") -> DataFrame:
@@ -173,120 +226,194 @@ def components(edges: DataFrame, tag: str = "labels") -> DataFrame:
         nearer = materialize(labels.join(near, "node").select("node", F.least("comp", "m").alias("comp"), F.col("comp").alias("was")), tag)
         jump = nearer.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
         after = materialize(nearer.join(jump, "comp").select("node", F.col("up").alias("comp"), (F.col("up") != F.col("was")).alias("moved")), tag)
-        labels = after.select("node", "comp")
-        if after.where("moved").isEmpty():
+        discard(labels, nearer)
+        labels = after
+        if labels.where("moved").isEmpty():
+            discard(both)
             return labels
 
 
-def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
-    """comp (node, comp) after more links (u, v) between its nodes."""
-    links = materialize(links, "links")
+def _merged(comp: DataFrame, links: DataFrame) -> DataFrame | None:
+    """comp (node, comp) after more links (u, v) between its nodes; None if they change nothing."""
     name = lambda side: comp.select(F.col("node").alias(side), F.col("comp").alias(f"{side}_c"))
     between = materialize(links.join(name("u"), "u").join(name("v"), "v").where("u_c <> v_c").select(F.col("u_c").alias("u"), F.col("v_c").alias("v")).distinct(), "between")
     if between.isEmpty():
-        return comp
+        discard(between)
+        return None
     found = components(between)
-    return materialize(comp.join(found.select(F.col("node").alias("comp"), F.col("comp").alias("new")), "comp", "left").select("node", F.coalesce("new", "comp").alias("comp")), "comp")
-
+    out = materialize(comp.join(found.select(F.col("node").alias("comp"), F.col("comp").alias("new")), "comp", "left").select("node", F.coalesce("new", "comp").alias("comp")), "comp")
+    discard(between, found, comp)
+    return out
 
-def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs (u, c) whose ends are in different components."""
-    name = lambda side: comp.select(F.col("node").alias(side), F.col("comp").alias(f"{side}_comp"))
-    return pairs.join(name("u"), "u").join(name("c"), "c").where("u_comp <> c_comp").drop("u_comp", "c_comp")
 
+def star_pairs(met: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """(u, c): each class with the nearest of its buckets' centres, if they can be linked."""
+    pairs = met.where("node <> c").select(F.col("node").alias("u"), "c").distinct()
+    side = lambda k: info.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
+    near = 100 * F.least("n_u", "n_c") >= percent * F.greatest("n_u", "n_c")
+    wide = pairs.join(side("u"), "u").join(side("c"), "c").where(near).select("u", "c", "n_u", "n_c", "bits_u", "bits_c")
 
-def prefix_pairs(texts: DataFrame, comp: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (u, c) from different components that share a prefix shingle, over the rows of `texts` (doc_id, z)."""
+    def run(batches):
+        for batch in batches:
+            gap = []
+            for n, m, a, b in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+                d = int(unlike(np.frombuffer(a, np.uint64)[None], np.frombuffer(b, np.uint64)[None])[0, 0])
+                gap.append(d / (n + m) if d * (100 + percent) <= (100 - percent) * (n + m) else None)
+            found = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gap, pa.float64())], ["u", "c", "gap"])
+            yield found.filter(found.column("gap").is_valid())
+
+    return wide.mapInArrow(run, "u binary, c binary, gap double").groupBy("u").agg(F.min_by("c", F.struct("gap", "c")).alias("c"))
+
+
+def _members(met: DataFrame, info: DataFrame, comp: DataFrame) -> DataFrame:
+    """A stored table (band, a, b, at, node, comp, n, bits): the cells (a, b) of chunks of the buckets with several components."""
+    inside = met.select("band", "node").join(comp.select("node", "comp"), "node")
+    sizes = inside.groupBy("band", "comp").agg(F.count("*").alias("k")).groupBy("band")
+    sizes = sizes.agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), F.max("k").alias("most"), F.sum("k").alias("all"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
+    whole = F.col("all") <= CHUNK
+    minor = F.when(whole, 1).otherwise(F.ceil((F.col("all") - F.col("most")) / CHUNK))
+    major = F.when(whole, 0).otherwise(F.ceil(F.col("most") / CHUNK))
+    sizes = materialize(sizes.select("band", "top", minor.cast("long").alias("minor"), major.cast("long").alias("major")), "open")
+    dealt = materialize(inside.join(sizes, "band"), "open-members")
+    discard(sizes)
+    low = (F.col("comp") != F.col("top")) | (F.col("major") == 0)
+    place = F.when(low, F.pmod(F.xxhash64("node"), "minor")).otherwise(F.col("minor") + F.pmod(F.xxhash64("node"), F.greatest("major", F.lit(1))))
+    to = F.sequence(F.lit(0).cast("long"), F.when(low, F.col("minor") + F.col("major")).otherwise(F.col("minor")) - 1)
+    rows = dealt.join(info.select("node", "n", "bits"), "node").select("band", place.alias("at"), F.explode(to).alias("to"), "node", "comp", "n", "bits")
+    cells = materialize(rows.select("band", F.least("at", "to").alias("a"), F.greatest("at", "to").alias("b"), "at", "node", "comp", "n", "bits"), "cells")
+    discard(dealt)
+    return cells
+
+
+def block_pairs(cells: DataFrame, percent: int, every: bool) -> DataFrame:
+    """(u, c) of different components that can be linked: for each u the nearest in all its cells, or every pair."""
+
+    def search(cell: list[tuple]) -> list[tuple]:
+        a, b = cell[0][1:3]
+        at, sizes = np.array([r[3] for r in cell]), np.array([r[6] for r in cell])
+        names: dict = {}
+        comp = np.array([names.setdefault(r[5], len(names)) for r in cell])
+        left, right = np.flatnonzero(at == a), np.flatnonzero(at == b)
+        if len(names) < 2 or not len(left) or not len(right):
+            return []
+        gap = gaps(sizes, [r[7] for r in cell], left, right, percent)
+        gap[comp[left][:, None] == comp[right][None, :]] = np.inf
+        if every:
+            found = [(left[i], right[j], gap[i, j]) for i, j in np.argwhere(np.isfinite(gap)) if a != b or i < j]
+        else:
+            near = gap.argmin(axis=1)
+            found = [(left[i], right[j], gap[i, j]) for i, j in enumerate(near) if np.isfinite(gap[i, j])]
+            if a != b:
+                near = gap.argmin(axis=0)
+                found += [(right[j], left[i], gap[i, j]) for j, i in enumerate(near) if np.isfinite(gap[i, j])]
+        return [(cell[i][4], cell[j][4], float(g)) for i, j, g in found]
 
     def run(batches):
-        unpack = zstandard.ZstdDecompressor().decompress
+        cell: list[tuple] = []
         for batch in batches:
-            found = [shingle_set(unpack(z).decode(), width) for z in batch.column(1).to_pylist()]
-            sizes = [len(s) for s in found]
-            keys = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
-            spread = lambda x: pa.array(np.repeat(np.array(x, np.int64), sizes))
-            yield pa.RecordBatch.from_arrays([spread(batch.column(0).to_pylist()), spread(sizes), pa.array(keys)], ["node", "n", "key"])
-
-    every = texts.select("doc_id", "z").mapInArrow(run, "node long, n long, key long").dropDuplicates(["node", "key"])
-    every = materialize(every, "shingles")
-    often = every.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = every.join(often, "key").groupBy("node").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "key"))).alias("r"))
-    can, n = F.size("r"), F.col("n")
-    alone = n - can  # shingles that no other set has come first and match nothing
-    length = n - F.ceil(n * percent / 100) + 1 - alone
-    brief = n - F.ceil(n * (2 * percent) / (100 + percent)) + 1 - alone
-    ranked = ranked.where((100 * can >= percent * n) & (length > 0))
-    keys = F.transform(F.slice("r", F.lit(1), length.cast("int")), lambda x: x["key"])
-    heads = ranked.select("node", "n", can.cast("long").alias("can"), F.greatest(brief, F.lit(0)).cast("long").alias("brief"), keys.alias("head"))
-    heads = materialize(heads.join(comp, "node"), "heads")
-    rows = materialize(heads.select("node", "comp", "n", "can", "brief", F.posexplode("head").alias("at", "key")), "prefixes")
-    shared = materialize(rows.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key"), "shared")
-    rows = rows.join(shared, "key")
-    kinds = rows.groupBy("key", "comp").agg(F.min("n").alias("n"), F.max("can").alias("can"), F.max(F.col("at") < F.col("brief")).alias("short"))
-    side = lambda df, k: df.select("key", *[F.col(c).alias(f"{c}{k}") for c in df.columns if c != "key"])
-    enough = (100 + percent) * F.least("can1", "can2") >= percent * (F.col("n1") + F.col("n2"))
-    kinds = materialize(kinds, "kinds")
-    meet = side(kinds, 1).join(side(kinds, 2), "key").where((F.col("comp1") < F.col("comp2")) & enough & (F.col("short1") | F.col("short2"))).select("key", "comp1", "comp2")
-    meet = materialize(meet, "meet")
-    rows = rows.join(meet.select("key").distinct(), "key", "left_semi").select("key", "comp", "node").join(heads.drop("comp"), "node")
-    near = 100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")
-    # a pair comes out once, at its smallest common key
-    less = lambda a, b: F.array_min(F.array_intersect(F.slice(f"head{a}", F.lit(1), F.col(f"brief{a}").cast("int")), f"head{b}"))
-    least = F.when(F.col("n1") <= F.col("n2"), less(1, 2)).otherwise(less(2, 1))
-    both = meet.join(side(rows, 1), ["key", "comp1"]).join(side(rows, 2), ["key", "comp2"]).where(enough & near & (F.col("key") == least))
-    return both.select(F.col("node1").alias("u"), F.col("node2").alias("c")).distinct()
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if cell and cell[0][:3] != row[:3]:
+                    out += search(cell)
+                    cell = []
+                cell.append(row)
+            yield _pairs(out)
+        if cell:
+            yield _pairs(search(cell))
+
+    def _pairs(out):
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.float64())], ["u", "c", "gap"])
+
+    found = cells.repartition("band", "a", "b").sortWithinPartitions("band", "a", "b", "at").mapInArrow(run, "u binary, c binary, gap double")
+    if every:
+        return found.select(F.greatest("u", "c").alias("u"), F.least("u", "c").alias("c")).distinct()
+    return found.groupBy("u").agg(F.min_by("c", F.struct("gap", "c")).alias("c"))
+
+
+def _linked_classes(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame | None:
+    """(node, comp) of the classes that share a bucket with others."""
+    banded = classes.select("set_id", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.min("set_id").alias("c"), F.max("set_id").alias("last")).where("c <> last").select("band", "c")
+    met = materialize(banded.join(shared, "band").withColumnRenamed("set_id", "node"), "met")
+    comp = materialize(met.select("node").distinct().withColumn("comp", F.col("node")), "nodes")
+    if comp.isEmpty():
+        return None
+    info = materialize(classes.withColumnRenamed("set_id", "node").join(comp.select("node"), "node").select("node", "n", "bits", "t1", "t2"), "info")
+
+    def confirm(pairs: DataFrame) -> DataFrame | None:
+        """comp after the links among these pairs, or None."""
+        pairs = materialize(pairs, "pairs")
+        ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("c").alias("node"))).distinct()
+        texts = materialize(_texts(docs, info.join(ends, "node").select("node", "t1", "t2")), "texts")
+        links = materialize(confirmed(pairs, texts, width, percent), "links")
+        out = _merged(comp, links)
+        discard(pairs, texts, links)
+        return out
+
+    comp = confirm(star_pairs(met, info, percent)) or comp
+    every = False
+    while True:
+        cells = _members(met, info, comp)
+        pairs = None if cells.isEmpty() else materialize(block_pairs(cells, percent, every), "near")
+        discard(cells)
+        found = None if pairs is None or pairs.isEmpty() else confirm(pairs)
+        discard(pairs)
+        comp = found or comp
+        if pairs is None or every:
+            break
+        every = found is None
+    discard(met, info)
+    return comp
+
+
+def grouped(df: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`doc_id`, `t1`, `t2`, `n` of every row and `head` (has_id, doc_id, t1, t2), the first document of its component."""
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    made = materialize(features(docs, width), "features")
+    one = F.struct(F.col("doc_id").isNotNull().alias("has_id"), "doc_id", "t1", "t2")
+    classes = made.where("n > 0").groupBy("set_id").agg(F.min(one).alias("head"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+    classes = materialize(classes.select("set_id", "head", "n", "bands", "bits", "head.t1", "head.t2"), "classes")
+    comp = _linked_classes(docs, classes, width, percent)
+    heads = classes.select("set_id", "head")
+    if comp is not None:
+        of = heads.join(comp.select(F.col("node").alias("set_id"), "comp"), "set_id")
+        least = of.groupBy("comp").agg(F.min("head").alias("least"))
+        better = of.join(least, "comp").select("set_id", "least")
+        heads = heads.join(better, "set_id", "left").select("set_id", F.coalesce("least", "head").alias("head"))
+    heads = materialize(heads, "heads")
+    out = made.select("doc_id", "t1", "t2", "n", "set_id").join(heads, "set_id", "left").select("doc_id", "t1", "t2", "n", F.coalesce("head", one).alias("head"))
+    out = materialize(out, "grouped")
+    discard(made, classes, comp, heads)
+    return out
 
 
 def groups(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`doc_id`, `n_shingles`, `component_id` for every row."""
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).alias("text"))
-    made = materialize(features(docs, width), "features")
-    classes = made.where("n > 0").groupBy("set_id").agg(F.min(F.struct("doc_id", "n", "bands")).alias("r"))
-    classes = materialize(classes.select("set_id", F.col("r.doc_id").alias("rep"), F.col("r.n").alias("n"), F.col("r.bands").alias("bands")), "classes")
-    banded = classes.select("rep", "n", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("centre"), F.count("*").alias("size")).where("size > 1").select("band", F.col("centre.rep").alias("c"), F.col("centre.n").alias("c_n"))
-    met = materialize(banded.join(shared, "band"), "met")
-    comp = materialize(met.select(F.col("rep").alias("node")).distinct().withColumn("comp", F.col("node")), "nodes")
-    if not comp.isEmpty():
-        wanted = comp.select(F.col("node").alias("doc_id"))
-        texts = materialize(_packed(docs).join(wanted, "doc_id"), "texts")
-        could = met.where((F.col("rep") != F.col("c")) & (100 * F.least("n", "c_n") >= percent * F.greatest("n", "c_n")))
-        pairs = materialize(could.groupBy(F.col("rep").alias("u"), "c").agg(F.count("*").alias("times")), "pairs")
-        check = partial(confirmed, texts=texts, width=width, percent=percent)
-        first = materialize(pairs.groupBy("u").agg(F.max_by("c", F.struct("times", -F.col("c"))).alias("c")), "first")
-        comp = _merged(comp, check(first))
-        rest = materialize(_apart(pairs.join(first, ["u", "c"], "left_anti").select("u", "c"), comp), "rest")
-        if not rest.isEmpty():
-            comp = _merged(comp, check(rest))
-        inside = met.select("band", F.col("rep").alias("node")).join(comp, "node")
-        mixed = inside.groupBy("band").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("band")
-        open_ = materialize(inside.join(mixed, "band").select(F.col("node").alias("doc_id")).distinct(), "open")
-        if not open_.isEmpty():
-            last = prefix_pairs(materialize(texts.join(open_, "doc_id"), "open-texts"), comp, width, percent)
-            last = materialize(last.join(pairs.select("u", "c"), ["u", "c"], "left_anti").join(pairs.select(F.col("c").alias("u"), F.col("u").alias("c")), ["u", "c"], "left_anti"), "last")
-            if not last.isEmpty():
-                comp = _merged(comp, check(last))
-    of_set = materialize(classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("comp", "rep").alias("component_id")), "of-set")
-    out = made.select("doc_id", "n", "set_id").join(of_set, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.select(*(F.when(F.col(c) != NULL_ID, F.col(c)).alias(c) if c != "n_shingles" else c for c in out.columns))
+    return grouped(df, width, percent, id_col, text_col).select("doc_id", F.col("n").alias("n_shingles"), F.col("head.doc_id").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, all columns, without those that a smaller id of their group stands for.
+    """The rows of docs, all columns, one of each component: its smallest id's, null before all others.
 
-    Of rows that repeat an id one stays; rows without an id stay all. Up to BROADCAST_IDS removed ids are
-    broadcast, more are joined by a shuffle.
+    Rows without words stay all. Up to BROADCAST_IDS keys of removed rows are broadcast, more are joined by
+    a shuffle.
     """
-    found = materialize(groups(docs, width, percent), "groups")
-    gone = materialize(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "gone")
-    few = gone.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
-    again = materialize(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    found = grouped(docs, width, percent)
+    key = F.struct("doc_id", "t1", "t2")
+    head = F.struct("head.doc_id", "head.t1", "head.t2")
+    short = lambda df: df.select(F.col("doc_id").alias("_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"))
+    gone = materialize(short(found.where(~key.eqNullSafe(head)).select("doc_id", "t1", "t2").distinct()), "gone")
+    again = materialize(short(found.where((F.col("n") > 0) & key.eqNullSafe(head)).groupBy("doc_id", "t1", "t2").count().where("count > 1")), "again")
+
+    def meet(df, side, how):
+        same = df["doc_id"].cast("long").eqNullSafe(side["_id"]) & (F.xxhash64(df["text"]) == side["_t1"]) & (F.xxhash64(F.lit(1), df["text"]) == side["_t2"])
+        return df.join(F.broadcast(side) if side.count() <= BROADCAST_IDS else side, same, how)
+
+    kept = meet(docs, gone, "left_anti")
     if again.isEmpty():
         return kept
-    few = again.count() <= BROADCAST_IDS
-    side = F.broadcast(again) if few else again
-    return kept.join(side, "doc_id", "left_anti").unionByName(kept.join(side, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    copies = meet(kept, again, "left_semi").withColumn("_1", F.xxhash64("text")).withColumn("_2", F.xxhash64(F.lit(1), "text")).dropDuplicates(["doc_id", "_1", "_2"])
+    return meet(kept, again, "left_anti").unionByName(copies.select(*docs.columns)).select(*docs.columns)
 
 
 def op10_minmax_groups(spark, sf_dir: str) -> DataFrame:

@@ -64,13 +64,67 @@ def test_signature_estimates_similarity():
     assert abs((minmax.signature(a) == minmax.signature(b)).mean() - true) < 0.12
 
 
-def test_prefixes_lose_no_pair(spark):
+def test_bitmaps_lose_no_pair():
+    r = np.random.default_rng(7)
+    hashes = lambda n: r.integers(0, 2**63, n, dtype=np.uint64)
+    sets = [np.unique(hashes(n)) for n in (1, 2, 40, 100, 127, 129, 700)]
+    sets += [np.unique(np.concatenate([s[int(len(s) * cut) :], hashes(more)])) for s in sets for cut in (0.0, 0.05, 0.1, 0.2) for more in (0, 1, len(s) // 10)]
+    sizes, bits = np.array([len(s) for s in sets]), [minmax.bitmap(s).tobytes() for s in sets]
+    every = np.arange(len(sets))
+    for percent in (80, 85):
+        gap = minmax.gaps(sizes, bits, every, every, percent)
+        for i in every:
+            for j in every:
+                unlike = len(np.setxor1d(sets[i], sets[j]))
+                if np.isfinite(gap[i, j]):
+                    assert gap[i, j] * (sizes[i] + sizes[j]) <= unlike + 1e-9
+                else:
+                    assert not minmax.linked(sets[i], sets[j], percent)
+
+
+def test_blocks_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(minmax, "CHUNK", 5)
     rows = [(i, t) for i, t in corpus(3) if t and i is not None]
-    df = minmax._packed(spark.createDataFrame(rows, "doc_id long, text string"))
-    comp = spark.createDataFrame([(d, d) for d, _ in rows], "node long, comp long").distinct()
-    found = {frozenset(map(int, p)) for p in minmax.prefix_pairs(df, comp, 3, 85).collect()}
-    sets = {d: minmax.shingle_set(t, 3) for d, t in rows}
-    for a in sets:
-        for b in sets:
-            if a < b and minmax.linked(sets[a], sets[b], 85):
-                assert frozenset((a, b)) in found
+    made = minmax.features(spark.createDataFrame(rows, "doc_id long, text string"), 3).dropDuplicates(["set_id"])
+    made = minmax.materialize(made.withColumnRenamed("set_id", "node"), "test")
+    met = made.select("node", minmax.F.explode("bands").alias("band"))
+    sets = {bytes(r["node"]): minmax.shingle_set(dict(rows)[r["doc_id"]], 3) for r in made.collect()}
+    bands: dict = {}
+    for r in met.collect():
+        bands.setdefault(r["band"], []).append(bytes(r["node"]))
+    for comp in (minmax.F.col("node"), minmax.F.sha1("node").substr(1, 1).cast("binary")):
+        comps = made.select("node", comp.alias("comp"))
+        of = {bytes(r["node"]): bytes(r["comp"]) for r in comps.collect()}
+        cells = minmax._members(met, made, comps)
+        found = {frozenset(map(bytes, p)) for p in minmax.block_pairs(cells, 85, True).collect()}
+        want = {frozenset((a, b)) for v in bands.values() for a in v for b in v if of[a] != of[b] and minmax.linked(sets[a], sets[b], 85)}
+        assert want and want <= found
+        near = {bytes(u): bytes(c) for u, c in minmax.block_pairs(cells, 85, False).collect()}
+        assert set(near) == {u for p in found for u in p} and all(frozenset(x) in found for x in near.items())
+
+
+def test_null_and_repeated_ids(spark):
+    words = "a b c d e f g h i j k l m n o p q r s t u v w x y z".split()
+    a, b = " ".join(words * 4 + [f"w{i}" for i in range(60)]), " ".join(f"v{i}" for i in range(120))
+    rows = [(None, a), (5, a + " extra"), (6, a + " extra more"), (7, b), (7, "another text altogether"), (8, b + " x"), (9, "another text altogether"), (None, "alone without id"), (None, None), (10, ""), (10, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, minmax.groups(df, 3, 85).collect()), key=key)
+    assert got == sorted(brute(rows, 3, 85), key=key)
+    assert {(d, c) for d, _, c in got} >= {(5, None), (6, None), (8, 7), (9, 7)}
+    kept = sorted(map(tuple, minmax.deduplicated(df, 3, 85).collect()), key=key)
+    assert kept == sorted([(None, a), (7, b), (7, "another text altogether"), (None, "alone without id"), (None, None), (10, ""), (10, "")], key=key)
+
+
+def test_long_texts_and_large_groups(spark):
+    r = random.Random(4)
+    long = [f"w{r.randrange(5000)}" for _ in range(60_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:59_000])), (3, " ".join(long[:30_000]))]
+    base = [f"b{i}" for i in range(60)]
+    for i in range(400):  # a large group whose members differ in a word or two
+        w = list(base)
+        for _ in range(2):
+            w[r.randrange(60)] = f"x{r.randrange(40)}"
+        rows.append((10 + i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, minmax.groups(df, 3, 85).collect()), key=key)
+    assert got == sorted(brute(rows, 3, 85), key=key)
