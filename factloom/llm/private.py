@@ -17,6 +17,7 @@ empty table; columns besides id and text are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from hashlib import blake2b
 
@@ -35,7 +36,8 @@ ANY = "*"
 PRIOR = 1.0
 #: Spans to broadcast at most; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 100_000
-_FLUSH = 300_000
+#: Words that a task counts, and rows that it gathers, before it sends them on.
+_FLUSH, _ROWS = 100_000, 10_000
 
 _domain = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+").match
 _local_end = re.compile(r"[A-Za-z0-9._%+-]+\Z").search
@@ -113,13 +115,33 @@ def cue_of(word: str) -> str:
     return w[a:b]
 
 
-def cue_before(text: str, start: int) -> str:
-    """The nearest of the three words before `start` that is a cue."""
-    low = max(0, start - 120)
-    for w in reversed(find_words(text[low:start])[-3:]):
-        if c := cue_of(w):
-            return c[-60:]
-    return ""
+def cues_before(text: str, starts: list[tuple[int, int]]) -> list[str]:
+    """For each (start, end) in order, the nearest of the three words before it that is a cue, else ''.
+
+    Words end at white space and at the ends of earlier spans, so all walks together stay linear.
+    """
+    places = [m.span() for m in _token(text)] if starts else []
+    begins, known, out, last = [a for a, _ in places], {}, [], 0
+
+    def whole(k: int) -> str:
+        if k not in known:
+            known[k] = bounded_cue(text[slice(*places[k])])
+        return known[k]
+
+    for start, end in starts:
+        k = bisect_right(begins, start) - 1
+        own = text[max(last, begins[k]) : start] if k >= 0 else ""
+        near = [bounded_cue(own)] if own else []
+        near += (whole(j) for j in range(k - 1, max(-1, k - 4 + len(near)), -1))
+        out.append(next(filter(None, near), ""))
+        last = max(last, end)
+    return out
+
+
+def bounded_cue(word: str) -> str:
+    """The cue of a word; a very long one by its digest."""
+    c = cue_of(word)
+    return c if len(c) <= 64 else blake2b(c.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
 def key_of(value: str) -> str:
@@ -178,36 +200,46 @@ def _scan(docs: DataFrame) -> DataFrame:
     def run(batches):
         row, words = TaskContext.get().partitionId() << 33, Counter()
 
-        def cues():
-            sums = Counter()
-            for w, n in words.items():
-                sums[cue_of(w)[-60:]] += n
-            words.clear()
-            return [("cue", None, None, None, c, None, None, None, None, n) for c, n in sums.items() if c]
+        def cues() -> pa.RecordBatch:
+            sums: Counter = Counter()
+            while words:
+                w, n = words.popitem()
+                sums[bounded_cue(w)] += n
+            sums.pop("", None)
+            return _columns({"tag": ["cue"] * len(sums), "cue": list(sums), "n": list(sums.values())}, len(sums))
 
         for batch in batches:
-            out = []
+            out: list[tuple] = []
             for doc_id, text, digest in zip(*(c.to_pylist() for c in batch.columns)):
                 text, row = text or "", row + 1
                 spans = base_spans(text)
                 out.append(("doc", row, doc_id, as_text(spans), None, None, None, None, None, digest))
-                for _, a, b in spans:
-                    out.append(("seed", row, doc_id, None, cue_before(text, a), shape(text[a:b]) or "number", key_of(text[a:b]), a, b, None))
-                for a, b, kind in candidates(text, spans):
-                    out.append(("new", row, doc_id, None, cue_before(text, a), kind, key_of(text[a:b]), a, b, None))
+                new = list(candidates(text, spans))
+                every = sorted([("seed", a, b, shape(text[a:b]) or "number") for _, a, b in spans] + [("new", a, b, kind) for a, b, kind in new], key=lambda x: x[1:3])
+                for (tag, a, b, kind), cue in zip(every, cues_before(text, [x[1:3] for x in every])):
+                    out.append((tag, row, doc_id, None, cue, kind, key_of(text[a:b]), a, b, None))
                 words.update(find_words(text))
-            if len(words) > _FLUSH:
-                out += cues()
+                if len(out) >= _ROWS:
+                    yield _rows(out)
+                    out = []
+                if len(words) > _FLUSH:
+                    yield cues()
             yield _rows(out)
-        yield _rows(cues())
+        yield cues()
 
     return docs.select(F.col("doc_id").cast("long"), "text", _digest("text")).mapInArrow(run, _ROW)
 
 
+_NAMES = [x.split()[0] for x in _ROW.split(", ")]
+_KINDS = [pa.string() if x.endswith("string") else pa.int64() for x in _ROW.split(", ")]
+
+
+def _columns(given: dict[str, list], n: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(given[c], t) if c in given else pa.nulls(n, t) for c, t in zip(_NAMES, _KINDS)], _NAMES)
+
+
 def _rows(out: list[tuple]) -> pa.RecordBatch:
-    names = [x.split() for x in _ROW.split(", ")]
-    kinds = [pa.string() if t == "string" else pa.int64() for _, t in names]
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], [n for n, _ in names])
+    return _columns({c: [x[i] for x in out] for i, c in enumerate(_NAMES)}, len(out))
 
 
 def _good():

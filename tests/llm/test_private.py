@@ -98,3 +98,72 @@ def test_bootstrap_reaches_other_shapes_and_cues(spark):
     assert [got[i] for i in (8, 9, 10, 15)] == ["pay with acct: <found> now"] * 4
     assert [got[i] for i in (11, 12, 13, 14)] == ["their iban: <found> now"] * 4
     assert got[16] == texts[16]
+
+
+def test_cues_have_no_window():
+    cue = lambda t, *spans: private.cues_before(t, list(spans))
+    assert cue("acct: 123", (6, 9)) == ["acct"] and cue("123", (0, 3)) == [""] and cue("", ) == []
+    far = "Acct:" + " " * 5000 + "123"
+    assert cue(far, (5005, 5008)) == ["acct"]
+    assert cue("a -- .. 123", (8, 11)) == ["a"] and cue("a -- .. !! 123", (11, 14)) == [""]
+    assert cue("acct:123,456", (5, 8), (9, 12)) == ["acct", ""]
+    one, two = cue("x" * 500 + " 1234567 " + "y" + "x" * 499 + " 1234568", (501, 508), (1010, 1017))
+    assert one != two and len(one) == len(two) == 32
+    for text in ("1.2.3.4," * 50_000, "a" * 400_000 + " 1.2.3.4" * 20_000, "\n" * 400_000 + "1.2.3.4"):
+        spans = [(a, b) for _, a, b in private.base_spans(text)]
+        assert len(private.cues_before(text, spans)) == len(spans)
+
+
+def plain_scores(texts, rounds):
+    """The pattern scores by dictionaries, from the definition."""
+    edges, seen = {}, {}
+    for t in texts:
+        spans = private.base_spans(t)
+        every = sorted([(a, b, private.shape(t[a:b]) or "number", 1) for _, a, b in spans] + [(a, b, k, 0) for a, b, k in private.candidates(t, spans)])
+        for (a, b, kind, seed), c in zip(every, private.cues_before(t, [x[:2] for x in every])):
+            if c:
+                old = edges.get((c, kind, private.key_of(t[a:b])), [0, 0])
+                edges[c, kind, private.key_of(t[a:b])] = [max(old[0], seed), old[1] + 1]
+        for w in private.find_words(t):
+            seen[private.bounded_cue(w)] = seen.get(private.bounded_cue(w), 0) + 1
+    seeds = {e: v[0] for e, v in edges.items()}
+    score = {e: float(v[0]) for e, v in edges.items()}
+    for k in range(rounds):
+        mass, held = {}, {}
+        for (c, kind, v), (_, times) in edges.items():
+            for p in ((c, kind), (c, private.ANY)):
+                mass[p] = mass.get(p, 0) + score[c, kind, v] * times
+                held[p] = held.get(p, 0) + seeds[c, kind, v]
+        conf = {p: min(1, m / (max(seen.get(p[0], 0), m) + private.PRIOR)) for p, m in mass.items() if held[p]}
+        good = {p for p in conf if conf[p] >= private.CONFIDENT and held[p] >= private.SEEDS}
+        if k + 1 < rounds:
+            by = {}
+            for c, kind, v in edges:
+                for p in ((c, kind), (c, private.ANY)):
+                    if p in conf:
+                        d = by.setdefault(v, {})
+                        d[c] = max(d.get(c, 0), conf[p])
+                        d[None] = d.get(None, False) or p in good
+            for e in edges:
+                d = by.get(e[2], {})
+                seeds[e] = 1 if seeds[e] or d.get(None) else 0
+                doubt = 1.0
+                for c, x in d.items():
+                    doubt *= max(1 - x, 1e-6) if c is not None else 1
+                score[e] = 1.0 if seeds[e] else (1 - doubt if d else 0.0)
+    return {(c, kind): (conf[c, kind], held[c, kind]) for c, kind in conf}
+
+
+def test_pattern_scores_against_plain_ones(spark):
+    r = random.Random(3)
+    cards = ["4111111111111111", "5500005555555559", "4012888888881881", "6011000990139424", "a@b.co", "c@d.org", "10.0.0.7"]
+    other = [f"AB{r.randrange(10**6):06d}X" for _ in range(8)] + [str(r.randrange(10**8, 10**9)) for _ in range(8)]
+    cues = ["acct:", "Card", "iban", "ref", "the", "mail"]
+    texts = [" ".join(r.choice([r.choice(cues), f"{r.choice(cues)} {r.choice(cards + other)}", "the"]) for _ in range(r.randint(0, 12))) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scan = private.materialize(private._scan(docs), "test")
+    for rounds in (1, 3):
+        got = {(x["cue"], x["shape"]): (x["confidence"], x["seeds"]) for x in private.scored_patterns(scan, rounds).collect()}
+        want = plain_scores(texts, rounds)
+        assert set(got) == set(want) and len(got) > 5
+        assert all(abs(got[p][0] - want[p][0]) < 1e-9 and got[p][1] == want[p][1] for p in got)
