@@ -138,12 +138,15 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFr
 
 
 def blended(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, each as often as the mix takes it."""
+    """The rows of docs, all columns, each as often as the mix takes it.
+
+    Decisions are as many as documents, so they are never broadcast: both sides are shuffled, at any size.
+    """
     names = docs.columns
     take = materialize(mixed(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies")), "take")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (size == F.col("_size"))
-    return docs.join(take, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)
+    return docs.join(take.hint("merge"), same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)
 
 
 def op5_pivotal_mix(spark, sf_dir: str) -> DataFrame:
