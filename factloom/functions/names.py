@@ -219,10 +219,10 @@ def probe_paths(base: Column) -> Column:
 
 
 def simple_hash(text: Column) -> Column:
-    """31 * h + c over UTF-16 units in 32 bits, in base 36 with a sign. For text inside the first plane."""
+    """31 * h + c over UTF-16 units in 32 bits, in base 36 with a sign."""
     wrap = lambda h: F.pmod(h + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
-    units = F.filter(F.split(text, ""), lambda c: c != "")
-    h = F.aggregate(units, F.lit(0).cast("long"), lambda h, c: wrap(h * 31 + F.ascii(c).cast("long")))
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("...."), 0)
+    h = F.aggregate(units, F.lit(0).cast("long"), lambda h, c: wrap(h * 31 + F.conv(c, 16, 10).cast("long")))
     return F.lower(F.conv(h.cast("string"), 10, -36))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,6 +15,12 @@ def counted(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n"))
 
 
+def by_language(nodes: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Nodes by the language of their file, `none` where it has no hash."""
+    joined = nodes.select("file_path").join(hashes.select("file_path", "language"), "file_path", "left")
+    return counted(joined.select(F.coalesce("language", F.lit("none")).alias("language")), "language")
+
+
 def unresolved_report(refs: DataFrame, samples: int = 20) -> DataFrame:
     """The first `samples` references in order, each with the number of all and whether more follow."""
     top = refs.orderBy("file_path", "line", "specifier").limit(samples)
@@ -33,6 +39,8 @@ def candidate_counts(sites: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     return sites.join(n, "target_name").select(key, "target_name", "candidate_count")
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "place") -> DataFrame:
-    """Rows with their place in a total order; for pages and reports, not for whole corpora."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+def report(nodes: DataFrame, edges: DataFrame, files: DataFrame, unresolved: DataFrame) -> DataFrame:
+    """The counts of a repository as rows (`fact`, `label`, `n`)."""
+    part = lambda df, fact, label: counted(df.select(F.col(label).alias("label")), "label").select(F.lit(fact).alias("fact"), "label", "n")
+    lost = unresolved.agg(F.count("*").alias("n")).select(F.lit("unresolved").alias("fact"), F.lit("import").alias("label"), "n")
+    return part(nodes, "symbols", "kind").unionByName(part(edges, "relationships", "kind")).unionByName(part(files, "files", "language")).unionByName(lost)

@@ -25,9 +25,11 @@ def headings(of_lines: DataFrame, key: str = "file_path") -> DataFrame:
 
 def sections(heads: DataFrame, totals: DataFrame, key: str = "file_path") -> DataFrame:
     """heads (key, i, level) with `end_line`, the line before the next heading of its level or above, else the last (`n` of totals)."""
-    n = heads.select(F.col(key).alias("_k"), F.col("i").alias("_i"), F.col("level").alias("_l"))
-    later = (F.col("_k") == F.col(key)) & (F.col("_i") > F.col("i")) & (F.col("_l") <= F.col("level"))
-    ends = heads.join(n, later, "left").groupBy(key, "i", "level").agg((F.min("_i") - 1).alias("_end"))
+    w = Window.partitionBy(key).orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
+    end = F.lit(None).cast("int")
+    for k in range(6, 0, -1):
+        end = F.when(F.col("level") == k, F.min(F.when(F.col("level") <= k, F.col("i"))).over(w) - 1).otherwise(end)
+    ends = heads.select(key, "i", "level", end.alias("_end"))
     return ends.join(totals, key).select(key, "i", "level", F.coalesce("_end", "n").alias("end_line"))
 
 

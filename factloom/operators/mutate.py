@@ -57,3 +57,23 @@ def changed_names(*tables: DataFrame) -> DataFrame:
     for t in tables[1:]:
         out = out.unionByName(t.select("name"))
     return out.distinct()
+
+
+def remove_files(edges: DataFrame, hashes: DataFrame, unresolved: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges, hashes and unresolved references without what the files hold; edges from elsewhere stay."""
+    return delete_keep_incoming(edges, paths), vanished(hashes, paths), vanished(unresolved, paths)
+
+
+def replace_unresolved(old: DataFrame, paths: DataFrame, new: DataFrame) -> DataFrame:
+    """Unresolved references with those of the files replaced; rows alike count once."""
+    return vanished(old, paths).unionByName(new).distinct()
+
+
+def retained(old: DataFrame, paths: DataFrame, new: DataFrame) -> DataFrame:
+    """What other files hold and what the files hold now, rows alike once."""
+    return vanished(old, paths).unionByName(new.join(paths.select("file_path"), "file_path", "left_semi").select(old.columns)).distinct()
+
+
+def exact_first(exact: DataFrame, more: DataFrame) -> DataFrame:
+    """exact and those of more that it lacks, by id."""
+    return exact.unionByName(more.join(exact.select("id"), "id", "left_anti").select(exact.columns))

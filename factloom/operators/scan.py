@@ -34,6 +34,19 @@ def raw_imports(edges: DataFrame) -> DataFrame:
     return edges.where((F.col("kind") == "imports") & F.col("target_id").startswith("module:"))
 
 
+def unresolved(edges: DataFrame) -> DataFrame:
+    """(source_id, specifier, file_path, line) of the imports that are still specifiers."""
+    return raw_imports(edges).select("source_id", F.expr("substring(target_id, 8)").alias("specifier"), "file_path", "line")
+
+
+def excluded(nodes: DataFrame, names: list[str]) -> DataFrame:
+    return nodes.where(~F.col("name").isin(names))
+
+
+def hash_table(hashes: DataFrame) -> DataFrame:
+    return hashes.select("file_path", "content_hash", "language")
+
+
 def out_edges(edges: DataFrame, sources: DataFrame, kind: str | None = None) -> DataFrame:
     """Edges whose source is in `sources` (id)."""
     found = edges if kind is None else edges.where(F.col("kind") == kind)

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.names import CALLABLES, CONTAINERS, specificity
+from factloom.functions.names import BUILTIN_TYPES, CALLABLES, CONTAINERS, specificity
+
+#: Bin widths as powers of two; a range goes to the narrowest that is as long as itself, so it lies in two bins at most.
+WIDTHS = range(3, 32, 3)
 
 
 def first_of(df: DataFrame, key: list[str], *order) -> DataFrame:
@@ -19,10 +22,23 @@ def kind_dedup(captures: DataFrame) -> DataFrame:
 
 
 def _around(inner: DataFrame, outer: DataFrame, kinds: list[str], left: bool = False) -> DataFrame:
-    """Pairs of a row and the nodes of the kinds whose lines cover it (outer columns start with o_)."""
+    """Pairs of a row and the nodes of the kinds whose lines cover it (outer columns start with o_).
+
+    Rows meet by file and bin of lines, so what a large file costs follows from what covers what, not from the
+    square of its nodes. With left, a row comes out once for each width besides.
+    """
     o = outer.where(F.col("kind").isin(kinds)).select(*[F.col(c).alias(f"o_{c}") for c in ("id", "name", "file_path", "start_line", "end_line")])
-    covers = (F.col("o_file_path") == F.col("file_path")) & (F.col("o_start_line") <= F.col("start_line")) & (F.col("o_end_line") >= F.col("end_line")) & (F.col("o_id") != F.col("id").cast("string"))
-    return inner.join(o, covers, "left" if left else "inner")
+    width = F.lit(WIDTHS[-1])
+    for w in reversed(WIDTHS[:-1]):
+        width = F.when(F.col("o_end_line") - F.col("o_start_line") < 1 << w, w).otherwise(width)
+    o = o.withColumn("o_width", width)
+    first, last = (F.expr(f"shiftright(o_{c}, o_width)") for c in ("start_line", "end_line"))
+    o = o.where("o_end_line >= o_start_line").withColumn("o_bin", F.explode(F.sequence(first, last)))
+    bins = F.explode(F.array(*[F.struct(F.lit(w).alias("w"), F.shiftright("start_line", w).alias("b")) for w in WIDTHS]))
+    spots = inner.withColumn("_at", bins)
+    covers = (F.col("o_file_path") == F.col("file_path")) & (F.col("o_width") == F.col("_at.w")) & (F.col("o_bin") == F.col("_at.b"))
+    covers = covers & (F.col("o_start_line") <= F.col("start_line")) & (F.col("o_end_line") >= F.col("end_line")) & (F.col("o_id") != F.col("id").cast("string"))
+    return spots.join(o, covers, "left" if left else "inner").drop("_at", "o_width", "o_bin")
 
 
 def qualified_names(nodes: DataFrame) -> DataFrame:
@@ -59,9 +75,9 @@ def first_enclosing(sites: DataFrame, nodes: DataFrame, key: str, kinds: list[st
 
 def top_level(nodes: DataFrame, scopes: DataFrame) -> DataFrame:
     """Without the variables inside another function or method of their file."""
-    s = scopes.where(F.col("kind").isin(CALLABLES)).select(*[F.col(c).alias(f"s_{c}") for c in ("id", "file_path", "start_line", "end_line")])
-    inside = (F.col("s_file_path") == F.col("file_path")) & (F.col("s_id") != F.col("id")) & (F.col("s_start_line") <= F.col("start_line")) & (F.col("s_end_line") >= F.col("end_line")) & (F.col("kind") == "variable")
-    return nodes.join(s, inside, "left_anti")
+    inside = _around(nodes.where("kind = 'variable'").select("id", "file_path", "start_line", "end_line"), scopes, CALLABLES)
+    place = ["id", "file_path", "start_line", "end_line"]
+    return nodes.join(inside.select(*place, F.lit("variable").alias("kind")).distinct(), [*place, "kind"], "left_anti").select(nodes.columns)
 
 
 def endpoint_handlers(endpoints: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -71,6 +87,11 @@ def endpoint_handlers(endpoints: DataFrame, nodes: DataFrame) -> DataFrame:
     return wanted.join(callables, "name").select("source_id", "target_id").distinct().withColumn("confidence", F.lit("heuristic"))
 
 
+def type_references(mentions: DataFrame) -> DataFrame:
+    """Mentions (target_name) of types that are not built in."""
+    return mentions.where(~F.col("target_name").isin(sorted(BUILTIN_TYPES)))
+
+
 def excerpt_lines(lines: DataFrame, most: int) -> DataFrame:
     """Whole lines (key, i, line) from the first on while their bytes, a newline each, stay within `most`."""
     so_far = F.sum(F.octet_length("line") + 1).over(Window.partitionBy("key").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.names import folded, search_terms
+from factloom.functions.names import search_terms
+from factloom.functions.storage import materialize
 
 K1, B = 1.2, 0.75
 
@@ -41,10 +43,27 @@ def postings(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return each.select(key, F.col("f.col").alias("col"), F.posexplode("f.terms").alias("pos", "term"))
 
 
-def corpus(posted: DataFrame, rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(key, len) of every row and one row (n, average)."""
-    length = rows.select(key).join(posted.groupBy(key).agg(F.count("*").alias("len")), key, "left").fillna(0, ["len"])
-    return length, length.agg(F.count("*").alias("n"), F.avg("len").alias("average"))
+class Index(NamedTuple):
+    """An inverted index: `postings` (term, key, col, pos) in ranges of terms, `lengths` (key, len), `stats` (n, average)."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    stats: DataFrame
+
+
+def index(rows: DataFrame, key: str, columns: list[str]) -> Index:
+    """One shuffle, by ranges of terms, so that a stored index is read for the terms of a query alone."""
+    posted = postings(rows, key, columns).select("term", key, "col", "pos")
+    ranged = posted.repartitionByRange("term").sortWithinPartitions("term", key)
+    count = sum((F.size(search_terms(F.coalesce(F.col(c), F.lit("")))) for c in columns), F.lit(0))
+    lengths = rows.select(key, count.cast("long").alias("len"))
+    return Index(ranged, lengths, lengths.agg(F.count("*").alias("n"), F.avg("len").alias("average")))
+
+
+def stored(made: Index, tag: str = "index") -> Index:
+    """The index as tables of the shared folder."""
+    lengths = materialize(made.lengths, f"{tag}-lengths")
+    return Index(materialize(made.postings, f"{tag}-postings"), lengths, materialize(lengths.agg(F.count("*").alias("n"), F.avg("len").alias("average")), f"{tag}-stats"))
 
 
 def phrase_hits(posted: DataFrame, phrase: list[str], key: str) -> DataFrame:
@@ -58,32 +77,35 @@ def phrase_hits(posted: DataFrame, phrase: list[str], key: str) -> DataFrame:
     return out.groupBy(key).agg(F.count("*").alias("tf"))
 
 
-def ranked(rows: DataFrame, query: str, key: str, columns: list[str]) -> DataFrame:
+def ranked(found: Index, query: str, key: str) -> DataFrame:
     """(key, score) of rows that match every phrase; the smaller score is the better, rounded to 6 places."""
     wanted = phrases(query)
-    posted = postings(rows, key, columns)
-    length, stats = corpus(posted, rows, key)
     out = None
     for k, phrase in enumerate(wanted):
-        hits = phrase_hits(posted, phrase, key)
+        hits = phrase_hits(found.postings, phrase, key)
         df = hits.agg(F.count("*").alias("df"))
         idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-        weighed = hits.join(length, key).crossJoin(F.broadcast(stats.crossJoin(df)))
+        weighed = hits.join(found.lengths, key).crossJoin(F.broadcast(found.stats.crossJoin(df)))
         part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("average")))
         one = weighed.select(key, part.alias(f"_s{k}"))
         out = one if out is None else out.join(one, key)
     if out is None:
-        return rows.select(key).limit(0).withColumn("score", F.lit(0.0))
+        return found.lengths.select(key).limit(0).withColumn("score", F.lit(0.0))
     total = sum((F.col(f"_s{k}") for k in range(1, len(wanted))), F.col("_s0"))
     return out.select(key, F.round(-total, 6).alias("score"))
 
 
-def search(nodes: DataFrame, query: str, columns: list[str]) -> DataFrame:
-    """nodes with `block` and `place`: names alike first, in the query's order, then the rest by rank."""
+def exact(nodes: DataFrame, query: str) -> DataFrame:
+    """Nodes that have one of the query's names, with `place`, the number of that name."""
     names = exact_names(query)
     place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("name"))
-    first = nodes.where(F.col("name").isin(names)).select("*", F.lit(0).alias("block"), place.cast("double").alias("place"))
-    rest = nodes.join(ranked(nodes, query, "id", columns), "id").where(~F.col("name").isin(names))
+    return nodes.where(F.col("name").isin(names)).select("*", F.lit(0).alias("block"), place.cast("double").alias("place"))
+
+
+def search(nodes: DataFrame, found: Index, query: str) -> DataFrame:
+    """nodes with `block` and `place`: names alike first, in the query's order, then the rest by rank."""
+    first = exact(nodes, query)
+    rest = nodes.join(ranked(found, query, "id"), "id").where(~F.col("name").isin(exact_names(query)))
     return first.unionByName(rest.withColumn("block", F.lit(1)).withColumnRenamed("score", "place").select(first.columns))
 
 
@@ -92,5 +114,3 @@ def term_counts(rows: DataFrame, key: str, column: str) -> DataFrame:
     terms = rows.select(key, F.explode(search_terms(F.col(column))).alias("term"))
     return terms.groupBy("term", key).agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
 
-
-__all__ = ["corpus", "exact_names", "folded", "is_anchor", "phrases", "phrase_hits", "postings", "query_tokens", "ranked", "search", "term_counts"]

@@ -97,7 +97,7 @@ def _(t):
 
 @query("s12_unresolved", "select source_id, substr(target_id, 8, 100) as specifier, file_path, line from p_edge where kind = 'imports' and target_id like 'module:%' order by file_path, line, specifier")
 def _(t):
-    return scan.raw_imports(t("p_edge")).select("source_id", F.substring("target_id", 8, 100).alias("specifier"), "file_path", "line").orderBy("file_path", "line", "specifier")
+    return scan.unresolved(t("p_edge")).orderBy("file_path", "line", "specifier")
 
 
 # --- projections and filters ---------------------------------------------------
@@ -133,7 +133,7 @@ def _(t):
 
 @query("p10_name_exclusion", f"select {_NODE} from p_node where name not in ('handleBuilding13', 'Box1', 'Box2')")
 def _(t):
-    return t("p_node").where(~F.col("name").isin("handleBuilding13", "Box1", "Box2")).select(NODE)
+    return scan.excluded(t("p_node"), ["handleBuilding13", "Box1", "Box2"]).select(NODE)
 
 
 @query("p12_excerpt_lines", "select key, i, bytes_so_far from (select doc_id as key, i, cast(sum(octet_length(encode(line)) + 1) over (partition by doc_id order by i) as bigint) as bytes_so_far from p_lines) x where bytes_so_far <= 4096")
@@ -251,13 +251,13 @@ def _(t):
 )
 def _(t):
     name = F.expr("case when okey % 5 = 0 then 'string' when okey % 5 = 1 then 'Promise' else target_name end")
-    return t("p_call").select("file_path", "line", name.alias("target_name")).where(~F.col("target_name").isin(sorted(N.BUILTIN_TYPES)))
+    return structure.type_references(t("p_call").select("file_path", "line", name.alias("target_name")))
 
 
-@query("x22_endpoint_handlers", "select distinct concat('endpoint:', cast(e.event_id as varchar(20))) as source_id, s.id as target_id, 'heuristic' as confidence from events e join p_sym s on s.name in (concat('handleBuilding', cast(e.event_id % 97 as varchar(20))), concat('handleMachinery', cast(e.user_id % 97 as varchar(20)))) where e.event_id % 20 = 0")
+@query("x22_endpoint_handlers", "select distinct concat('endpoint:', cast(e.event_id as varchar(20))) as source_id, s.id as target_id, 'heuristic' as confidence from events e join p_sym s on s.name in (concat('handleBuilding', cast(e.event_id % 97 as varchar(20))), concat('handleMachinery', cast(e.user_id % 97 as varchar(20))))")
 def _(t):
     handlers = F.array(F.concat(F.lit("handleBuilding"), (F.col("event_id") % 97).cast("string")), F.concat(F.lit("handleMachinery"), (F.col("user_id") % 97).cast("string")))
-    ends = t("events").where("event_id % 20 = 0").select(F.concat(F.lit("endpoint:"), F.col("event_id").cast("string")).alias("id"), handlers.alias("handlers"))
+    ends = t("events").select(F.concat(F.lit("endpoint:"), F.col("event_id").cast("string")).alias("id"), handlers.alias("handlers"))
     return structure.endpoint_handlers(ends, t("p_node"))
 
 
@@ -309,20 +309,19 @@ def _start(t):
     return t("p_sym").agg(F.min("id")).first()[0]
 
 
-@query("j01_frontier", "select e.source_id, e.target_id, e.file_path, e.line from p_edge e join p_node a on a.id = e.source_id join p_node b on b.id = e.target_id where e.kind = 'calls' and coalesce(e.confidence, 'static') <> 'heuristic' and e.source_id in (select id from p_sym order by id limit 25)")
+@query("j01_frontier", "select e.source_id, e.target_id, e.file_path, e.line from p_edge e join p_node a on a.id = e.source_id join p_node b on b.id = e.target_id where e.kind = 'calls' and coalesce(e.confidence, 'static') <> 'heuristic' and e.source_id in (select id from p_sym)")
 def _(t):
-    ids = [r["id"] for r in t("p_sym").select("id").orderBy("id").limit(25).collect()]
-    return graph.frontier(t("p_edge"), t("p_node"), ids)
+    return graph.frontier(t("p_edge"), t("p_node"), t("p_sym").select("id"))
 
 
-@query("j05_out_edges", f"select {_EDGE} from p_edge where kind = 'calls' and source_id in (select id from p_sym where k % 40 = 1)")
+@query("j05_out_edges", f"select {_EDGE} from p_edge where kind = 'calls' and source_id in (select id from p_sym)")
 def _(t):
-    return scan.out_edges(t("p_edge"), t("p_sym").where("k % 40 = 1"), "calls").select(EDGE)
+    return scan.out_edges(t("p_edge"), t("p_sym"), "calls").select(EDGE)
 
 
-@query("j06_in_edges", f"select {_EDGE} from p_edge where target_id in (select id from p_sym where k % 40 = 1)")
+@query("j06_in_edges", f"select {_EDGE} from p_edge where target_id in (select id from p_sym)")
 def _(t):
-    return scan.in_edges(t("p_edge"), t("p_sym").where("k % 40 = 1")).select(EDGE)
+    return scan.in_edges(t("p_edge"), t("p_sym")).select(EDGE)
 
 
 _J10 = "select e.okey, e.source_id, e.target_name, e.file_path, e.call_form, n.id as cand, n.file_path as cfp, count(*) over (partition by e.okey) as n_c, sum(case when n.file_path = e.file_path then 1 else 0 end) over (partition by e.okey) as n_s, row_number() over (partition by e.okey order by n.file_path, n.start_line, n.id) as rn from p_call e join p_node n on n.name = e.target_name and case when e.constructor then n.kind in ('class','struct') else n.kind in ('function','method') end"
@@ -379,9 +378,9 @@ def _(t):
     return _probed(t).select("okey", "specifier", "resolved")
 
 
-@query("j17_wildcard", _PROBED + " select r.okey, n.id as target_id from r join p_node n on n.file_path = r.resolved and n.exported where r.okey % 2 = 0")
+@query("j17_wildcard", _PROBED + " select r.okey, n.id as target_id from r join p_node n on n.file_path = r.resolved and n.exported")
 def _(t):
-    return imports.wildcard(_probed(t).where("okey % 2 = 0"), t("p_node")).select("okey", "target_id")
+    return imports.wildcard(_probed(t), t("p_node")).select("okey", "target_id")
 
 
 _NAMED = "concat('handleBuilding', cast(okey % 97 as varchar(20)))"
@@ -396,9 +395,9 @@ def _(t):
     return imports.named(_probed(t).withColumn("names", wanted), t("p_node"), "okey").select("okey", "name", "target_id")
 
 
-@query("j19_barrel", _PROBED + " select distinct r.file_path, n.id as target_id, n.name from r join p_node n on n.file_path = r.resolved and n.exported where r.okey % 4 = 0")
+@query("j19_barrel", _PROBED + " select distinct r.file_path, n.id as target_id, n.name from r join p_node n on n.file_path = r.resolved and n.exported")
 def _(t):
-    return imports.barrels(_probed(t).where("okey % 4 = 0"), t("p_node"))
+    return imports.barrels(_probed(t), t("p_node"))
 
 
 _SNAP = "select coalesce(a.doc_id, b.doc_id) as doc_id, case when a.h is null then 'added' when b.h is null then 'removed' when a.h <> b.h then 'changed' else 'same' end as state from (select doc_id, sha256(text) as h from documents where doc_id % 10 <> 0) a full outer join (select doc_id, sha256(case when doc_id % 7 = 0 then concat(text, '!') else text end) as h from documents where doc_id % 13 <> 0) b on a.doc_id = b.doc_id"
@@ -432,8 +431,7 @@ def _(t):
 
 @query("a09_unresolved_report", "with u as (select source_id, substr(target_id, 8, 100) as specifier, file_path, line from p_edge where kind = 'imports' and target_id like 'module:%') select source_id, specifier, file_path, line, (select count(*) from u) as total, (select count(*) from u) > 20 as truncated from u order by file_path, line, specifier limit 20")
 def _(t):
-    refs = scan.raw_imports(t("p_edge")).select("source_id", F.substring("target_id", 8, 100).alias("specifier"), "file_path", "line")
-    return aggregate.unresolved_report(refs)
+    return aggregate.unresolved_report(scan.unresolved(t("p_edge")))
 
 
 @query("a11_candidate_counts", "select c.okey, c.target_name, n.n as candidate_count from p_call c join (select name, count(*) as n from p_node where kind in ('function','method') group by name) n on n.name = c.target_name")
@@ -446,6 +444,10 @@ def _(t):
     return t("p_node").select("name").distinct()
 
 
+def _docs_index(t):
+    return text.stored(text.index(t("documents"), "doc_id", ["text"]))
+
+
 _TOK = "select doc_id, w from (select doc_id, unnest(regexp_split_to_array(lower(strip_accents(text)), '[^\\p{L}\\p{N}]+')) as w from documents) z where w <> ''"
 
 
@@ -480,9 +482,7 @@ def _(t):
 
 @query("t05_match", f"with tok as ({_TOK}) select distinct a.doc_id from tok a join tok b on b.doc_id = a.doc_id where a.w like 'token%' and b.w like 'en%'")
 def _(t):
-    docs = t("documents")
-    posted = text.postings(docs, "doc_id", ["text"])
-    return text.phrase_hits(posted, ["token"], "doc_id").select("doc_id").join(text.phrase_hits(posted, ["en"], "doc_id"), "doc_id", "left_semi")
+    return text.ranked(_docs_index(t), "token en", "doc_id").select("doc_id")
 
 
 def _bm25(prefix: str) -> str:
@@ -491,18 +491,17 @@ def _bm25(prefix: str) -> str:
 
 @query("t06_bm25_common", _bm25("the"))
 def _(t):
-    return text.ranked(t("documents"), "the", "doc_id", ["text"])
+    return text.ranked(_docs_index(t), "the", "doc_id")
 
 
 @query("t06_bm25_rare", _bm25("token"))
 def _(t):
-    return text.ranked(t("documents"), "Token", "doc_id", ["text"])
+    return text.ranked(_docs_index(t), "Token", "doc_id")
 
 
 @query("t07_exact_first", f"select {_NODE}, cast(case name when 'handleBuilding13 Box1' then 1 when 'handleBuilding13' then 2 else 3 end as double) as place from p_node where name in ('handleBuilding13 Box1', 'handleBuilding13', 'Box1')")
 def _(t):
-    found = text.search(t("p_node"), "handleBuilding13 Box1", ["name", "file_path"])
-    return found.where("block = 0").select(*NODE, "place")
+    return text.exact(t("p_node"), "handleBuilding13 Box1").select(*NODE, "place")
 
 
 _PAGE_TOK = "select id, w from (select id, unnest(regexp_split_to_array(lower(concat(name, ' ', file_path)), '[^\\p{L}\\p{N}]+')) as w from p_node) z where w <> ''"
@@ -513,10 +512,24 @@ _PAGE_TOK = "select id, w from (select id, unnest(regexp_split_to_array(lower(co
     f"with tok as ({_PAGE_TOK}), dl as (select id, count(*) as l from tok group by id), n as (select count(*) as nn, avg(l) as av from dl), tf as (select id, count(*) as f from tok where w like 'handlebuilding1%' group by id), df as (select count(*) as k from tf), s as (select tf.id, round(-greatest(ln((n.nn - df.k + 0.5)/(df.k + 0.5)), 1e-6) * tf.f * 2.2 / (tf.f + 1.2*(0.25 + 0.75*dl.l/n.av)), 6) as score from tf join dl on dl.id = tf.id cross join n cross join df), b as (select id, name, file_path, start_line, 0 as block, 1.0 as place from p_node where name = 'handleBuilding1' union all select p.id, p.name, p.file_path, p.start_line, 1, s.score from s join p_node p on p.id = s.id where p.name <> 'handleBuilding1') select id, name, block, cast(place as double) as place from b order by block, place, file_path, start_line, id limit 20 offset 3",
 )
 def _(t):
-    found = text.search(t("p_node"), "handleBuilding1", ["name", "file_path"])
+    found = text.search(t("p_node"), text.stored(text.index(t("p_node"), "id", ["name", "file_path"])), "handleBuilding1")
     return found.orderBy("block", "place", "file_path", "start_line", "id").offset(3).limit(20).select("id", "name", "block", "place")
 
 
+_BODIES = "select concat('method:docs.ts:Doc', cast(doc_id as varchar(20)), ':1') as id, concat('Doc', cast(doc_id as varchar(20))) as name, 'docs.ts' as file_path, text as body from documents"
+
+
+@query(
+    "t09_body_search",
+    f"with d as ({_BODIES}), tok as (select id, w from (select id, unnest(regexp_split_to_array(lower(strip_accents(concat(name, ' ', coalesce(body, ''), ' ', file_path))), '[^\\p{{L}}\\p{{N}}]+')) as w from d) z where w <> ''), dl as (select id, count(*) as l from tok group by id), n as (select count(*) as nn, avg(l) as av from dl), tf as (select id, count(*) as f from tok where w like 'contact%' group by id), df as (select count(*) as k from tf) select d.name, d.file_path, 1 as block, round(-greatest(ln((n.nn - df.k + 0.5)/(df.k + 0.5)), 1e-6) * tf.f * 2.2 / (tf.f + 1.2*(0.25 + 0.75*dl.l/n.av)), 6) as place from tf join dl on dl.id = tf.id join d on d.id = tf.id cross join n cross join df",
+)
+def _(t):
+    key = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    number = F.col("doc_id").cast("string")
+    nodes = t("documents").select(key("method:docs.ts:Doc", number, ":1").alias("id"), key("Doc", number).alias("name"), F.lit("docs.ts").alias("file_path"), F.col("text").alias("body"))
+    return text.search(nodes, text.stored(text.index(nodes, "id", ["name", "body", "file_path"])), "contact").select("name", "file_path", "block", "place")
+
+
 # --- graph ---------------------------------------------------------------------
 
 _LEVELS = "with recursive e as (select distinct x.source_id, x.target_id from p_edge x join p_node n on n.id = x.target_id where x.kind = 'calls' and coalesce(x.confidence, 'static') <> 'heuristic'), b as (select min(id) as id, 0 as level from p_sym union select e.target_id, b.level + 1 from b join e on e.source_id = b.id where b.level < 6)"
@@ -525,16 +538,20 @@ _LEVELS = "with recursive e as (select distinct x.source_id, x.target_id from p_
 @query("g01_bfs_levels", _LEVELS + " select id, min(level) as level from b group by id")
 def _(t):
     edges, start = t("p_edge"), _start(t)
-    found = graph.levels(edges, t("p_node"), start, depth=6)
-    return edges.sparkSession.createDataFrame([(i, level) for i, (level, _) in found.items()], "id string, level int")
+    return graph.levels(edges, t("p_node"), start, depth=6, most=None).select("id", "level")
+
+
+def _path(t, start):
+    """The path from start to the last node of the third level."""
+    found = graph.levels(t("p_edge"), t("p_node"), start, depth=3, most=None)
+    goal = found.where("level = 3").agg(F.max("id")).first()[0]
+    return graph.shortest_path(t("p_edge"), t("p_node"), start, goal, most=None) if goal else None
 
 
 @query("g02_path", _LEVELS + " select min(level) as length, count(*) as ends from b where id = (select max(id) from b where level = 3 and id not in (select id from b where level < 3)) group by level order by level limit 1")
 def _(t):
     edges, start = t("p_edge"), _start(t)
-    found = graph.levels(edges, t("p_node"), start, depth=6)
-    goal = max((i for i, (level, _) in found.items() if level == 3), default=None)
-    path = graph.shortest_path(edges, t("p_node"), start, goal) if goal else None
+    path = _path(t, start)
     rows = [(len(path), 1)] if path is not None else []
     return edges.sparkSession.createDataFrame(rows, "length int, ends long")
 
@@ -574,8 +591,7 @@ def _(t):
 
 @query("u04_exact_union", f"select {_NODE} from p_node where name = 'Box1' or (file_path like 'src/n1/%' and name <> 'Box1')")
 def _(t):
-    exact = scan.nodes_where(t("p_node"), name="Box1").select(NODE)
-    return exact.unionByName(scan.nodes_where(t("p_node"), prefix="src/n1").select(NODE).join(exact.select("id"), "id", "left_anti"))
+    return mutate.exact_first(scan.nodes_where(t("p_node"), name="Box1").select(NODE), scan.nodes_where(t("p_node"), prefix="src/n1"))
 
 
 # --- scalar functions -------------------------------------------------------------
@@ -608,9 +624,15 @@ def _(t):
     return t("p_sym").select("k", N.normalize_path(messy).alias("path"))
 
 
-@query("f11_simple_hash")
+_UNITS = "flatten(list_transform(string_split(concat(name, 'é😀'), ''), lambda c: case when ord(c) > 65535 then [55296 + (ord(c) - 65536) // 1024, 56320 + (ord(c) - 65536) % 1024] else [ord(c)] end))"
+
+
+@query(
+    "f11_simple_hash",
+    f"select k, concat(case when h < 0 then '-' else '' end, coalesce(nullif(ltrim(array_to_string(list_transform(range(6, -1, -1), lambda d: substr('0123456789abcdefghijklmnopqrstuvwxyz', cast(abs(h) // cast(pow(36, d) as bigint) % 36 as int) + 1, 1)), ''), '0'), ''), '0')) as hash from (select k, list_reduce(list_prepend(cast(0 as bigint), cast({_UNITS} as bigint[])), lambda a, b: ((a * 31 + b + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) as h from p_sym) x",
+)
 def _(t):
-    return t("p_sym").select("k", N.simple_hash(F.col("name")).alias("hash"))
+    return t("p_sym").select("k", N.simple_hash(F.concat("name", F.lit("é😀"))).alias("hash"))
 
 
 # --- workflows ---------------------------------------------------------------------
@@ -618,9 +640,7 @@ def _(t):
 
 @query("map_report", "select 'symbols' as fact, kind as label, count(*) as n from p_node group by kind union all select 'relationships', kind, count(*) from p_edge group by kind union all select 'files', language, count(*) from p_hash group by language union all select 'unresolved', 'import', count(*) from p_edge where kind = 'imports' and target_id like 'module:%'")
 def _(t):
-    part = lambda df, fact, label: df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n")).select(F.lit(fact).alias("fact"), "label", "n")
-    lost = scan.raw_imports(t("p_edge")).agg(F.count("*").alias("n")).select(F.lit("unresolved").alias("fact"), F.lit("import").alias("label"), "n")
-    return part(t("p_node"), "symbols", "kind").unionByName(part(t("p_edge"), "relationships", "kind")).unionByName(part(t("p_hash"), "files", "language")).unionByName(lost)
+    return aggregate.report(t("p_node"), t("p_edge"), t("p_hash"), scan.unresolved(t("p_edge")))
 
 
 @query(
@@ -629,10 +649,7 @@ def _(t):
 )
 def _(t):
     hub = t("p_edge").where("kind = 'calls'").groupBy("source_id").count().orderBy(F.desc("count"), "source_id").first()[0]
-    near = graph.neighbourhood(t("p_edge"), t("p_node"), hub)
-    out = F.col("direction") == "out"
-    section = F.when((F.col("kind") == "calls") & out, "callees").when(F.col("kind") == "calls", "callers").when(out, "references_out").otherwise("references_in")
-    return near.select(section.alias("section"), F.when(out, F.col("target_id")).otherwise(F.col("source_id")).alias("other"), "line")
+    return graph.sections(graph.neighbourhood(t("p_edge"), t("p_node"), hub))
 
 
 # --- more of the same families ---------------------------------------------------
@@ -640,7 +657,7 @@ def _(t):
 
 @query("s13_hash_table", "select file_path, content_hash, language from p_hash")
 def _(t):
-    return t("p_hash").select("file_path", "content_hash", "language")
+    return scan.hash_table(t("p_hash"))
 
 
 @query("s14_hash_join", "select n.id, h.content_hash from p_node n left join p_hash h on h.file_path = n.file_path")
@@ -659,25 +676,29 @@ def _(t):
     return mutate.upsert(t("p_hash").select("file_path", "content_hash"), new, ["file_path"])
 
 
-@query("m10_remove_file", f"select 'edge' as fact, source_id as what, line from p_edge where file_path not in ({_PATHS}) union all select 'hash', file_path, 0 from p_hash where file_path not in ({_PATHS})")
+@query("m10_remove_file", f"select 'edge' as fact, source_id as what, line from p_edge where file_path not in ({_PATHS}) union all select 'hash', file_path, 0 from p_hash where file_path not in ({_PATHS}) union all select 'unresolved', substr(target_id, 8, 1000), line from p_edge where kind = 'imports' and target_id like 'module:%' and file_path not in ({_PATHS})")
 def _(t):
-    edges = mutate.delete_keep_incoming(t("p_edge"), _paths(t)).select(F.lit("edge").alias("fact"), F.col("source_id").alias("what"), "line")
-    hashes = mutate.vanished(t("p_hash"), _paths(t)).select(F.lit("hash").alias("fact"), F.col("file_path").alias("what"), F.lit(0).alias("line"))
-    return edges.unionByName(hashes)
+    edges, hashes, lost = mutate.remove_files(t("p_edge"), t("p_hash"), scan.unresolved(t("p_edge")), _paths(t))
+    row = lambda df, fact, what, line: df.select(F.lit(fact).alias("fact"), F.col(what).alias("what"), line.alias("line"))
+    return row(edges, "edge", "source_id", F.col("line")).unionByName(row(hashes, "hash", "file_path", F.lit(0))).unionByName(row(lost, "unresolved", "specifier", F.col("line")))
+
+
+@query("m08_unresolved", f"with u as (select source_id, substr(target_id, 8, 1000) as specifier, file_path, line from p_edge where kind = 'imports' and target_id like 'module:%') select source_id, specifier, file_path, line from u where file_path not in ({_PATHS}) union select source_id, concat(specifier, '.new'), file_path, line from u where file_path in ({_PATHS})")
+def _(t):
+    old = scan.unresolved(t("p_edge"))
+    new = old.join(_paths(t), "file_path", "left_semi").select("source_id", F.concat("specifier", F.lit(".new")).alias("specifier"), "file_path", "line")
+    return mutate.replace_unresolved(old, _paths(t), new)
 
 
 @query("j03_related_tests", "with t as (select id from p_node where is_test) select distinct t.id from t where exists (select 1 from p_edge e where e.source_id = t.id and e.kind = 'calls' and coalesce(e.confidence, 'static') <> 'heuristic') or exists (select 1 from p_edge e where e.target_id = t.id and e.kind = 'calls' and coalesce(e.confidence, 'static') <> 'heuristic')")
 def _(t):
-    static, tests = graph.static_calls(t("p_edge")), t("p_node").where("is_test").select("id")
-    by = lambda side: tests.join(static.select(F.col(side).alias("id")), "id", "left_semi")
-    return by("source_id").unionByName(by("target_id")).distinct()
+    return graph.tested(t("p_edge"), t("p_node"))
 
 
 @query("j07_confirmed", "select e.source_id, e.target_id, e.kind, e.file_path, e.line from p_edge e join p_node a on a.id = e.source_id join p_node b on b.id = e.target_id where e.kind = 'calls' order by e.source_id, e.target_id, e.line limit 50")
 def _(t):
-    ends = t("p_node").select("id")
-    real = t("p_edge").where("kind = 'calls'").join(ends.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ends.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
-    return real.orderBy("source_id", "target_id", "line").limit(50).select(EDGE)
+    found = graph.real(t("p_edge").where("kind = 'calls'"), t("p_node"))
+    return found.orderBy("source_id", "target_id", "line").limit(50).select(EDGE)
 
 
 @query("j21_reparsed_exclusion", f"select {_NODE} from p_node where file_path not in ({_PATHS})")
@@ -687,18 +708,17 @@ def _(t):
 
 @query("a01_count_nodes", "select count(*) as n from p_node")
 def _(t):
-    return t("p_node").agg(F.count("*").alias("n"))
+    return aggregate.stats(t("p_node"), t("p_edge")).select(F.col("nodes").alias("n"))
 
 
 @query("a03_count_files", "select count(distinct file_path) as n from p_node")
 def _(t):
-    return t("p_node").agg(F.count_distinct("file_path").alias("n"))
+    return aggregate.stats(t("p_node"), t("p_edge")).select(F.col("files").alias("n"))
 
 
 @query("a06_lang_symbols", "select coalesce(h.language, 'none') as language, count(*) as n from p_node n left join p_hash h on h.file_path = n.file_path group by 1")
 def _(t):
-    joined = t("p_node").join(t("p_hash").select("file_path", "language"), "file_path", "left").withColumn("language", F.coalesce("language", F.lit("none")))
-    return aggregate.counted(joined, "language")
+    return aggregate.by_language(t("p_node"), t("p_hash"))
 
 
 @query("a10_unresolved_count", "select count(*) as n from p_edge where kind = 'imports' and target_id like 'module:%'")
@@ -708,7 +728,7 @@ def _(t):
 
 @query("t02_prefix_phrases", f"with tok as (select doc_id, i, w from (select doc_id, unnest(a) as w, unnest(range(1, len(a)+1)) as i from (select doc_id, list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') as a from documents) y) z) select a.doc_id, count(*) as tf from tok a join tok b on b.doc_id = a.doc_id and b.i = a.i + 1 where a.w = 'of' and b.w like 'th%' group by a.doc_id")
 def _(t):
-    return text.phrase_hits(text.postings(t("documents"), "doc_id", ["text"]), ["of", "th"], "doc_id")
+    return text.phrase_hits(_docs_index(t).postings, ["of", "th"], "doc_id")
 
 
 @query("t04_name_tokens", f"select k, concat(case when strpos(trim(replace({_SPLIT}, '_', ' ')), ' ') > 0 then concat(name, ' ', lower(trim(replace({_SPLIT}, '_', ' ')))) else name end, ' Outer ', case when strpos(trim(replace({_SPLIT}, '_', ' ')), ' ') > 0 then concat(name, ' ', lower(trim(replace({_SPLIT}, '_', ' ')))) else name end) as tokens from ({_NAMES}) x")
@@ -719,13 +739,12 @@ def _(t):
 
 @query("u01_retained_union", f"select {_NODE} from p_node where file_path not in ({_PATHS}) union select {_NODE} from p_sym where file_path in ({_PATHS})")
 def _(t):
-    kept = mutate.vanished(t("p_node"), _paths(t)).select(NODE)
-    return kept.unionByName(t("p_sym").join(_paths(t), "file_path", "left_semi").select(NODE)).distinct()
+    return mutate.retained(t("p_node").select(NODE), _paths(t), t("p_sym"))
 
 
 @query("u02_difference", f"select distinct file_path from p_node where file_path not in ({_PATHS})")
 def _(t):
-    return t("p_node").select("file_path").subtract(_paths(t))
+    return mutate.vanished(t("p_node").select("file_path"), _paths(t)).distinct()
 
 
 @query("f09_alias", _PROBED.split(", l as")[0] + " select okey, base from b")
@@ -747,7 +766,7 @@ def _(t):
 
 @query("search_page", f"select {_NODE} from p_node where name = 'Box1' or (name <> 'Box1' and starts_with(lower(name), 'box1')) order by case when name = 'Box1' then 0 else 1 end, file_path, start_line, id limit 20")
 def _(t):
-    found = text.search(t("p_node"), "Box1", ["name"])
+    found = text.search(t("p_node"), text.stored(text.index(t("p_node"), "id", ["name"])), "Box1")
     return found.orderBy("block", "file_path", "start_line", "id").limit(20).select(NODE)
 
 
@@ -757,11 +776,11 @@ def _(t):
     return scan.in_order(structure.top_level(rows, rows)).offset(2).limit(20).select(NODE)
 
 
-@query("path_query", _LEVELS + " select level, count(*) as n from (select id, min(level) as level from b group by id) x group by level")
+@query(
+    "path_query",
+    _LEVELS + ", l as (select id, min(level) as level from b group by id), goal as (select max(id) as id from l where level = 3), f as (select t.id as target_id, t.level, min({'s': x.source_id, 'p': x.file_path, 'l': x.line}) as e from l t join l s on s.level = t.level - 1 join p_edge x on x.source_id = s.id and x.target_id = t.id and x.kind = 'calls' and coalesce(x.confidence, 'static') <> 'heuristic' group by t.id, t.level), g3 as (select * from f where target_id = (select id from goal)), g2 as (select * from f where target_id = (select e.s from g3)), g1 as (select * from f where target_id = (select e.s from g2)) select level, e.s as source_id, target_id, e.p as file_path, e.l as line from (select * from g1 union all select * from g2 union all select * from g3) z",
+)
 def _(t):
-    edges = t("p_edge")
-    found = graph.levels(edges, t("p_node"), _start(t), depth=6)
-    sizes: dict[int, int] = {}
-    for level, _ in found.values():
-        sizes[level] = sizes.get(level, 0) + 1
-    return edges.sparkSession.createDataFrame(sorted(sizes.items()), "level int, n long")
+    steps = _path(t, _start(t)) or []
+    rows = [(i, x["source_id"], x["target_id"], x["file_path"], x["line"]) for i, x in enumerate(steps, 1)]
+    return t("p_edge").sparkSession.createDataFrame(rows, "level int, source_id string, target_id string, file_path string, line int")

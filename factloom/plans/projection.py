@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 _STR = "varchar(20)"
+_COUNT = "(select count(*) from customer)"
 
 VIEWS = {
     "p_sym": f"""
@@ -21,7 +22,7 @@ select concat('variable:', s.file_path, ':', replace(p.p_name,' ','_'), ':', cas
  'variable' as kind, replace(p.p_name,' ','_') as name, s.file_path,
  cast(case when p.p_partkey % 4 = 0 then 100000 + p.p_partkey else s.start_line + 2 end as int) as start_line,
  cast(case when p.p_partkey % 4 = 0 then 100000 + p.p_partkey else s.start_line + 2 end as int) as end_line, false as exported, false as is_test, p.p_partkey as k
-from part p cross join (select count(*) as n from customer) z join p_sym s on s.k = p.p_partkey % z.n""",
+from part p join p_sym s on s.k = p.p_partkey % {_COUNT}""",
     "p_class": f"""
 select concat('class:src/n', cast(s_nationkey as {_STR}), '/automobile.ts:Box', cast(s_suppkey as {_STR}), ':', cast(1 + 30 * (s_suppkey % 4) as {_STR})) as id,
  'class' as kind, concat('Box', cast(s_suppkey as {_STR})) as name, concat('src/n', cast(s_nationkey as {_STR}), '/automobile.ts') as file_path,
@@ -30,27 +31,27 @@ select concat('class:src/n', cast(s_nationkey as {_STR}), '/automobile.ts:Box',
 select id, kind, name, file_path, start_line, end_line, exported, is_test from p_sym
 union all select id, kind, name, file_path, start_line, end_line, exported, is_test from p_class
 union all select min(id), 'variable', name, file_path, start_line, end_line, false, false from p_var group by name, file_path, start_line, end_line""",
-    "p_call": """
+    "p_call": f"""
 select s.id as source_id, t.name as target_name, t.k as target_k, s.file_path, cast(s.start_line + 1 + o.o_orderkey % 7 as int) as line,
  case when o.o_orderkey % 3 = 0 then 'member' end as call_form, o.o_orderkey % 50 = 1 as constructor, o.o_orderkey as okey
-from orders o cross join (select count(*) as n from customer) z join p_sym s on s.k = o.o_custkey join p_sym t on t.k = (o.o_orderkey * 7919 + 13) % z.n
+from orders o join p_sym s on s.k = o.o_custkey join p_sym t on t.k = (o.o_orderkey * 7919 + 13) % {_COUNT}
 where o.o_orderkey % 4 < 2""",
-    "p_edge": """
+    "p_edge": f"""
 select c.source_id, t.id as target_id, 'calls' as kind, c.file_path, c.line, max(c.target_name) as target_name, case when min(c.okey) % 6 = 1 then 'heuristic' when min(c.okey) % 5 = 0 then 'static' end as confidence
 from p_call c join p_sym t on t.k = c.target_k group by c.source_id, t.id, c.file_path, c.line
 union all
-select s.id, t.id, 'references', s.file_path, s.start_line, t.name, 'static' from p_sym s cross join (select count(*) as n from customer) z join p_sym t on t.k = (s.k * 31 + 7) % z.n where s.k % 4 = 1
+select s.id, t.id, 'references', s.file_path, s.start_line, t.name, 'static' from p_sym s join p_sym t on t.k = (s.k * 31 + 7) % {_COUNT} where s.k % 4 = 1
 union all
 select concat('file:', s.file_path), concat('module:./', lower(s.name)), 'imports', s.file_path, s.start_line, cast(null as varchar(20)), cast(null as varchar(20)) from p_sym s where s.k % 7 = 2
 union all
-select concat('file:', s.file_path), t.id, 'imports', s.file_path, s.start_line, t.name, 'static' from p_sym s cross join (select count(*) as n from customer) z join p_sym t on t.k = (s.k * 17 + 3) % z.n where s.k % 9 = 4""",
+select concat('file:', s.file_path), t.id, 'imports', s.file_path, s.start_line, t.name, 'static' from p_sym s join p_sym t on t.k = (s.k * 17 + 3) % {_COUNT} where s.k % 9 = 4""",
     "p_hash": "select distinct file_path, sha256x(file_path) as content_hash, 'typescript' as language from p_sym where k % 13 <> 5",
     "p_import": f"""
 select o.o_orderkey as okey, s.file_path,
  concat(case o.o_orderkey % 4 when 0 then './' when 1 then '../' when 2 then '@/' else 'pkg' end,
   case o.o_orderkey % 4 when 0 then substr(t.file_path, strpos_last(t.file_path) + 1, 1000) when 1 then substr(t.file_path, 5, 1000) when 2 then substr(t.file_path, 5, 1000) else 'x' end,
   case when o.o_orderkey % 11 = 0 then '.missing' else '' end) as raw
-from orders o cross join (select count(*) as n from customer) z join p_sym s on s.k = o.o_custkey join p_sym t on t.k = (o.o_orderkey * 131 + 5) % z.n where o.o_orderkey % 10 < 4""",
+from orders o join p_sym s on s.k = o.o_custkey join p_sym t on t.k = (o.o_orderkey * 131 + 5) % {_COUNT} where o.o_orderkey % 10 < 4""",
     "p_lines": "<lines>",
     "p_md": f"""
 select doc_id, i, line, case when i % 4 = 0 then 1 + cast(floor(i/4) as int) % 3 end as lvl, concat('docs/', cast(doc_id as {_STR}), '.md') as file_path from p_lines""",
@@ -100,7 +101,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A projection, or a table of the folder."""
     if name in _TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    own = _needed(name)
-    text = " ".join(_text(v, "spark") for v in own)
-    tables = [f"{t} as (select * from parquet.`{sf_dir}/{t}.parquet`)" for t in _TABLES if t in text]
-    return spark.sql("with " + ", ".join([*tables, *(f"{v} as ({_text(v, 'spark')})" for v in own)]) + f" select * from {name}")
+    own = [(v, _text(v, "spark")) for v in _needed(name)]
+    if any(_COUNT in text for _, text in own):  # from the files' footers; as a literal it leaves the joins on keys
+        n = spark.read.parquet(f"{sf_dir}/customer.parquet").count()
+        own = [(v, text.replace(_COUNT, str(max(n, 1)))) for v, text in own]
+    tables = [f"{t} as (select * from parquet.`{sf_dir}/{t}.parquet`)" for t in _TABLES if any(t in text for _, text in own)]
+    return spark.sql("with " + ", ".join([*tables, *(f"{v} as ({text})" for v, text in own)]) + f" select * from {name}")
