@@ -5,13 +5,14 @@ two signature values, its minimum and its maximum over the set, so PERMS evaluat
 runs of ROWS values form BANDS band keys. Two sets at the similarity asked for share a band but with a
 probability of (1 - s ** ROWS) ** BANDS: 7e-9 at 0.85, 3e-6 at 0.8.
 
-1. Documents with equal sets form a class, the node of all that follows; its key is the set's digest.
+1. Documents with equal sets form a class, the node of all that follows; its key is its number in a stored table.
 2. Classes that share a band key meet in a bucket. Each class is held against the centres of its buckets, and
    the nearest that can be linked is confirmed. So a bucket costs comparisons in proportion to its members.
 3. Buckets that still hold several components are searched in blocks: their classes are dealt into chunks of
    about CHUNK, and each pair of chunks is a cell that one task scans. Chunks of the bucket's largest
-   component never meet each other. A class hands on its nearest class of another component only, and rounds
-   go on until one merges nothing; a last round then hands on all that is left.
+   component never meet each other. A class hands on its nearest class of another component only; a class
+   without any is done, as components only grow. With the others rounds go on until one merges nothing, and a
+   last one hands on all pairs that are left.
 
 A cell tells apart what can be linked by parity bitmaps: bit i is the parity of the set's hashes that fall on
 i, so two bitmaps differ in no more bits than the sets have unlike elements. Nothing that is linked is lost,
@@ -40,7 +41,7 @@ from factloom.llm.common import discard, lower_byte_words, materialize, table
 
 PERMS, ROWS, BANDS = 80, 5, 32
 SALT = 256
-CHUNK = 128
+CHUNK = 256
 #: Keys to broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _MEMO = 300_000
@@ -187,7 +188,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     keyed = _keyed(docs)
     if wanted.count() <= BROADCAST_IDS:
-        found = keyed.join(F.broadcast(wanted), ["t1", "t2"]).select("node", "text").mapInArrow(run, "node binary, z binary")
+        found = keyed.join(F.broadcast(wanted), ["t1", "t2"]).select("node", "text").mapInArrow(run, "node long, z binary")
     else:
         found = keyed.mapInArrow(run, "t1 long, t2 long, z binary").join(wanted, ["t1", "t2"]).select("node", "z")
     return found.dropDuplicates(["node"])
@@ -212,9 +213,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                     held, centre = (c, salt), s
                 elif held == (c, salt) and linked(centre, s, percent):
                     out.append((node, c))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["u", "v"])
 
-    return sides.repartition("c", "salt").sortWithinPartitions("c", "salt", "kind").mapInArrow(run, "u binary, v binary")
+    return sides.repartition("c", "salt").sortWithinPartitions("c", "salt", "kind").mapInArrow(run, "u long, v long")
 
 
 def components(edges: DataFrame, tag: str = "labels") -> DataFrame:
@@ -262,7 +263,7 @@ def star_pairs(met: DataFrame, info: DataFrame, percent: int) -> DataFrame:
             found = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gap, pa.float64())], ["u", "c", "gap"])
             yield found.filter(found.column("gap").is_valid())
 
-    return wide.mapInArrow(run, "u binary, c binary, gap double").groupBy("u").agg(F.min_by("c", F.struct("gap", "c")).alias("c"))
+    return wide.mapInArrow(run, "u long, c long, gap double").groupBy("u").agg(F.min_by("c", F.struct("gap", "c")).alias("c"))
 
 
 def _members(met: DataFrame, info: DataFrame, comp: DataFrame) -> DataFrame:
@@ -322,9 +323,9 @@ def block_pairs(cells: DataFrame, percent: int, every: bool) -> DataFrame:
             yield _pairs(search(cell))
 
     def _pairs(out):
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.float64())], ["u", "c", "gap"])
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64())], ["u", "c", "gap"])
 
-    found = cells.repartition("band", "a", "b").sortWithinPartitions("band", "a", "b", "at").mapInArrow(run, "u binary, c binary, gap double")
+    found = cells.repartition("band", "a", "b").sortWithinPartitions("band", "a", "b", "at").mapInArrow(run, "u long, c long, gap double")
     if every:
         return found.select(F.greatest("u", "c").alias("u"), F.least("u", "c").alias("c")).distinct()
     return found.groupBy("u").agg(F.min_by("c", F.struct("gap", "c")).alias("c"))
@@ -332,37 +333,42 @@ def block_pairs(cells: DataFrame, percent: int, every: bool) -> DataFrame:
 
 def _linked_classes(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame | None:
     """(node, comp) of the classes that share a bucket with others."""
-    banded = classes.select("set_id", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("set_id").alias("c"), F.max("set_id").alias("last")).where("c <> last").select("band", "c")
-    met = materialize(banded.join(shared, "band").withColumnRenamed("set_id", "node"), "met")
+    banded = classes.select("node", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.min("node").alias("c"), F.max("node").alias("last")).where("c <> last").select("band", "c")
+    met = materialize(banded.join(shared.hint("merge"), "band"), "met")  # buckets are as many as documents: never broadcast
     comp = materialize(met.select("node").distinct().withColumn("comp", F.col("node")), "nodes")
     if comp.isEmpty():
         return None
-    info = materialize(classes.withColumnRenamed("set_id", "node").join(comp.select("node"), "node").select("node", "n", "bits", "t1", "t2"), "info")
+    info = materialize(classes.join(comp.select("node").hint("merge"), "node").select("node", "n", "bits", "t1", "t2"), "info")
 
     def confirm(pairs: DataFrame) -> DataFrame | None:
         """comp after the links among these pairs, or None."""
-        pairs = materialize(pairs, "pairs")
         ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("c").alias("node"))).distinct()
         texts = materialize(_texts(docs, info.join(ends, "node").select("node", "t1", "t2")), "texts")
         links = materialize(confirmed(pairs, texts, width, percent), "links")
         out = _merged(comp, links)
-        discard(pairs, texts, links)
+        discard(texts, links)
         return out
 
-    comp = confirm(star_pairs(met, info, percent)) or comp
-    every = False
+    pairs = materialize(star_pairs(met, info, percent), "pairs")
+    comp = confirm(pairs) or comp
+    every, open_ = False, met
     while True:
-        cells = _members(met, info, comp)
-        pairs = None if cells.isEmpty() else materialize(block_pairs(cells, percent, every), "near")
-        discard(cells)
-        found = None if pairs is None or pairs.isEmpty() else confirm(pairs)
         discard(pairs)
+        cells = _members(open_, info, comp)
+        pairs = materialize(block_pairs(cells, percent, every), "pairs")
+        discard(cells)
+        if pairs.isEmpty():
+            break
+        found = confirm(pairs)
         comp = found or comp
-        if pairs is None or every:
+        if every:
             break
         every = found is None
-    discard(met, info)
+        smaller = materialize(open_.join(pairs.select(F.col("u").alias("node")), "node", "left_semi"), "open")
+        discard(open_)
+        open_ = smaller
+    discard(pairs, open_, info)
     return comp
 
 
@@ -372,15 +378,14 @@ def grouped(df: DataFrame, width: int, percent: int, id_col: str = "doc_id", tex
     made = materialize(features(docs, width), "features")
     one = F.struct(F.col("doc_id").isNotNull().alias("has_id"), "doc_id", "t1", "t2")
     classes = made.where("n > 0").groupBy("set_id").agg(F.min(one).alias("head"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
-    classes = materialize(classes.select("set_id", "head", "n", "bands", "bits", "head.t1", "head.t2"), "classes")
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "set_id", "head", "n", "bands", "bits", "head.t1", "head.t2"), "classes")
     comp = _linked_classes(docs, classes, width, percent)
-    heads = classes.select("set_id", "head")
+    heads = classes.select("node", "set_id", "head")
     if comp is not None:
-        of = heads.join(comp.select(F.col("node").alias("set_id"), "comp"), "set_id")
+        of = heads.join(comp, "node").select("node", "comp", "head")
         least = of.groupBy("comp").agg(F.min("head").alias("least"))
-        better = of.join(least, "comp").select("set_id", "least")
-        heads = heads.join(better, "set_id", "left").select("set_id", F.coalesce("least", "head").alias("head"))
-    heads = materialize(heads, "heads")
+        heads = heads.join(of.join(least, "comp").select("node", "least"), "node", "left").select("set_id", F.coalesce("least", "head").alias("head"))
+    heads = materialize(heads.select("set_id", "head"), "heads")
     out = made.select("doc_id", "t1", "t2", "n", "set_id").join(heads, "set_id", "left").select("doc_id", "t1", "t2", "n", F.coalesce("head", one).alias("head"))
     out = materialize(out, "grouped")
     discard(made, classes, comp, heads)
