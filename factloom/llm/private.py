@@ -8,6 +8,8 @@ anywhere in the corpus (so a cue that ordinary words follow is worth little), an
 the product of its cues' doubts, seeds staying at 1. A pattern with CONFIDENT or more and SEEDS different seeds is
 good; instances under a good one become seeds of the next round, whatever their shape, and so make patterns that
 no base span could. Candidates under a good pattern are found, as spans of kind `found` after the base ones.
+A cue before fewer than SEEDS different instances can't make a good pattern and is left out of the graph; the
+others are counted in a second pass.
 
 Cases: a null text counts as empty and has no spans; an empty text likewise; very long runs of one character
 class are matched in linear time; repeated rows and null ids are rows of their own; an empty table gives an
@@ -26,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import find_words, materialize, table
+from factloom.llm.common import byte_words, discard, materialize, table
 
 ROUNDS = 3
 CONFIDENT = 0.5
@@ -36,6 +38,8 @@ ANY = "*"
 PRIOR = 1.0
 #: Spans to broadcast at most; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Cues to broadcast at most; beyond, every word is counted and the counts meet the cues in a join.
+BROADCAST_CUES = 1_000_000
 #: Words that a task counts, and rows that it gathers, before it sends them on.
 _FLUSH, _ROWS = 100_000, 10_000
 
@@ -187,7 +191,7 @@ def candidates(text: str, taken: list[tuple[str, int, int]]):
                 yield a, b, kind
 
 
-_ROW = "tag string, row long, doc_id long, base string, cue string, shape string, value string, s long, e long, n long"
+_ROW = "tag string, row long, doc_id long, base string, cue string, shape string, value string, s long, e long, digest long"
 
 
 def _digest(text):
@@ -195,19 +199,10 @@ def _digest(text):
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """One pass: a `doc` row for each document (n: the text's digest), `seed` and `new` rows for instances, `cue` rows for word counts."""
+    """One pass: a `doc` row for each document, with its text's digest, `seed` and `new` rows for instances."""
 
     def run(batches):
-        row, words = TaskContext.get().partitionId() << 33, Counter()
-
-        def cues() -> pa.RecordBatch:
-            sums: Counter = Counter()
-            while words:
-                w, n = words.popitem()
-                sums[bounded_cue(w)] += n
-            sums.pop("", None)
-            return _columns({"tag": ["cue"] * len(sums), "cue": list(sums), "n": list(sums.values())}, len(sums))
-
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text, digest in zip(*(c.to_pylist() for c in batch.columns)):
@@ -218,14 +213,10 @@ def _scan(docs: DataFrame) -> DataFrame:
                 every = sorted([("seed", a, b, shape(text[a:b]) or "number") for _, a, b in spans] + [("new", a, b, kind) for a, b, kind in new], key=lambda x: x[1:3])
                 for (tag, a, b, kind), cue in zip(every, cues_before(text, [x[1:3] for x in every])):
                     out.append((tag, row, doc_id, None, cue, kind, key_of(text[a:b]), a, b, None))
-                words.update(find_words(text))
                 if len(out) >= _ROWS:
                     yield _rows(out)
                     out = []
-                if len(words) > _FLUSH:
-                    yield cues()
             yield _rows(out)
-        yield cues()
 
     return docs.select(F.col("doc_id").cast("long"), "text", _digest("text")).mapInArrow(run, _ROW)
 
@@ -234,12 +225,38 @@ _NAMES = [x.split()[0] for x in _ROW.split(", ")]
 _KINDS = [pa.string() if x.endswith("string") else pa.int64() for x in _ROW.split(", ")]
 
 
-def _columns(given: dict[str, list], n: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(given[c], t) if c in given else pa.nulls(n, t) for c, t in zip(_NAMES, _KINDS)], _NAMES)
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(_KINDS)], _NAMES)
+
 
+def cue_counts(docs: DataFrame, cues: DataFrame) -> DataFrame:
+    """`cue` and `seen`, how often each of the stored cues (cue) stands anywhere in the texts."""
+    few = cues.count() <= BROADCAST_CUES
+    sent = docs.sparkSession.sparkContext.broadcast(frozenset(r["cue"] for r in cues.collect()) if few else None)
 
-def _rows(out: list[tuple]) -> pa.RecordBatch:
-    return _columns({c: [x[i] for x in out] for i, c in enumerate(_NAMES)}, len(out))
+    def run(batches):
+        wanted, words = sent.value, Counter()
+
+        def sums() -> pa.RecordBatch:
+            out: Counter = Counter()
+            while words:
+                w, n = words.popitem()
+                c = bounded_cue(w.decode())
+                if c and (wanted is None or c in wanted):
+                    out[c] += n
+            return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], ["cue", "n"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words.update(byte_words(text))
+                if len(words) > _FLUSH:
+                    yield sums()
+        yield sums()
+
+    counts = docs.select("text").mapInArrow(run, "cue string, n long")
+    if not few:
+        counts = counts.join(cues, "cue", "left_semi")
+    return counts.groupBy("cue").agg(F.sum("n").alias("seen"))
 
 
 def _good():
@@ -250,12 +267,14 @@ def _of_pattern(left, right):
     return (left["cue"] == right["cue"]) & ((right["shape"] == left["shape"]) | (right["shape"] == ANY))
 
 
-def scored_patterns(scan: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def scored_patterns(docs: DataFrame, scan: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """`cue`, `shape` (ANY for the cue alone), `confidence`, `seeds` of the patterns that some seed induced."""
     edges = scan.where("tag in ('seed', 'new') and cue <> ''").groupBy("cue", "shape", "value").agg(F.max((F.col("tag") == "seed").cast("int")).alias("seed"), F.count("*").alias("times"))
-    edges = materialize(edges, "edges")
-    cues = edges.select("cue").distinct()
-    seen = materialize(scan.where("tag = 'cue'").groupBy("cue").agg(F.sum("n").alias("seen")).join(cues, "cue", "left_semi"), "seen")
+    all_edges = materialize(edges, "all-edges")
+    cues = materialize(all_edges.groupBy("cue", "value").agg(F.lit(1)).groupBy("cue").agg(F.count("*").alias("values")).where(F.col("values") >= SEEDS).select("cue"), "cues")
+    edges = materialize(all_edges.join(cues, "cue", "left_semi"), "edges")
+    seen = materialize(cue_counts(docs, cues), "seen")
+    discard(all_edges, cues)
     scored = edges.withColumn("score", F.col("seed").cast("double"))
     for k in range(rounds):
         patterns = scored.withColumn("shape", F.explode(F.array("shape", F.lit(ANY)))).groupBy("cue", "shape").agg(F.sum(F.col("score") * F.col("times")).alias("mass"), F.sum("seed").alias("seeds")).where("seeds > 0")
@@ -267,6 +286,8 @@ def scored_patterns(scan: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             new = by_cue.groupBy("value").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))).alias("new"), F.max("good").alias("good"))
             seed = F.when((F.col("seed") == 1) | F.coalesce("good", F.lit(False)), 1).otherwise(0)
             score = F.when(F.col("seed") == 1, 1.0).otherwise(F.coalesce("new", F.lit(0.0)))
+            if k:
+                discard(scored)
             scored = materialize(edges.join(new, "value", "left").withColumn("seed", seed).withColumn("score", score).drop("new", "good"), f"scored-{k}")
     return confidence.select("cue", "shape", "confidence", "seeds")
 
@@ -274,10 +295,10 @@ def scored_patterns(scan: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 def extract(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(`row`, `doc_id`, `base`, `digest`) of every row and (`row`, `doc_id`, `s`, `e`) of what the patterns found."""
     scan = materialize(_scan(docs), "scan")
-    good = scored_patterns(scan).where(_good()).select("cue", "shape")
+    good = scored_patterns(docs, scan).where(_good()).select("cue", "shape")
     new = scan.where("tag = 'new'")
     found = materialize(new.join(good, _of_pattern(new, good), "left_semi").select("row", "doc_id", "s", "e"), "found")
-    return scan.where("tag = 'doc'").select("row", "doc_id", "base", F.col("n").alias("digest")), found
+    return scan.where("tag = 'doc'").select("row", "doc_id", "base", "digest"), found
 
 
 def spans_of(docs: DataFrame) -> DataFrame:

@@ -124,8 +124,12 @@ def plain_scores(texts, rounds):
             if c:
                 old = edges.get((c, kind, private.key_of(t[a:b])), [0, 0])
                 edges[c, kind, private.key_of(t[a:b])] = [max(old[0], seed), old[1] + 1]
-        for w in private.find_words(t):
+        for w in re.findall(r"[^\x20\x09-\x0D]+", t):
             seen[private.bounded_cue(w)] = seen.get(private.bounded_cue(w), 0) + 1
+    values = {}
+    for c, _, v in edges:
+        values.setdefault(c, set()).add(v)
+    edges = {e: v for e, v in edges.items() if len(values[e[0]]) >= private.SEEDS}
     seeds = {e: v[0] for e, v in edges.items()}
     score = {e: float(v[0]) for e, v in edges.items()}
     for k in range(rounds):
@@ -154,7 +158,7 @@ def plain_scores(texts, rounds):
     return {(c, kind): (conf[c, kind], held[c, kind]) for c, kind in conf}
 
 
-def test_pattern_scores_against_plain_ones(spark):
+def test_pattern_scores_against_plain_ones(spark, monkeypatch):
     r = random.Random(3)
     cards = ["4111111111111111", "5500005555555559", "4012888888881881", "6011000990139424", "a@b.co", "c@d.org", "10.0.0.7"]
     other = [f"AB{r.randrange(10**6):06d}X" for _ in range(8)] + [str(r.randrange(10**8, 10**9)) for _ in range(8)]
@@ -162,8 +166,9 @@ def test_pattern_scores_against_plain_ones(spark):
     texts = [" ".join(r.choice([r.choice(cues), f"{r.choice(cues)} {r.choice(cards + other)}", "the"]) for _ in range(r.randint(0, 12))) for _ in range(120)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     scan = private.materialize(private._scan(docs), "test")
-    for rounds in (1, 3):
-        got = {(x["cue"], x["shape"]): (x["confidence"], x["seeds"]) for x in private.scored_patterns(scan, rounds).collect()}
+    for rounds, most in ((1, 10), (3, 10), (3, 0)):
+        monkeypatch.setattr(private, "BROADCAST_CUES", most)
+        got = {(x["cue"], x["shape"]): (x["confidence"], x["seeds"]) for x in private.scored_patterns(docs, scan, rounds).collect()}
         want = plain_scores(texts, rounds)
         assert set(got) == set(want) and len(got) > 5
         assert all(abs(got[p][0] - want[p][0]) < 1e-9 and got[p][1] == want[p][1] for p in got)
