@@ -1,3 +1,6 @@
+import random
+import time
+
 from factloom.llm import html
 
 
@@ -47,3 +50,89 @@ def test_copies_of_a_page_have_one_vote(spark):
     assert {texts[i] for i in [*range(12), *range(100, 195)]} == {"Copied\nthe one body\ntwo & <three>"}
     seen = html.occurrences(df.selectExpr("split(url, '/')[2] as host", "html")).where("token = -1").collect()
     assert {r["host"]: r["pages"] for r in seen} == {"c.org": 1, "d.org": 9}
+
+
+def shuffled_pages(seed, n=9):
+    r = random.Random(seed)
+    out = []
+    for i in range(n):
+        items = "".join(f"<li>{r.choice('xyz')}" for _ in range(r.randint(0, 4)))
+        box = f"<div class=w{r.randrange(2)}><i>box</i><b>{i % 4}</b></div>" if r.random() < 0.6 else ""
+        out.append(f"<body><div class=top>Site</div><ul>{items}</ul>{box}<section><p>{r.choice(['same', f'body {i}'])}</p></section><small>end</small></body>")
+    return out + out[:3]
+
+
+def test_classes_against_brute_force(spark):
+    for seed in range(3):
+        sites = {h: shuffled_pages(10 * seed + k) for k, h in enumerate(("a", "b"))} | {"one": ["<p>x"] * 3}
+        df = spark.createDataFrame([(h, p) for h, ps in sites.items() for p in ps], "host string, html string").repartition(3)
+        got = {r["host"]: html.unpacked(bytes(r["template"])) for r in html.templates(df).collect()}
+        assert set(got) == {"a", "b"}
+        for host, template in got.items():
+            pages, places = sorted(set(sites[host])), {}
+            for k, page in enumerate(pages):
+                for at, (path, tag, text, _, _) in enumerate(html.read(page)):
+                    if tag is not None or html.tidy(text):
+                        places.setdefault(html.node_key(path, tag, text if tag is not None else html.tidy(text)), [[] for _ in pages])[k].append(at)
+            mean = {t: sum(map(sum, v)) / sum(map(len, v)) for t, v in places.items()}
+            by = {}
+            for t, v in places.items():
+                by.setdefault(tuple(map(len, v)), []).append(t)
+            want = {frozenset(v): sorted(v, key=lambda t: (mean[t], t)) for k, v in by.items() if len(v) > 1 and sum(map(bool, k)) > 1 and sum(map(bool, k)) >= html.SUPPORT * len(pages)}
+            classes = {}
+            for t, (k, rank, size, _, _) in template.items():
+                classes.setdefault(k, {})[rank] = t
+                assert 0 <= rank < size
+            assert {frozenset(c.values()) for c in classes.values()} == set(want)
+            orders = {k: [c[i] for i in range(len(c))] for k, c in classes.items()}
+            assert all([mean[t] for t in o] == sorted(mean[t] for t in o) for o in orders.values())
+
+            def inside(k, j):
+                """The slot of class j in which class k stands, or None."""
+                low, high = mean[orders[k][0]], mean[orders[k][-1]]
+                return next((i for i, (a, b) in enumerate(zip(orders[j], orders[j][1:])) if mean[a] < low and high <= mean[b]), None)
+
+            def depth(k):
+                return max((depth(j) + 1 for j in orders if j != k and inside(k, j) is not None), default=0)
+
+            for k, o in orders.items():
+                _, _, _, outer, slot = template[o[0]]
+                assert (outer == -1) == (depth(k) == 0)
+                if outer >= 0:
+                    assert inside(k, outer) == slot and depth(outer) + 1 == depth(k)
+            for page in pages:
+                keys = [html.node_key(path, tag, text if tag is not None else html.tidy(text)) for path, tag, text, _, _ in html.read(page)]
+                ranks = lambda k: [template[x][1] for x in keys if x in template and template[x][0] == k]
+                for k in html.holding(keys, template):
+                    assert ranks(k) == list(range(len(orders[k]))) * (len(ranks(k)) // len(orders[k]))
+                for k in orders:
+                    if template[orders[k][0]][3] == -1 and ranks(k) and ranks(k) == list(range(len(orders[k]))) * (len(ranks(k)) // len(orders[k])):
+                        assert k in html.holding(keys, template)
+
+
+def test_slots_without_marks(spark):
+    rows = [(i, f"http://e.org/{i}", f"<div>Our site</div><div><h2>Head {i}</h2><p>text {i} of this page, long enough</div><div>All rights reserved</div>") for i in range(3)]
+    lines = [f"line {k} of a text that two pages share" for k in range(9)]
+    rows += [(10 + i, f"http://f.org/{i}", "".join(f"<p>{x}" for x in [*lines, f"last {i}"])) for i in range(2)]
+    rows += [(20 + i, f"http://g.org/{i}", f"<article><h1>One title</h1><p>same</p><p>other {i}</p></article><div>foot</div>") for i in range(2)]
+    texts = {r["page_id"]: r["text"] for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [texts[i] for i in range(3)] == [f"Head {i}\ntext {i} of this page, long enough" for i in range(3)]
+    assert [texts[10 + i] for i in range(2)] == ["\n".join([*lines, f"last {i}"]) for i in range(2)]
+    assert [texts[20 + i] for i in range(2)] == [f"One title\nsame\nother {i}" for i in range(2)]
+
+
+def test_pages_meet_templates_by_a_join_too(spark, monkeypatch):
+    rows = [(i, f"http://e.org/{i}", page(f"Title {i}", f"body {i}")) for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(map(tuple, html.extracted(df).collect()))
+    monkeypatch.setattr(html, "BROADCAST_TOKENS", 0)
+    assert sorted(map(tuple, html.extracted(df).collect())) == want
+
+
+def test_broken_markup_stays_linear():
+    n = 200_000
+    for text in ("<a " * n, "<div>" * n + "</x>" * n, "<b>" * n + "<p>" * n, "<i>" * n + "<li></li>" * n, "<!" * n, "<!-- " * n, "<a \"x>y\" " * n + '"', "</" * n, "<" * n, "<a b='" * n, "<title>" * n, "<td>" * n + "</tr>" * n, "<![CDATA[" * n):
+        began = time.process_time()
+        html.main_text(text, None)
+        assert time.process_time() - began < 20, text[:20]
+    assert html.main_text('<a "x>y" z', None) == 'y" z' and html.main_text("x <a y", None) == "x <a y" and html.main_text("<p>a</q>b", None) == "ab"
