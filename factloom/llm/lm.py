@@ -1,15 +1,16 @@
 """Scoring by a gated recurrent language model with a class-factored output.
 
-Words are lower-cased (A-Z) and each text ends in one end token. The VOCAB commonest training tokens have
-ids; all other words share one more id. Ids are dealt into CLASSES classes of about equal summed root
-frequency, the shared id being a class by itself. A gated recurrent unit reads the previous id; from its
-state one softmax gives the class and a second one the id within the class. A word of the shared class has
-its smoothed unigram share of that class. Nothing is cut off: the state is carried across windows from a
-document's first token to its last.
-
-Training is truncated backpropagation in numpy over every training document: each task starts from the same
-weights, which already equal the class unigrams, runs over its own documents in windows of STEPS tokens on
-LANES lanes, and the tasks' weights are averaged by their numbers of tokens.
+Words are lower-cased (A-Z) and each text ends in one end token. Training tokens with a share of KNOWN or more
+have ids, so the corpus sets how many (1 / KNOWN at most); all other words share one more id. Ids are dealt
+into classes of about equal summed root frequency, as many as the root of the number of ids; the shared id is a
+class by itself. A gated recurrent unit reads the previous id; from its state one softmax gives the class and a
+second one the id within the class. A word of the shared class has its smoothed unigram share of that class.
+Nothing is cut off: the state is carried across windows from a document's first token to its last.
+
+Training is truncated backpropagation in numpy over every token of every training document: each task starts
+from the same weights, which already equal the class unigrams, runs over its own documents in windows of STEPS
+tokens on LANES lanes, and the tasks' weights are averaged by their numbers of tokens. So scores depend a little
+on how the input is split into tasks. In training a lane starts with an empty state, also inside a document.
 
 Counts are exact over all training texts. Words with a share of SHARE or more (so at most 1 / SHARE of them)
 are broadcast; the rest meet their counts in a join, in which by that bound no word is common.
@@ -31,14 +32,16 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import fold, lower_byte_words, materialize, table
 
-VOCAB, CLASSES, HIDDEN = 1024, 32, 8
-STEPS, LANES, RATE = 16, 1024, 0.1
+KNOWN, HIDDEN = 2e-5, 16
+STEPS, LANES, RATE = 16, 512, 0.1
 SHARE = 2e-6
 BUFFER = 400_000
 #: Tokens that are scored together.
 TOGETHER = 1_500_000
 END = ""
 _FLUSH = 300_000
+#: Weights that a row of the averaging holds.
+PART = 8192
 
 
 class Network:
@@ -47,10 +50,11 @@ class Network:
     def __init__(self, counts: np.ndarray):
         """counts: of the ids in descending order, the shared id's last."""
         k = len(counts) - 1
+        classes = max(2, round(math.sqrt(len(counts))))
         root = np.sqrt(np.maximum(counts[:k], 1.0))
         share = np.cumsum(root) / max(root.sum(), 1e-9)
-        cls = np.minimum(((share - root / max(root.sum(), 1e-9) / 2) * (CLASSES - 1)).astype(np.int64), CLASSES - 2)
-        used, self.word_class = np.unique(np.append(cls, CLASSES - 1), return_inverse=True)
+        cls = np.minimum(((share - root / max(root.sum(), 1e-9) / 2) * (classes - 1)).astype(np.int64), classes - 2)
+        used, self.word_class = np.unique(np.append(cls, classes - 1), return_inverse=True)
         self.first = np.searchsorted(self.word_class, np.arange(len(used) + 1))
         r = np.random.default_rng(5)
         c = np.maximum(counts.astype(np.float64), 0.5)
@@ -243,9 +247,10 @@ class Vocabulary:
     def __init__(self, head: list[tuple[str, int]], total: int, distinct: int):
         last = END.encode()
         head = sorted(((w.encode(), c) for w, c in head), key=lambda x: (-x[1], x[0]))
-        top = [x for x in head if x[0] != last][: VOCAB - 1] + [x for x in head if x[0] == last][:1]
+        top = [x for x in head if x[0] == last or x[1] >= KNOWN * total]
         top = sorted(top if last in dict(top) else [*top, (last, 0)], key=lambda x: (-x[1], x[0]))
-        rest = [x for x in head if x[0] not in dict(top)]
+        taken = dict(top)
+        rest = [x for x in head if x[0] not in taken]
         self.index = _Index({w: i for i, (w, _) in enumerate(top + rest)})
         self.counts = np.array([c for _, c in top + rest], np.int64)
         self.size, self.end = len(top), self.index[last]
@@ -284,12 +289,23 @@ def trained(docs: DataFrame, sent) -> np.ndarray:
             net.train(np.concatenate(held), vocab.end, sums)
         if seen + size:
             flat = net.flat().astype(np.float64) * (seen + size)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(flat), dtype=np.int32)), pa.array(np.append([seen + size], flat))], ["k", "v"])
+            parts = [flat[i : i + PART].tobytes() for i in range(0, len(flat), PART)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([seen + size] * len(parts), pa.int64()), pa.array(parts, pa.binary())], names)
 
-    found = docs.select("text").mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas().sort_values("k")  # one row a weight
-    if not len(found):
+    def add(batches):
+        sums: dict[int, list] = {}
+        for batch in batches:
+            for k, n, v in zip(*(c.to_pylist() for c in batch.columns)):
+                held = sums.setdefault(k, [0, 0.0])
+                held[0] += n
+                held[1] = held[1] + np.frombuffer(v)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x[0] for x in sums.values()], pa.int64()), pa.array([x[1].tobytes() for x in sums.values()], pa.binary())], names)
+
+    names = ["k", "n", "v"]
+    found = docs.select("text").mapInArrow(run, "k int, n long, v binary").repartition("k").mapInArrow(add, "k int, n long, v binary").collect()  # the weights once
+    if not found:
         return Network(sent.value.net_counts).flat()
-    return np.round(found.v.to_numpy()[1:] / found.v.to_numpy()[0], 6)
+    return np.round(np.concatenate([np.frombuffer(r["v"]) / r["n"] for r in sorted(found, key=lambda r: r["k"])]), 6)
 
 
 def scored(docs: DataFrame, held_out) -> DataFrame:
