@@ -5,15 +5,17 @@ good and bad labelled texts, its share of symbols, its share of repeated words a
 judged in two levels, host and path: good and total labels plus, at SOFT of a label each, the evidence of
 unlabelled documents. The global prior is a Beta fitted by moments to the hosts' rates; a host's posterior
 shrinks towards it, a path's posterior shrinks towards its host's, each by a strength fitted by moments, so
-sparse sites say little. A document's score adds the log odds of its evidence and of its path, less those of
-the global rate.
+sparse sites say little. A document's score adds the log odds of its evidence and of its path, less those of the
+global rate; there the document is left out of its path and host, so that neither its label nor its evidence
+counts twice.
 
 The classifier is fitted on a bounded sample, the LABELLED labelled ids with the smallest hash; sites, priors
 and scores cover every document. Documents have no url here, so their host is `source` and their path
 `source` and `lang`; `classify` takes any expressions.
 
 Cases: a null or wordless text has the evidence of an empty one and is scored; null hosts and paths are sites
-of their own; without usable labels evidence is 0.5 for all; conflicting labels of an id count as one of
+of their own, apart from empty ones; of rows that repeat a labelled id the one with the smallest measures is
+fitted; without usable labels evidence is 0.5 for all; conflicting labels of an id count as one of
 quality 0; repeated rows and null ids are rows of their own; an empty table gives an empty table; other
 columns are ignored.
 """
@@ -109,7 +111,7 @@ def classify(docs: DataFrame, labels: DataFrame, host, path) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path"), "text")
     made = materialize(measures(rows, word_ratios(rows, sample)), "measures")
     names = ["ratio", "symbols", "repeats", "length"]
-    fit = made.join(F.broadcast(sample), "doc_id").select(*names, "quality").limit(4 * LABELLED).toPandas()
+    fit = made.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(*names)).alias("m")).select("m.*", "quality").orderBy(*names, "quality").toPandas()  # LABELLED rows at most
     mean, scale, w = logistic(fit[names].to_numpy(float), fit.quality.to_numpy(float))
     logit = F.lit(float(w[-1]))
     for k, name in enumerate(names):
@@ -123,15 +125,19 @@ def classify(docs: DataFrame, labels: DataFrame, host, path) -> DataFrame:
     top = min(max((k + 0.5) / (n + 1), 1e-3), 1 - 1e-3)
     prior = hosts.agg(_strength(F.col("host_k") / F.col("host_n"), F.col("host_n"), top)).first()[0] or 2.0
     inner = paths.agg(_strength(F.col("k") / F.col("n"), F.col("n"), top)).first()[0] or 2.0
-    hosts = hosts.withColumn("host_posterior", (F.col("host_k") + prior * top) / (F.col("host_n") + prior)).select(F.col("host").alias("h"), "host_posterior")
-    sites = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).withColumn("path_posterior", (F.col("k") + inner * F.col("host_posterior")) / (F.col("n") + inner))
-    sites = materialize(sites.select("h", F.col("path").alias("q"), "host_posterior", "path_posterior"), "sites")
+    sites = paths.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h")))
+    sites = materialize(sites.select("h", F.col("path").alias("q"), "n", "k", "host_n", "host_k"), "sites")
     small = sites.count() <= BROADCAST_SITES
     out = judged.join(F.broadcast(sites) if small else sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")))
-    score = 1 / (1 + F.exp(-(_log_odds(F.col("evidence")) + _log_odds(F.col("path_posterior")) - float(np.log(top / (1 - top))))))
+    own_n, own_k = weight, weight * F.coalesce(F.col("quality").cast("double"), F.col("evidence"))
+    host_of = lambda n, k: (F.col("host_k") - k + prior * top) / (F.col("host_n") - n + prior)
+    path_of = lambda n, k: (F.col("k") - k + inner * host_of(n, k)) / (F.col("n") - n + inner)
+    out = out.withColumn("host_posterior", host_of(0, 0)).withColumn("path_posterior", path_of(0, 0))
+    others = F.greatest(F.least(path_of(own_n, own_k), F.lit(1 - 1e-6)), F.lit(1e-6))
+    score = 1 / (1 + F.exp(-(_log_odds(F.col("evidence")) + _log_odds(others) - float(np.log(top / (1 - top))))))
     return out.withColumn("score", score).select("doc_id", "evidence", "host_posterior", "path_posterior", "score", (F.col("score") >= KEEP).alias("kept"))
 
 
 def op1_site_quality(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return classify(docs, table(spark, sf_dir, "labels"), F.col("source"), F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))))
+    return classify(docs, table(spark, sf_dir, "labels"), F.col("source"), F.to_json(F.struct("source", "lang")))
