@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 K, S = 20, 10
+#: Ranges of ids hold a given number of rows up to RANGES of them; further ones come where a range would hold more than MOST_PART.
+RANGES, MOST_PART = 4000, 50_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _LOW = np.uint64(2**32 - 1)
@@ -163,7 +165,7 @@ def with_edits(df: DataFrame, per_part: int = 2000) -> DataFrame:
     place = F.coalesce("doc_id", F.lit(low))
     ids = docs.select(place.alias("place"))
     n = ids.count()
-    parts = max(1, min(4000, -(-n // per_part)))
+    parts = max(1, min(RANGES, -(-n // per_part)), -(-n // MOST_PART))
     cuts = ids.approxQuantile("place", [i / parts for i in range(1, parts)], 1 / (parts * 8)) if parts > 1 else []
     cuts = sorted({int(c) for c in cuts})
     edges = np.array(cuts, np.int64)
@@ -181,6 +183,11 @@ def with_edits(df: DataFrame, per_part: int = 2000) -> DataFrame:
     starts = {r["part"]: r["start"] for r in found}
     used = sorted(starts)
     copies = {starts[used[(i + 1) % len(used)]]: p for i, p in enumerate(used)}
+    tasks = max(1, len(used))
+    # a number for each range whose hash is the range's own task
+    hashed = spark.range(12 * tasks).groupBy(F.pmod(F.hash("id"), F.lit(tasks)).alias("task")).agg(F.min("id").alias("id")).collect()
+    number = {r["task"]: r["id"] for r in hashed}
+    deals = {p: number.get(i, p) for i, p in enumerate(used)}
 
     def deal(batches):
         press = zstandard.ZstdCompressor(level=3).compress
@@ -192,13 +199,13 @@ def with_edits(df: DataFrame, per_part: int = 2000) -> DataFrame:
             take = pa.array([*range(len(part)), *more])
             kind = [0] * len(part) + [1] * len(more)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), pa.array(texts, pa.binary()).take(take), batch.column(2).take(take), pa.array(to, pa.int32()), pa.array(kind, pa.int32())],
-                ["doc_id", "text", "place", "part", "kind"],
+                [batch.column(0).take(take), pa.array(texts, pa.binary()).take(take), batch.column(2).take(take), pa.array(to, pa.int32()), pa.array(kind, pa.int32()), pa.array([deals[p] for p in to], pa.int64())],
+                ["doc_id", "text", "place", "part", "kind", "deal"],
             )
 
     dealt = docs.select("doc_id", "text", place.alias("place"))
-    packed = dealt.mapInArrow(deal, "doc_id long, text binary, place long, part int, kind int")
-    laid = packed.repartition(max(1, len(used)), "part").sortWithinPartitions("part", "kind", "place", "text")
+    packed = dealt.mapInArrow(deal, "doc_id long, text binary, place long, part int, kind int, deal long")
+    laid = packed.repartition(tasks, "deal").sortWithinPartitions("part", "kind", "place", "text")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def score(doc_id, points, own, following, next_own):
