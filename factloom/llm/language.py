@@ -34,7 +34,8 @@ ALPHA = 0.1
 UNKNOWN = 1e-9
 #: Words from this length on are scored one by one, with rescaling.
 SHORT = 26
-_MEMO = 1_000_000
+#: Words in each of the memo's two generations: one fills, and what it asks of the one before moves over.
+_MEMO = 150_000
 
 letters = re.compile(r"[^\W\d_]+").findall
 
@@ -58,8 +59,8 @@ class Model:
         self.starts = {p[:i] for p in pieces for i in range(1, len(p) + 1)}
         self.table = dict.fromkeys(self.starts, -1) | {p: k for k, p in enumerate(pieces)}
         self.probs = np.array([*pieces.values(), (UNKNOWN,) * len(langs)], np.float64).reshape(len(pieces) + 1, len(langs))
-        self.row: dict[str, int] = {}
-        self.scores = np.zeros((1024, len(langs)))
+        self.row, self.before = {}, {}
+        self.scores = self.scores_before = np.zeros((1024, len(langs)))
 
     def forward(self, word: str) -> np.ndarray:
         s, k = MARK + word, len(self.langs)
@@ -115,17 +116,22 @@ class Model:
         """Puts the words' scores into the memo."""
         new = [w for w in words if w not in self.row]
         if len(self.row) + len(new) > _MEMO:
-            self.row.clear()
-            new = list(words)
+            self.before, self.scores_before = self.row, self.scores
+            self.row, self.scores, new = {}, np.zeros((1024, len(self.langs))), list(words)
+        known = [w for w in new if w in self.before]
+        new = [w for w in new if w not in self.before]
         short, long = [w for w in new if len(w) < SHORT], [w for w in new if len(w) >= SHORT]
-        at = len(self.row)
-        while len(self.scores) < at + len(new):
+        at, more = len(self.row), len(known) + len(new)
+        while len(self.scores) < at + more:
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+        if known:
+            self.scores[at : at + len(known)] = self.scores_before[[self.before[w] for w in known]]
+        self.row.update(zip(known + short + long, range(at, at + more)))
+        at += len(known)
         for i in range(0, len(short), 5000):
             self.scores[at + i : at + i + len(short[i : i + 5000])] = self.forward_many(short[i : i + 5000])
         for i, w in enumerate(long, at + len(short)):
             self.scores[i] = self.forward(w)
-        self.row.update(zip(short + long, range(at, at + len(new))))
 
     def text_scores(self, words: list[str]) -> np.ndarray:
         return self.scores[np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))].sum(axis=0)

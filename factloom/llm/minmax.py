@@ -44,7 +44,7 @@ SALT = 256
 CHUNK = 256
 #: Keys to broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-_MEMO = 300_000
+_MEMO = 150_000
 
 _rng = np.random.default_rng(20240)
 _A = _rng.integers(0, 2**63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -66,3 +66,15 @@ def test_long_pieces_count():
     model = lang.Model(["a", "b"], np.zeros(2), {piece: (0.25, 0.5), "▁": (0.1, 0.1)})
     want = np.log([0.25, 0.5])
     assert np.allclose(model.forward("international"), want) and np.allclose(model.forward_many(["international"])[0], want)
+
+
+def test_memo_generations(monkeypatch):
+    monkeypatch.setattr(lang, "_MEMO", 6)
+    m, whole = model(), model()
+    texts = [" ".join(w) for w in (["a", "ab", "aba"], ["a", "b" * 40, "zab"], ["ab", "abab", "bb", "ba"], ["aab", "a", "b" * 40, "bba"], ["a"] * 3, [chr(97 + i) for i in range(20)])]
+    for t in [*texts, *texts[::-1]]:
+        monkeypatch.setattr(lang, "_MEMO", 6)
+        got = m.predict(t)
+        monkeypatch.setattr(lang, "_MEMO", 10**6)
+        assert got == whole.predict(t)
+    assert len(m.row) <= 20
