@@ -135,6 +135,37 @@ def parse_kind(text: str) -> str | None:
     return text if text in KINDS else KIND_ALIASES.get(text)
 
 
+def parse_edge_kind(text: str) -> str | None:
+    return text if text in EDGE_KINDS else None
+
+
+def _mapped(value: Column, known: dict[str, str], default: str) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    return F.coalesce(F.element_at(table, F.coalesce(value, F.lit(""))), F.lit(default))
+
+
+def kind_or(value: Column, default: str) -> Column:
+    """The kind that a spelling means, else the default."""
+    return _mapped(value, {k: k for k in KINDS} | KIND_ALIASES, default)
+
+
+def language_or(value: Column, default: str) -> Column:
+    return _mapped(F.lower(value), {k: k for k in EXTENSIONS} | LANGUAGE_ALIASES, default)
+
+
+def edge_kind_or(value: Column, default: str) -> Column:
+    return _mapped(value, {k: k for k in EDGE_KINDS}, default)
+
+
+def truncated(text: Column, most: int) -> Column:
+    """At most `most` bytes of UTF-8, cut between characters, in the JVM."""
+    raw = F.encode(text, "UTF-8")
+    cut = lambda n: F.substring(raw, 1, most - n)
+    whole = lambda n: F.is_valid_utf8(cut(n).cast("string"))
+    kept = F.when(whole(0), cut(0)).when(whole(1), cut(1)).when(whole(2), cut(2)).otherwise(cut(3))
+    return F.when(F.octet_length(text) <= most, text).otherwise(kept.cast("string"))
+
+
 def node_id(kind: Column, path: Column, name: Column, line: Column) -> Column:
     return F.concat_ws(":", kind, path, name, line.cast("string"))
 

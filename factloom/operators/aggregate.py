@@ -21,6 +21,19 @@ def by_language(nodes: DataFrame, hashes: DataFrame) -> DataFrame:
     return counted(joined.select(F.coalesce("language", F.lit("none")).alias("language")), "language")
 
 
+# Language servers and the languages they read.
+PROVIDERS = {"rust-analyzer": ["rust"], "typescript-language-server": ["typescript", "tsx", "javascript", "jsx"]}
+
+
+def providers(nodes: DataFrame) -> DataFrame:
+    """`provider` (null for languages without one), how many `languages` of its own there are, and `n`, their nodes."""
+    provider = F.lit(None).cast("string")
+    for name, languages in PROVIDERS.items():
+        provider = F.when(F.col("language").isin(languages), name).otherwise(provider)
+    by = counted(nodes, "language")
+    return by.groupBy(provider.alias("provider")).agg(F.count("*").alias("languages"), F.sum("n").alias("n"))
+
+
 def unresolved_report(refs: DataFrame, samples: int = 20) -> DataFrame:
     """The first `samples` references in order, each with the number of all and whether more follow."""
     top = refs.orderBy("file_path", "line", "specifier").limit(samples)

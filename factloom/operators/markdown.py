@@ -48,3 +48,13 @@ def anchors(heads: DataFrame, key: str = "file_path") -> DataFrame:
     base = heads.withColumn("_a", anchor(F.col("title")))
     n = F.row_number().over(Window.partitionBy(key, "_a").orderBy("i")) - 1
     return base.withColumn("anchor", F.when(n == 0, F.col("_a")).otherwise(F.concat_ws("-", "_a", n.cast("string")))).drop("_a")
+
+
+def links(of_lines: DataFrame) -> DataFrame:
+    """(file_path, i, target) of links to anchors, outside fences, inline code and images."""
+    trimmed = F.regexp_replace("line", r"^\s+", "")
+    fence = trimmed.startswith("```") | trimmed.startswith("~~~")
+    opened = F.sum(fence.cast("int")).over(Window.partitionBy("file_path").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)) % 2
+    plain = of_lines.withColumn("_o", opened).where(~fence & (F.col("_o") == 0)).withColumn("line", F.regexp_replace("line", "`[^`]*`", ""))
+    found = F.explode(F.regexp_extract_all("line", F.lit(r"(?<!!)\[[^\]]*\]\(\s*<?#([^)>]*)>?\s*\)"), 1))
+    return plain.select("file_path", "i", found.alias("t")).select("file_path", "i", anchor(F.col("t")).alias("target"))

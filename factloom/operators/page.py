@@ -6,6 +6,7 @@ import hashlib
 import json
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 DEFAULT, MOST = 20, 50
 
@@ -14,6 +15,11 @@ def bounded_limit(limit: int | None) -> int:
     return max(1, min(MOST, DEFAULT if limit is None else limit))
 
 
+def bounded_limits(limit):
+    """bounded_limit for a Column."""
+    return F.greatest(F.lit(1), F.least(F.lit(MOST), F.coalesce(limit, F.lit(DEFAULT))))
+
+
 def page(ordered: DataFrame, offset: int, limit: int) -> tuple[list, bool]:
     """The rows of a page and whether more follow."""
     rows = ordered.offset(offset).limit(limit + 1).collect()

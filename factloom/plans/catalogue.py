@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from factloom.functions import names as N
-from factloom.operators import aggregate, graph, imports, markdown, mutate, resolve, scan, structure, text
+from factloom.operators import aggregate, graph, imports, markdown, mutate, page, resolve, rows, scan, structure, text
 from factloom.plans.projection import oracle, view
 
 _QUERIES: dict[str, Callable] = {}
@@ -635,6 +635,74 @@ def _(t):
     return t("p_sym").select("k", N.simple_hash(F.concat("name", F.lit("é😀"))).alias("hash"))
 
 
+# --- stored rows -------------------------------------------------------------------
+
+_KIND_IN = "case k % 6 when 0 then 'field' when 1 then 'const' when 2 then 'package' when 3 then 'Function' when 4 then 'method' else 'gadget' end"
+_KIND_OUT = "case k % 6 when 0 then 'property' when 1 then 'constant' when 2 then 'namespace' when 3 then 'variable' when 4 then 'method' else 'variable' end"
+_LANG_IN = "case k % 5 when 0 then 'GoLang' when 1 then 'C++' when 2 then 'rust' when 3 then 'klingon' else 'Shell' end"
+_LANG_OUT = "case k % 5 when 0 then 'go' when 1 then 'cpp' when 2 then 'rust' when 3 then 'typescript' else 'bash' end"
+_META = "case k % 4 when 0 then concat('{\"body\": \"fn ', name, '\", \"exported\": true}') when 1 then '{\"body\": 7, \"exported\": \"yes\"}' when 2 then 'no json' end"
+
+
+@query("s16_decode_nodes", f"select id, {_KIND_OUT} as kind, {_LANG_OUT} as language, case when k % 4 = 0 then concat('fn ', name) end as body, case when k % 4 = 0 then true end as exported from p_sym")
+def _(t):
+    stored = t("p_sym").select("id", F.expr(_KIND_IN).alias("kind"), F.expr(_LANG_IN).alias("language"), F.expr(_META).alias("metadata"))
+    return rows.decoded_nodes(stored)
+
+
+@query("s16_decode_edges", "select id as source_id, case when k % 3 = 0 then 'calls' else 'references' end as kind, case when k % 2 = 0 then file_path else concat('old/', file_path) end as file_path, cast(case when k % 4 < 2 then start_line when k % 4 = 2 then 12 else 0 end as int) as line, case when k % 4 = 2 then 'heuristic' end as confidence from p_sym")
+def _(t):
+    stored = t("p_sym").select(F.col("id").alias("source_id"), F.expr("case k % 3 when 0 then 'calls' when 1 then 'Calls' end").alias("kind"), F.expr("case when k % 2 = 0 then file_path else '' end").alias("file_path"), F.expr("cast(case when k % 4 < 2 then start_line else 0 end as int)").alias("line"), F.expr("concat('{\"filePath\": \"old/', file_path, '\", \"line\": ', case when k % 4 = 2 then '\"12\", \"confidence\": \"heuristic\"' else '\"x\"' end, '}')").alias("properties"))
+    return rows.decoded_edges(stored)
+
+
+@query("f03_loose_names", f"select k, {_KIND_OUT} as kind, {_LANG_OUT} as language, case when k % 3 = 0 then 'calls' else 'references' end as edge_kind from p_sym")
+def _(t):
+    edge = F.expr("case when k % 3 = 0 then 'calls' else 'CALLS' end")
+    return t("p_sym").select("k", N.kind_or(F.expr(_KIND_IN), "variable").alias("kind"), N.language_or(F.expr(_LANG_IN), "typescript").alias("language"), N.edge_kind_or(edge, "references").alias("edge_kind"))
+
+
+@query("f07_rust_tests", "select k, k % 4 in (0, 1, 3) as is_test from p_sym")
+def _(t):
+    body = F.expr("case k % 4 when 0 then concat('#[test]\nfn ', name) when 1 then concat('  #[cfg(x)]\n#[tokio::test(flavor = \"x\")]\nasync fn ', name) when 2 then concat('fn ', name, '() { #[test] }') else 'fn x' end")
+    qualified = F.expr("case when k % 4 = 3 then concat('tests.', name) else concat('contests.', name) end")
+    return t("p_sym").select("k", N.rust_test_marks(body, qualified).alias("is_test"))
+
+
+@query("f14_json_value", "select k, case when k % 4 = 0 then concat('fn ', name) end as body from p_sym")
+def _(t):
+    return t("p_sym").select("k", rows.json_text(F.expr(_META), "body").alias("body"))
+
+
+@query("f16_truncated", "select doc_id, cast(case when octet_length(encode(text)) <= 100 then length(text) else list_count(list_filter(range(1, 101), lambda i: octet_length(encode(substr(text, 1, i))) <= 100)) end as int) as chars, substr(text, 1, case when octet_length(encode(text)) <= 100 then length(text) else list_count(list_filter(range(1, 101), lambda i: octet_length(encode(substr(text, 1, i))) <= 100)) end) as head from documents")
+def _(t):
+    return t("documents").select("doc_id", N.truncated(F.col("text"), 100).alias("head")).select("doc_id", F.length("head").alias("chars"), "head")
+
+
+@query("f19_envelopes", "select k, concat('{\"startColumn\":3,\"endColumn\":9', case when k % 2 = 0 then concat(',\"body\":\"', name, '\"') else '' end, case when exported then ',\"exported\":true' else ',\"exported\":false' end, '}') as node, concat('{\"confidence\":\"static\",\"filePath\":\"', file_path, '\",\"line\":\"', cast(start_line as varchar(20)), '\"}') as edge from p_sym")
+def _(t):
+    nodes = t("p_sym").withColumn("start_column", F.lit(3)).withColumn("end_column", F.lit(9)).withColumn("body", F.expr("case when k % 2 = 0 then name end"))
+    props = F.create_map(F.lit("confidence"), F.lit("static"), F.lit("line"), F.lit("0"))
+    return nodes.select("k", rows.node_envelope(nodes).alias("node"), rows.edge_envelope(props, F.col("file_path"), F.col("start_line")).alias("edge"))
+
+
+@query("x27_links", "select file_path, i, case when i % 2 = 0 then 'part-one' else 'intro' end as target from p_md where lvl is not null union all select file_path, i, 'intro' from p_md where lvl is not null and i % 2 = 0")
+def _(t):
+    line = F.expr("case when lvl is null then '![x](#part-one) `[y](#intro)` plain' when i % 2 = 0 then 'a [b](#Part One) ![no](#x) [c](<#intro>) `[d](#d)`' else 'see [e]( #Intro )' end")
+    return markdown.links(t("p_md").select("file_path", "i", line.alias("line")))
+
+
+@query("l01_limits", "select k, cast(greatest(1, least(50, case when k % 7 = 0 then 20 else k % 90 - 10 end)) as int) as most from p_sym")
+def _(t):
+    return t("p_sym").select("k", page.bounded_limits(F.expr("case when k % 7 <> 0 then cast(k % 90 - 10 as int) end")).alias("most"))
+
+
+@query("a14_providers", "select case when language in ('typescript', 'tsx', 'javascript', 'jsx') then 'typescript-language-server' when language = 'rust' then 'rust-analyzer' end as provider, count(distinct language) as languages, count(*) as n from (select case k % 5 when 0 then 'typescript' when 1 then 'tsx' when 2 then 'rust' when 3 then 'go' else 'python' end as language from p_sym) x group by 1")
+def _(t):
+    nodes = t("p_sym").select(F.expr("case k % 5 when 0 then 'typescript' when 1 then 'tsx' when 2 then 'rust' when 3 then 'go' else 'python' end").alias("language"))
+    return aggregate.providers(nodes)
+
+
 # --- workflows ---------------------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ import fnmatch
 import os
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import names as N
@@ -128,7 +128,7 @@ def markdown_facts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = nodes.select("id", F.lit("heading").alias("kind"), F.col("title").alias("name"), "qualified_name", "file_path", F.col("i").alias("start_line"), "end_line", F.lit(0).alias("start_column"), F.lit(0).alias("end_column"), F.lit("markdown").alias("language"), bounded(trimmed).alias("doc_comment"), bounded(trimmed).alias("body"), F.lit(None).cast("boolean").alias("exported"))
     up = heads.select("file_path", F.col("i").alias("parent_line"), F.col("id").alias("source_id"))
     tree = heads.join(up, ["file_path", "parent_line"]).select("source_id", F.col("id").alias("target_id"), F.lit("contains").alias("kind"), "file_path", F.col("i").alias("line"), F.col("title").alias("target_name"))
-    links = _links(of_lines)
+    links = markdown.links(of_lines)
     from_head = links.join(heads.select("file_path", F.col("i").alias("_h"), F.col("id").alias("source_id")), "file_path").where("_h <= i")
     from_head = from_head.groupBy("file_path", "i", "target").agg(F.max_by("source_id", "_h").alias("source_id"))
     to = heads.select("file_path", F.col("anchor").alias("target"), F.col("id").alias("target_id"))
@@ -136,16 +136,6 @@ def markdown_facts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, tree.unionByName(refs)
 
 
-def _links(of_lines: DataFrame) -> DataFrame:
-    """(file_path, i, target) of links to anchors, outside fences, inline code and images."""
-    trimmed = F.regexp_replace("line", r"^\s+", "")
-    fence = trimmed.startswith("```") | trimmed.startswith("~~~")
-    opened = F.sum(fence.cast("int")).over(Window.partitionBy("file_path").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)) % 2
-    plain = of_lines.withColumn("_o", opened).where(~fence & (F.col("_o") == 0)).withColumn("line", F.regexp_replace("line", "`[^`]*`", ""))
-    found = F.explode(F.regexp_extract_all("line", F.lit(r"(?<!!)\[[^\]]*\]\(\s*<?#([^)>]*)>?\s*\)"), 1))
-    return plain.select("file_path", "i", found.alias("t")).select("file_path", "i", N.anchor(F.col("t")).alias("target"))
-
-
 def assemble(raw: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, unresolved) of a whole repository from stored raw facts and files, by joins alone.
 
