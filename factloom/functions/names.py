@@ -266,6 +266,11 @@ def anchor(title: Column) -> Column:
     return F.when(out == "", "section").otherwise(out)
 
 
+def extractor_of(kind: str, language: str | None) -> str:
+    """What a fact was read by."""
+    return {"endpoint": "route-pattern", "heading": "markdown-heading"}.get(kind, "python-ast" if language == "python" else "declaration-pattern")
+
+
 def bounded(text: str, most: int, mark: str = "...") -> str:
     """At most `most` bytes of UTF-8, cut between characters, with a mark if anything went."""
     raw = text.encode()

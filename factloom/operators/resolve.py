@@ -49,10 +49,17 @@ def best_targets(refs: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     return best.select(*refs.columns, F.coalesce("target_id", F.concat(F.lit("unresolved:"), "target_name")).alias("target_id"))
 
 
+def bound(sites: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """The call edges of the sites (key, source_id, target_name, file_path, line, …); a site without candidates is unresolved."""
+    found = chosen(callable_candidates(sites, nodes, key))
+    lost = sites.join(found.select(key).distinct(), key, "left_anti")
+    names_of = [key, "source_id", "file_path", "line", "target_name"]
+    made = found.select(*names_of, "target_id", "resolution", "confidence", "candidate_count", "truncated", "call_form")
+    missed = lost.select(*names_of, F.concat(F.lit("unresolved:"), "target_name").alias("target_id"), F.lit("unresolved").alias("resolution"), F.lit("unresolved").alias("confidence"), "call_form")
+    return made.unionByName(missed, allowMissingColumns=True)
+
+
 def rebind(sites: DataFrame, names: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
-    """New edges of the sites whose target name is among the changed names; those without candidates are unresolved."""
+    """bound() of the sites whose target name is among the changed names (name)."""
     touched = sites.join(names.select(F.col("name").alias("target_name")).distinct(), "target_name", "left_semi")
-    found = chosen(callable_candidates(touched, nodes, key))
-    lost = touched.join(found.select(key).distinct(), key, "left_anti")
-    names_of = ["source_id", "file_path", "line", "target_name"]
-    return found.select(key, *names_of, "target_id", "resolution").unionByName(lost.select(key, *names_of, F.concat(F.lit("unresolved:"), "target_name").alias("target_id"), F.lit("unresolved").alias("resolution")))
+    return bound(touched, nodes, key)

@@ -14,7 +14,7 @@ def fingerprints(files: DataFrame) -> DataFrame:
 
 
 def in_order(nodes: DataFrame) -> DataFrame:
-    return nodes.orderBy("file_path", "start_line", "id")
+    return nodes.orderBy("file_path", "start_line", *(["start_column"] if "start_column" in nodes.columns else []), "id")
 
 
 def edges_in_order(edges: DataFrame) -> DataFrame:
@@ -70,7 +70,8 @@ def static_only(edges: DataFrame) -> DataFrame:
 def symbol_facts(nodes: DataFrame, hashes: DataFrame) -> DataFrame:
     """Nodes with the hash of their file, the extractor and the confidence of their kind."""
     kind = F.col("kind")
-    extractor = F.when(kind == "endpoint", "endpoint-ast").when(kind == "heading", "markdown-heading").otherwise("tree-sitter")
+    python = (F.col("language") == "python") if "language" in nodes.columns else F.lit(False)
+    extractor = F.when(kind == "endpoint", "route-pattern").when(kind == "heading", "markdown-heading").when(python, "python-ast").otherwise("declaration-pattern")
     confidence = F.when(kind == "endpoint", "heuristic").otherwise("static")
     hashed = hashes.select("file_path", F.col("content_hash").alias("source_hash"))
     return nodes.join(hashed, "file_path", "left").withColumn("extractor", extractor).withColumn("confidence", confidence)

@@ -103,7 +103,7 @@ def _(t):
 # --- projections and filters ---------------------------------------------------
 
 
-@query("p01_symbol_fact", f"select {_NODE.replace('file_path', 'n.file_path')}, h.content_hash as source_hash, 'tree-sitter' as extractor, 'static' as confidence from p_node n left join p_hash h on h.file_path = n.file_path")
+@query("p01_symbol_fact", f"select {_NODE.replace('file_path', 'n.file_path')}, h.content_hash as source_hash, 'declaration-pattern' as extractor, 'static' as confidence from p_node n left join p_hash h on h.file_path = n.file_path")
 def _(t):
     return scan.symbol_facts(t("p_node"), t("p_hash")).select(*NODE, "source_hash", "extractor", "confidence")
 
@@ -397,7 +397,7 @@ def _(t):
 
 @query("j19_barrel", _PROBED + " select distinct r.file_path, n.id as target_id, n.name from r join p_node n on n.file_path = r.resolved and n.exported")
 def _(t):
-    return imports.barrels(_probed(t), t("p_node"))
+    return imports.barrels(_probed(t).select("file_path", "resolved").distinct(), t("p_node")).select("file_path", "target_id", "name")
 
 
 _SNAP = "select coalesce(a.doc_id, b.doc_id) as doc_id, case when a.h is null then 'added' when b.h is null then 'removed' when a.h <> b.h then 'changed' else 'same' end as state from (select doc_id, sha256(text) as h from documents where doc_id % 10 <> 0) a full outer join (select doc_id, sha256(case when doc_id % 7 = 0 then concat(text, '!') else text end) as h from documents where doc_id % 13 <> 0) b on a.doc_id = b.doc_id"

@@ -1,8 +1,9 @@
 """The five workflows over one repository, and the registry of repositories.
 
 A snapshot is a folder of Parquet tables; manifest.json names the current one and is replaced last, so a
-reader never sees half a refresh. A refresh extracts changed files only and resolves everything again by
-joins, so that it equals a cold build.
+reader never sees half a refresh. A refresh reads only files whose size or time of change is new, extracts those
+whose hash changed, and resolves again what they or the names that they declare can move, so that it equals a cold
+build. The search index is stored with the snapshot, in ranges of terms.
 """
 
 from __future__ import annotations
@@ -10,29 +11,34 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import shutil
 import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import names as N
+from factloom.functions.storage import delete, is_local, read_text, shared_dir, write_text
 from factloom.operators import graph, mutate, page, scan, structure, text
 from factloom.sources import repository as repo
 
-EXTRACTOR = "1"
+EXTRACTOR = "2"
 SOURCE_BYTES, SECTION_BYTES = 4096, 2048
 CONTEXT_MOST, CONTEXT_EDGES, SAMPLES = 3, 5, 20
-SEARCHED = ["name", "qualified_name", "doc_comment", "file_path", "name_tokens"]
+SEARCHED = ["name", "qualified_name", "body", "doc_comment", "file_path", "name_tokens"]
+FILES = ["file_path", "language", "text", "content_hash", "size", "changed"]
 
 
 class FactsError(ValueError):
     pass
 
 
-def default_state(root: str) -> str:
+def default_state(spark: SparkSession, root: str) -> str:
+    """On a cluster a folder of the shared one, else one of the user's."""
+    name = hashlib.sha256(root.encode()).hexdigest()[:24]
+    if not is_local(spark):
+        return f"{shared_dir(spark)}/factloom/{name}"
     base = os.environ.get("XDG_STATE_HOME") or os.path.join(os.path.expanduser("~"), ".local", "state")
-    return os.path.join(base, "factloom", hashlib.sha256(root.encode()).hexdigest()[:24])
+    return os.path.join(base, "factloom", name)
 
 
 class Repository:
@@ -40,24 +46,29 @@ class Repository:
         if not os.path.isdir(root):
             raise FactsError(f"not a folder: {root}")
         self.spark, self.root = spark, os.path.realpath(root)
-        self.state = state or default_state(self.root)
-        os.makedirs(self.state, exist_ok=True)
+        state = state or default_state(spark, self.root)
+        if ":" not in state.split("/", 1)[0]:
+            if not is_local(spark):
+                raise FactsError("state must be on a storage that driver and executors share")
+            state = "file:" + os.path.abspath(state)
+        self.state = state.rstrip("/")
         self.tables: dict[str, DataFrame] = {}
 
     # snapshots
 
     def manifest(self) -> dict:
-        try:
-            with open(os.path.join(self.state, "manifest.json"), encoding="utf-8") as f:
-                return json.load(f)
-        except OSError:
-            return {"generation": 0, "extractor": None, "folder": None}
+        found = read_text(self.spark, f"{self.state}/manifest.json")
+        return json.loads(found) if found else {"generation": 0, "extractor": None, "folder": None}
 
     def _stored(self, name: str) -> DataFrame:
         if name not in self.tables:
-            self.tables[name] = self.spark.read.parquet(f"file:{self.state}/{self.manifest()['folder']}/{name}").cache()
+            self.tables[name] = self.spark.read.parquet(f"{self.state}/{self.manifest()['folder']}/{name}").cache()
         return self.tables[name]
 
+    @property
+    def index(self) -> text.Index:
+        return text.Index(*(self._stored(f"index-{t}") for t in text.Index._fields))
+
     @property
     def nodes(self) -> DataFrame:
         return self._stored("nodes")
@@ -70,55 +81,64 @@ class Repository:
         began = time.monotonic()
         old = self.manifest()
         usable = old["extractor"] == EXTRACTOR
-        files = repo.read_files(self.spark, self.root, repo.list_files(self.root)).cache()
+        listed = self.spark.createDataFrame(repo.listed_files(self.root), "file_path string, size long, changed long")
+        place = ["file_path", "size", "changed"]
+        if usable:
+            suspect = [r["file_path"] for r in listed.join(self._stored("files").select(place), place, "left_anti").select("file_path").collect()]
+        else:
+            suspect = [r["file_path"] for r in listed.select("file_path").collect()]
+        read = repo.read_files(self.spark, self.root, sorted(suspect)).join(listed, "file_path").select(FILES).cache()
         try:
-            kept = self._stored("files") if usable else files.limit(0)
-            states = {r["file_path"]: r["state"] for r in mutate.snapshot_states(kept, files).collect()}
-            changed = [p for p, s in states.items() if s in ("added", "changed")]
-            gone = [p for p, s in states.items() if s == "removed"]
-            counts = {"files_indexed": len(changed), "files_skipped": sum(s == "same" for s in states.values()), "relationships_rebound": 0}
+            kept = self._stored("files") if usable else read.limit(0)
+            states = mutate.snapshot_states(kept.join(listed.select("file_path"), "file_path", "left_semi"), read)
+            changed = [r["file_path"] for r in states.where("state in ('added', 'changed')").collect()]
+            gone = [r["file_path"] for r in kept.join(listed.select("file_path"), "file_path", "left_anti").select("file_path").collect()]
+            counts = {"files_indexed": len(changed), "files_skipped": listed.count() - len(changed), "relationships_rebound": 0}
             generation = old["generation"]
             if changed or gone or not usable:
                 generation += 1
-                counts["relationships_rebound"] = self._write(files, changed, usable, generation)
+                counts["relationships_rebound"] = self._write(read, changed, gone, usable, generation)
         finally:
-            files.unpersist()
+            read.unpersist()
         return {"status": "fresh", "repository_root": self.root, "generation": generation, **counts, "duration_ms": int((time.monotonic() - began) * 1000)}
 
-    def _write(self, files: DataFrame, changed: list[str], usable: bool, generation: int) -> int:
+    def _write(self, read: DataFrame, changed: list[str], gone: list[str], usable: bool, generation: int) -> int:
         folder = f"gen={generation}"
         path = f"{self.state}/{folder}"
-        shutil.rmtree(path, ignore_errors=True)
-        paths = self.spark.createDataFrame([(p,) for p in changed], "file_path string")
-        new = repo.raw_facts(files.join(paths, "file_path", "left_semi"))
+        delete(self.spark, path)
+        schema = "file_path string"
+        new_paths = self.spark.createDataFrame([(p,) for p in changed], schema)
+        paths = self.spark.createDataFrame([(p,) for p in [*changed, *gone]], schema)
+        raw, files = repo.raw_facts(read.join(new_paths, "file_path", "left_semi")), read
         if usable:
-            current = files.select("file_path").join(paths, "file_path", "left_anti")
-            new = self._stored("raw").drop("key").join(current, "file_path", "left_semi").unionByName(new)
-        new.withColumn("key", F.monotonically_increasing_id()).write.parquet(f"file:{path}/raw")
-        files.write.parquet(f"file:{path}/files")
-        raw, stored = (self.spark.read.parquet(f"file:{path}/{t}") for t in ("raw", "files"))
-        nodes, edges, unresolved = repo.assemble(raw.cache(), stored.cache())
+            raw = mutate.delete_keep_incoming(self._stored("raw").drop("key"), paths).unionByName(raw)
+            other = self._stored("files").join(read.select("file_path"), "file_path", "left_anti").join(paths, "file_path", "left_anti")
+            files = other.select(FILES).unionByName(read)
+        raw.withColumn("key", F.monotonically_increasing_id()).write.parquet(f"{path}/raw")
+        files.write.parquet(f"{path}/files")
+        raw, stored = (self.spark.read.parquet(f"{path}/{t}") for t in ("raw", "files"))
+        nodes, edges, unresolved = repo.assemble(raw.cache(), stored.cache(), (self.nodes, self.edges) if usable else None, paths)
         for name, table in (("nodes", nodes), ("edges", edges), ("unresolved", unresolved)):
-            table.coalesce(8).write.parquet(f"file:{path}/{name}")
+            table.coalesce(8).write.parquet(f"{path}/{name}")
         raw.unpersist()
         stored.unpersist()
+        made = text.index(self.spark.read.parquet(f"{path}/nodes"), "id", SEARCHED)
+        for name, table in zip(made._fields, made):
+            table.write.parquet(f"{path}/index-{name}")
         rebound = 0
         if usable:
             same = ["source_id", "target_id", "file_path", "line", "target_name"]
             calls = lambda df: df.where("kind = 'calls'").join(paths, "file_path", "left_anti").select(same)
-            now = calls(self.spark.read.parquet(f"file:{path}/edges"))
+            now = calls(self.spark.read.parquet(f"{path}/edges"))
             site = ["file_path", "line", "target_name"]
             rebound = now.join(calls(self.edges), same, "left_anti").select(site).distinct().count()
         for t in self.tables.values():
             t.unpersist()
         self.tables.clear()
         old = self.manifest()["folder"]
-        spare = os.path.join(self.state, "manifest.next")
-        with open(spare, "w", encoding="utf-8") as f:
-            json.dump({"generation": generation, "extractor": EXTRACTOR, "folder": folder}, f)
-        os.replace(spare, os.path.join(self.state, "manifest.json"))
+        write_text(self.spark, f"{self.state}/manifest.json", json.dumps({"generation": generation, "extractor": EXTRACTOR, "folder": folder}))
         if old and old != folder:
-            shutil.rmtree(os.path.join(self.state, old), ignore_errors=True)
+            delete(self.spark, f"{self.state}/{old}")
         return rebound
 
     # facts
@@ -130,7 +150,7 @@ class Repository:
     @staticmethod
     def _symbol(n, hashes: dict) -> dict:
         kind = n["kind"]
-        extractor = {"endpoint": "endpoint-ast", "heading": "markdown-heading"}.get(kind, "tree-sitter")
+        extractor = N.extractor_of(kind, n["language"])
         evidence = {"file_path": n["file_path"], "start_line": n["start_line"], "end_line": n["end_line"], "source_hash": hashes.get(n["file_path"]), "extractor": extractor, "confidence": "heuristic" if kind == "endpoint" else "static"}
         return {"id": n["id"], "name": n["name"], "qualified_name": n["qualified_name"], "kind": kind, "language": n["language"], "evidence": evidence}
 
@@ -150,7 +170,7 @@ class Repository:
             inward = r["direction"] == "in"
             part = out[("callers" if inward else "callees") if r["kind"] == "calls" else ("inbound" if inward else "outbound")]
             if len(part) < limit:
-                evidence = {"file_path": r["file_path"], "start_line": r["line"], "end_line": r["line"], "source_hash": hashes.get(r["file_path"]), "extractor": "tree-sitter", "confidence": r["confidence"] or "static"}
+                evidence = {"file_path": r["file_path"], "start_line": r["line"], "end_line": r["line"], "source_hash": hashes.get(r["file_path"]), "extractor": N.extractor_of("", N.language_of(r["file_path"])), "confidence": r["confidence"] or "static"}
                 fact = {"kind": r["kind"], "from": ends[r["source_id"]], "to": ends[r["target_id"]], "evidence": evidence}
                 part.append(fact | ({"resolution": r["resolution"]} if r["resolution"] else {}))
         return out
@@ -187,7 +207,7 @@ class Repository:
         total = lost.count()
         samples = lost.orderBy("file_path", "line", "specifier").limit(SAMPLES).collect()
         hashes = self._hashes(r["file_path"] for r in samples)
-        facts = [{"specifier": r["specifier"], "kind": r["ref_type"], "evidence": {"file_path": r["file_path"], "start_line": r["line"], "end_line": r["line"], "source_hash": hashes.get(r["file_path"]), "extractor": "tree-sitter", "confidence": "unresolved"}} for r in samples]
+        facts = [{"specifier": r["specifier"], "kind": r["ref_type"], "evidence": {"file_path": r["file_path"], "start_line": r["line"], "end_line": r["line"], "source_hash": hashes.get(r["file_path"]), "extractor": N.extractor_of("", N.language_of(r["file_path"])), "confidence": "unresolved"}} for r in samples]
         files = count(self._stored("files"), "language")
         return {
             "freshness": fresh,
@@ -224,7 +244,7 @@ class Repository:
             return self._stale(fresh)
         rows, more = [], False
         if text.query_tokens(query):
-            found = text.search(self.nodes, query, SEARCHED)
+            found = text.search(self.nodes, self.index, query)
             found = scan.nodes_where(found, kind=kind, prefix=prefix)
             if scope == "top_level":
                 found = structure.top_level(found, self.nodes)
@@ -299,7 +319,7 @@ class Repository:
         ids = [a["id"], *(s["target_id"] for s in steps)]
         facts = {s["id"]: s for s in self._symbols(self.nodes.where(F.col("id").isin(ids)).collect())}
         hashes = self._hashes(s["file_path"] for s in steps)
-        evidence = [{"evidence": {"file_path": s["file_path"], "start_line": s["line"], "end_line": s["line"], "source_hash": hashes.get(s["file_path"]), "extractor": "tree-sitter", "confidence": "static"}} for s in steps]
+        evidence = [{"evidence": {"file_path": s["file_path"], "start_line": s["line"], "end_line": s["line"], "source_hash": hashes.get(s["file_path"]), "extractor": N.extractor_of("", N.language_of(s["file_path"])), "confidence": "static"}} for s in steps]
         return {"freshness": fresh, "status": "ok", "path": [facts[i] for i in ids], "relationships": evidence, "relationship_kind": "calls"}
 
 

@@ -16,7 +16,7 @@ from factloom.functions.names import BUILTIN_TYPES, bounded
 
 BODY_BYTES = 2000
 
-FIELDS = ("tag", "kind", "name", "start_line", "end_line", "start_column", "end_column", "exported", "body", "doc", "module", "parent", "object", "constructor", "handlers", "match_index")
+FIELDS = ("tag", "kind", "name", "start_line", "end_line", "start_column", "end_column", "exported", "body", "doc", "module", "parent", "object", "constructor", "handlers", "match_index", "names", "reexport")
 
 
 def _fact(tag, name, line, **more):
@@ -109,7 +109,7 @@ _NOT_NAMES = frozenset("if for while switch catch return function else do try ne
 _CALLED = re.compile(rf"(?:(?P<object>[\w$.\])]*[\w$\])])\s*(?:\?\.|\.|->|::)\s*)?(?<![\w$])(?P<new>new\s+)?(?P<name>{_ID})\s*(?:::<[^>()]*>|<[\w, ]*>)?!?\s*\(")
 _NO_CALLS = {"haskell", "elm", "fortran", "groovy", "dart", "powershell", "verilog", "clojure", "nix"}
 _IMPORTS = {
-    **dict.fromkeys(_SCRIPT, [r"""\bimport\s+(?:[^'"();]*?\bfrom\s*)?(['"])(?P<spec>[^'"\n]+)\1""", r"""\bexport\s+[^'"();]*?\bfrom\s*(['"])(?P<spec>[^'"\n]+)\1""", r"""\brequire\s*\(\s*(['"])(?P<spec>[^'"\n]+)\1"""]),
+    **dict.fromkeys(_SCRIPT, [r"""\bimport\s+(?:(?P<clause>[^'"();]*?)\bfrom\s*)?(['"])(?P<spec>[^'"\n]+)\2""", r"""\b(?P<reexport>export)\s+(?P<clause>[^'"();]*?)\bfrom\s*(['"])(?P<spec>[^'"\n]+)\3""", r"""\brequire\s*\(\s*(['"])(?P<spec>[^'"\n]+)\1"""]),
     "rust": [r"(?m)^\s*(?:pub\s+)?use\s+(?P<spec>[^;{]+?)\s*(?:::\{|;)"],
     "go": [r'(?m)^\s*(?:import\s+)?(?:[\w.]+\s+)?"(?P<spec>[^"\n]+)"\s*$'],
     **dict.fromkeys(["java", "kotlin", "scala"], [r"(?m)^\s*import\s+(?:static\s+)?(?P<spec>[\w.*]+)"]),
@@ -172,6 +172,13 @@ def _comment_above(lines: list[str], line: int) -> str | None:
     return doc or None
 
 
+def _imported(clause: str) -> list[str] | None:
+    """The names between braces, before any `as`; None for whole modules and defaults."""
+    inside = re.search(r"\{([^}]*)\}", clause)
+    names = [re.sub(r"^type\s+", "", n.strip()).split(" as ")[0].strip() for n in inside[1].split(",")] if inside else []
+    return [n for n in names if re.fullmatch(_ID, n)] or None
+
+
 def _patterned(text: str, language: str) -> list[dict]:
     code, at = blanked(text, language), _Text(text)
     lines, out = text.split("\n"), []
@@ -217,7 +224,8 @@ def _patterned(text: str, language: str) -> list[dict]:
         for m in re.finditer(pattern, source):
             if source is text and code[m.start()] == " " != text[m.start()]:
                 continue
-            out.append(_fact("import", m["spec"].strip(), at.line(m.start("spec"))))
+            groups = m.groupdict()
+            out.append(_fact("import", m["spec"].strip(), at.line(m.start("spec")), names=_imported(groups.get("clause") or ""), reexport=True if groups.get("reexport") else None))
     if language not in _NO_CALLS and language in _COMPILED:
         for m in _CALLED.finditer(code):
             name = m["name"]
@@ -304,7 +312,7 @@ def _python(text: str) -> list[dict]:
                         if isinstance(target, ast.Name):
                             node("variable", child, target.id)
                 if isinstance(child, ast.ImportFrom):
-                    out.append(_fact("import", "." * child.level + (child.module or ""), child.lineno))
+                    out.append(_fact("import", "." * child.level + (child.module or ""), child.lineno, names=[a.name for a in child.names if a.name != "*"] or None))
                 if isinstance(child, ast.Call):
                     f = child.func
                     if isinstance(f, ast.Name):
