@@ -311,6 +311,8 @@ def trained(docs: DataFrame, sent) -> np.ndarray:
 def scored(docs: DataFrame, held_out) -> DataFrame:
     """`doc_id`, `held_out`, `n_tokens`, `n_known`, `train_tokens`, `base_score`, `score` of every row."""
     spark = docs.sparkSession
+    # small products: more threads of the linear algebra library than the one of the task only wait for each other
+    spark.sparkContext.environment.setdefault("OPENBLAS_NUM_THREADS", "1")
     rows = docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), "text")
     train = rows.where(~F.col("held_out"))
     counts = materialize(token_counts(train), "counts")
