@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.common import give_back, text_batches
+
 LEAF = 16
 #: Distinct matches that a worker remembers before it starts anew; a speed-up only.
 MEMO = 200_000
@@ -145,6 +147,7 @@ def encode_decode(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "d
     The rank file (its size is fixed by the vocabulary, under 1 MB) is read by the driver and broadcast.
     Rows are independent: one pass, no shuffle.
     """
+    text_batches(df.sparkSession)
     with open(vocabulary, "rb") as f:
         sent = df.sparkSession.sparkContext.broadcast(f.read())
     rows = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -156,6 +159,7 @@ def encode_decode(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "d
             ids = [codec.encode(t) for t in batch.column(1).to_pylist()]
             decoded = [codec.decode(x) for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], [id_col, "ids", "decoded"])
+        give_back()
 
     return rows.mapInArrow(run, schema)
 

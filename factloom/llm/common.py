@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
-import tempfile
-import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions.storage import discard, shared_dir
+from factloom.functions.storage import materialize as _materialize
+
+__all__ = ["BATCH", "WORD", "ascii_lower", "ascii_lower_col", "byte_words", "discard", "find_words", "fold", "give_back", "lower_byte_words", "materialize", "shared_dir", "table", "text_batches"]
+
+#: Rows of an Arrow batch of whole texts, in place of Spark's default of 10,000.
+BATCH = 2000
+
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 find_words = re.compile(WORD).findall
@@ -35,38 +43,30 @@ def ascii_lower_col(column):
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def text_batches(spark: SparkSession) -> None:
+    """Sees to it that workers get whole texts in small batches, unless the session has a bound of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only a local session (tests) may do without and gets a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="factloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+def give_back() -> None:
+    """Returns a worker's free memory to the system; for the end of a task, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text_batches(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def discard(*tables: DataFrame | None) -> None:
-    """Deletes stored tables (None is passed over) that no later plan reads."""
-    for df in tables:
-        if df is not None:
-            sc = df.sparkSession.sparkContext
-            path = sc._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    text_batches(df.sparkSession)
+    return _materialize(df, tag)
 
 
 def fold(column, modulus: int):

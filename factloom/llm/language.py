@@ -27,7 +27,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import fold, table
+from factloom.llm.common import fold, give_back, table, text_batches
 
 MARK = "▁"
 ALPHA = 0.1
@@ -159,6 +159,7 @@ class Model:
 
 def train(docs: DataFrame, vocabulary: str) -> Model:
     """Counts pieces by language over all rows given. A task sends at most (languages x pieces) sums."""
+    text_batches(docs.sparkSession)
     with open(vocabulary, "rb") as f:
         proto = f.read()
     sent = docs.sparkSession.sparkContext.broadcast(proto)
@@ -214,6 +215,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             out = _models[key].predict_all(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], ["doc_id", "lang_pred", "score"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
@@ -230,6 +232,8 @@ def recognised(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
         for batch in batches:
             found = _models[key].predict_all(batch.column(at).to_pylist())
             yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
+        _models.clear()
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

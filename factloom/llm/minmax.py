@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import discard, lower_byte_words, materialize, table
+from factloom.llm.common import discard, give_back, lower_byte_words, materialize, table
 
 PERMS, ROWS, BANDS = 80, 5, 32
 SALT = 256
@@ -174,6 +174,8 @@ def features(docs: DataFrame, width: int) -> DataFrame:
                 [*batch.columns[:3], pa.array(ns, pa.int64()), pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(bits, pa.binary())],
                 ["doc_id", "t1", "t2", "n", "set_id", "bands", "bits"],
             )
+        _hashes.clear()
+        give_back()
 
     return _keyed(docs, "doc_id").mapInArrow(run, "doc_id long, t1 long, t2 long, n long, set_id binary, bands array<long>, bits binary")
 
@@ -321,6 +323,7 @@ def block_pairs(cells: DataFrame, percent: int, every: bool) -> DataFrame:
             yield _pairs(out)
         if cell:
             yield _pairs(search(cell))
+        give_back()
 
     def _pairs(out):
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64())], ["u", "c", "gap"])

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import byte_words, discard, materialize, table
+from factloom.llm.common import byte_words, discard, give_back, materialize, table
 
 ROUNDS = 3
 CONFIDENT = 0.5
@@ -217,6 +217,7 @@ def _scan(docs: DataFrame) -> DataFrame:
                     yield _rows(out)
                     out = []
             yield _rows(out)
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text", _digest("text")).mapInArrow(run, _ROW)
 
@@ -252,6 +253,7 @@ def cue_counts(docs: DataFrame, cues: DataFrame) -> DataFrame:
                 if len(words) > _FLUSH:
                     yield sums()
         yield sums()
+        give_back()
 
     counts = docs.select("text").mapInArrow(run, "cue string, n long")
     if not few:
