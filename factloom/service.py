@@ -117,12 +117,13 @@ class Repository:
         raw.withColumn("key", F.monotonically_increasing_id()).write.parquet(f"{path}/raw")
         files.write.parquet(f"{path}/files")
         raw, stored = (self.spark.read.parquet(f"{path}/{t}") for t in ("raw", "files"))
-        nodes, edges, unresolved = repo.assemble(raw.cache(), stored.cache(), (self.nodes, self.edges) if usable else None, paths)
-        for name, table in (("nodes", nodes), ("edges", edges), ("unresolved", unresolved)):
-            table.coalesce(8).write.parquet(f"{path}/{name}")
-        raw.unpersist()
-        stored.unpersist()
-        made = text.index(self.spark.read.parquet(f"{path}/nodes"), "id", SEARCHED)
+
+        def store(table: DataFrame, name: str) -> DataFrame:
+            table.write.parquet(f"{path}/{name}")
+            return self.spark.read.schema(table.schema).parquet(f"{path}/{name}")
+
+        nodes, _, _ = repo.assemble(raw, stored, (self.nodes, self.edges) if usable else None, paths, store)
+        made = text.index(nodes, "id", SEARCHED)
         for name, table in zip(made._fields, made):
             table.write.parquet(f"{path}/index-{name}")
         rebound = 0
@@ -135,6 +136,8 @@ class Repository:
         for t in self.tables.values():
             t.unpersist()
         self.tables.clear()
+        for name in ("new-nodes", "names", "calls", "other-calls", "probed", "hops"):
+            delete(self.spark, f"{path}/{name}")
         old = self.manifest()["folder"]
         write_text(self.spark, f"{self.state}/manifest.json", json.dumps({"generation": generation, "extractor": EXTRACTOR, "folder": folder}))
         if old and old != folder:

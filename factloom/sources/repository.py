@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -212,23 +213,26 @@ def markdown_facts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, tree.unionByName(refs)
 
 
-def assemble(raw: DataFrame, files: DataFrame, old: tuple[DataFrame, DataFrame] | None = None, paths: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def assemble(raw: DataFrame, files: DataFrame, old: tuple[DataFrame, DataFrame] | None = None, paths: DataFrame | None = None, store: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, unresolved) of a whole repository from stored raw facts and files, by joins alone.
 
     raw has a column `key` that tells its rows apart. With old, the (nodes, edges) of the last snapshot, and paths
     (file_path), the files that came, went or changed since, only these files are read anew, only sites in them or
-    on names that they declare or declared are resolved again, and the result is that of a whole build.
+    on names that they declare or declared are resolved again, and the result is that of a whole build. store(table,
+    name) may keep a table that is read more than once.
     """
     fresh = raw if old is None else raw.join(paths, "file_path", "left_semi")
-    nodes = _nodes(fresh, files if old is None else files.join(paths, "file_path", "left_semi"))
-    head_edges = markdown_facts(files if old is None else files.join(paths, "file_path", "left_semi"))[1]
+    nodes, head_edges = _nodes(fresh, files if old is None else files.join(paths, "file_path", "left_semi"))
     kept_edges, names = None, None
     if old is not None:
-        names = mutate.changed_names(old[0].join(paths, "file_path", "left_semi"), nodes)
-        nodes = mutate.delete_keep_incoming(old[0], paths).unionByName(nodes)
+        nodes = store(nodes, "new-nodes")
+        names = store(mutate.changed_names(old[0].join(paths, "file_path", "left_semi"), nodes), "names")
+        nodes = mutate.delete_keep_incoming(old[0], paths).unionByName(nodes).select(NODE_COLUMNS)
         # what other files emit and no changed name can move; imports and endpoints are joined anew, as any file may be their target
         still = (F.col("kind") != "imports") & (F.coalesce("resolution", F.lit("")) != "endpoint_handler_candidate")
-        kept_edges = mutate.delete_keep_incoming(old[1], paths).where(still).join(names.select(F.col("name").alias("target_name")), "target_name", "left_anti").select(EDGE_COLUMNS)
+        by = F.when((F.col("kind") != "contains") & ~F.col("target_name").startswith("#"), F.col("target_name"))
+        kept_edges = mutate.delete_keep_incoming(old[1], paths).where(still).withColumn("_by", by).join(names.select(F.col("name").alias("_by")), "_by", "left_anti").select(EDGE_COLUMNS)
+    nodes = store(nodes, "nodes")
     code = nodes.where("kind <> 'heading'")
 
     sites = raw.where("tag <> 'node'").select("key", "tag", "file_path", F.col("start_line").alias("line"), F.col("name").alias("target_name"), "parent", "object", "constructor", "names", "reexport")
@@ -246,11 +250,11 @@ def assemble(raw: DataFrame, files: DataFrame, old: tuple[DataFrame, DataFrame]
 
     calls = sites.where("tag = 'call'").withColumn("call_form", F.when(F.col("object").isNotNull(), "member"))
     if old is None:
-        bound = resolve.bound(scoped(calls), code, "key")
+        bound = resolve.bound(store(scoped(calls), "calls"), code, "key")
     else:
         own, others = calls.join(paths, "file_path", "left_semi"), calls.join(paths, "file_path", "left_anti")
         others = others.join(names.select(F.col("name").alias("target_name")), "target_name", "left_semi").select(own.columns)
-        bound = resolve.bound(scoped(own), code, "key").unionByName(resolve.rebind(scoped(others), names, code, "key"))
+        bound = resolve.bound(store(scoped(own), "calls"), code, "key").unionByName(resolve.rebind(store(scoped(others), "other-calls"), names, code, "key"))
     label = F.when(~F.col("resolution").isin("static", "unresolved"), F.col("resolution"))
     call_edges = bound.withColumn("resolution", label).withColumn("kind", F.lit("calls")).select(*plain, "confidence", "resolution", "candidate_count", "truncated", "call_form")
 
@@ -270,34 +274,35 @@ def assemble(raw: DataFrame, files: DataFrame, old: tuple[DataFrame, DataFrame]
     within = structure.containment(holders).join(holders.select(F.col("id").alias("target_id"), F.col("name").alias("target_name")), "target_id")
 
     edges = call_edges
-    imported, unresolved = _import_edges(sites, files, nodes)
+    imported, unresolved = _import_edges(sites, files, nodes, store)
     more = [kinds_up, type_edges, handled, within.select(*plain), head_edges, imported, *([kept_edges] if old is not None else [])]
     for part in more:
         edges = edges.unionByName(part, allowMissingColumns=True)
     edges = structure.first_of(edges, ["source_id", "target_id", "kind", "file_path", "line"], F.col("call_form").asc_nulls_last(), "target_name", "confidence")
-    return nodes, edges.select(EDGE_COLUMNS), unresolved
+    return nodes, store(edges.select(EDGE_COLUMNS), "edges"), store(unresolved, "unresolved")
 
 
-def _nodes(raw: DataFrame, files: DataFrame) -> DataFrame:
-    """The nodes of these files."""
+def _nodes(raw: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes of these files and the edges of their headings."""
     first = structure.kind_dedup(raw.where("tag = 'node'")).withColumn("id", N.node_id(F.col("kind"), F.col("file_path"), F.col("name"), F.col("start_line")))
     inside_rust = F.when(F.col("module").isNotNull(), F.concat_ws(".", "module", "name"))
     code = first.join(structure.qualified_names(first), "id", "left").withColumn("qualified_name", F.coalesce("qualified_name", inside_rust))
     code = code.withColumn("exported", F.when(F.col("kind") == "endpoint", None).otherwise(F.col("exported")))
-    heads, _ = markdown_facts(files)
+    heads, head_edges = markdown_facts(files)
     nodes = code.withColumnRenamed("doc", "doc_comment").select(*[c for c in NODE_COLUMNS if c not in ("name_tokens", "is_test")]).unionByName(heads)
     test = N.is_test(F.col("name"), F.col("file_path"), F.col("language"), F.col("kind"))
     test = test | (F.col("language") == "rust") & N.rust_test_marks(F.col("body"), F.col("qualified_name"))
-    return nodes.withColumn("name_tokens", N.name_tokens(F.col("name"), F.col("qualified_name"))).withColumn("is_test", F.coalesce(test, F.lit(False))).select(NODE_COLUMNS)
+    nodes = nodes.withColumn("name_tokens", N.name_tokens(F.col("name"), F.col("qualified_name"))).withColumn("is_test", F.coalesce(test, F.lit(False))).select(NODE_COLUMNS)
+    return nodes, head_edges
 
 
-def _import_edges(sites: DataFrame, files: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _import_edges(sites: DataFrame, files: DataFrame, nodes: DataFrame, store: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Imports as they stand and as they resolve, by name or whole, through one re-exporting file; and those that find no file."""
     wanted = sites.where("tag = 'import'").select("key", "file_path", "line", F.col("target_name").alias("specifier"), "names", "reexport").withColumn("source_id", F.concat(F.lit("file:"), "file_path"))
     modules = wanted.select("source_id", F.concat(F.lit("module:"), "specifier").alias("target_id"), "file_path", "line")
-    probed = imports.probed(wanted, files.select("file_path"), "key")
+    probed = store(imports.probed(wanted, files.select("file_path"), "key"), "probed")
     listed = F.size(F.coalesce("names", F.array().cast("array<string>"))) > 0
-    hops = imports.barrels(probed.where("reexport"), nodes)
+    hops = store(imports.barrels(probed.where("reexport"), nodes), "hops")
     parts = [imports.wildcard(probed.where(~listed), nodes), imports.named(probed.where(listed), nodes, "key", hops), hops]
     out = modules
     for part in parts:

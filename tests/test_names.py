@@ -15,22 +15,22 @@ def column(spark, values, f):
 
 
 def test_split_identifier(spark):
-    names = ["getUserById", "PaymentService", "process_user_input", "MAX_RETRY_COUNT", "XMLParser", "a", "", "v2Api", "HTTPServer2Go", "__init__", "kebab-case.name", "ABc", "éÀb", "lowerÀB"]
+    names = ["loadTileCache", "RiverBank", "fold_left_right", "LONG_UPPER_NAME", "CSVWriter", "q", "", "v3Beta", "UDPSocket4You", "__call__", "dash-ed.part", "QRs", "éÀb", "lowerÀB"]
     assert column(spark, names, N.words_of) == [N.python_words(n) for n in names]
-    assert column(spark, names[:3], N.split_identifier) == ["getUserById get user by id", "PaymentService payment service", "process_user_input process user input"]
+    assert column(spark, ["loadTileCache", "fold_left2Right", "PlainHTTPHop", "solo"], N.split_identifier) == ["loadTileCache load tile cache", "fold_left2Right fold left2 right", "PlainHTTPHop plain http hop", "solo"]
 
 
 def test_paths(spark):
-    paths = ["src/routes/../utils/./auth", "../../a", "a//b/", ".", "a/../../b/c/.."]
+    paths = ["lib/maps/../tiles/./hex", "../../q", "m//n/", ".", "x/../../y/z/.."]
     assert column(spark, paths, N.normalize_path) == [N.normalized(p) for p in paths]
-    assert N.normalized(paths[0]) == "src/utils/auth"
+    assert N.normalized(paths[0]) == "lib/tiles/hex"
 
 
 def test_simple_hash(spark):
     def plain(s):
         h = 0
-        for c in s:
-            h = (31 * h + ord(c)) & 0xFFFFFFFF
+        for c in memoryview(s.encode("utf-16-le")).cast("H"):
+            h = (31 * h + c) & 0xFFFFFFFF
         h -= (h >> 31) << 32
         digits, n = "", abs(h)
         while n:
@@ -38,7 +38,7 @@ def test_simple_hash(spark):
             digits = "0123456789abcdefghijklmnopqrstuvwxyz"[r] + digits
         return ("-" if h < 0 else "") + (digits or "0")
 
-    texts = ["", "a", "hello world", "z" * 50, "Some Longer Text 123", "é"]
+    texts = ["", "q", "two words", "y" * 60, "Mixed Case 456 text", "é", "a😀b"]
     assert column(spark, texts, N.simple_hash) == [plain(t) for t in texts]
 
 
@@ -93,3 +93,36 @@ def test_extraction_of_languages():
     java = extract.facts("java", '@GetMapping("/a")\nclass C { void m() { run(); } }\n')
     assert any(f["name"] == "GET /a" for f in java) and any(f["tag"] == "call" and f["name"] == "run" for f in java)
     assert all(re.match(r"\w", f["name"]) for f in java)
+
+
+def test_truncated_never_cuts_a_character(spark):
+    texts = ["", "abc", "é" * 60, "a" + "€" * 50, "ab" + "😀" * 40, "x" * 101, "x" * 99 + "é"]
+    assert column(spark, texts, lambda c: N.truncated(c, 100)) == [N.bounded(t, 100, "") for t in texts]
+
+
+def test_ignore_rules(tmp_path):
+    from factloom.sources.repository import list_files
+
+    made = ["a.py", "b/a.py", "b/c/d.py", "logs/x.py", "b/logs/y.py", "gen/deep/er/z.py", "keep/z.py", "keep/w.py", "x1.py", "xa.py", "top.py", "b/top.py"]
+    for path in made:
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("x = 1\n")
+    (tmp_path / ".git").mkdir()
+    left = lambda rules: sorted(set(made) - set(list_files(str(tmp_path)))) if not (tmp_path / ".gitignore").write_text(rules) is None else []
+    assert left("") == []
+    assert left("/top.py\n") == ["top.py"] and left("top.py\n") == ["b/top.py", "top.py"]
+    assert left("logs/\n") == ["b/logs/y.py", "logs/x.py"] and left("/logs\n") == ["logs/x.py"]
+    assert left("b/*.py\n") == ["b/a.py", "b/top.py"] and left("b/**/*.py\n") == ["b/a.py", "b/c/d.py", "b/logs/y.py", "b/top.py"]
+    assert left("gen/**\n") == ["gen/deep/er/z.py"] and left("**/er\n") == ["gen/deep/er/z.py"]
+    assert left("keep/*\n!keep/w.py\n") == ["keep/z.py"] and left("x[0-9].py\n") == ["x1.py"] and left("x[!0-9].py\n") == ["xa.py"]
+    assert left("# no\n\\#x\nx?.py  \n") == ["x1.py", "xa.py"]
+    (tmp_path / ".gitignore").write_text("a.py\n")
+    assert list_files(str(tmp_path / "b")) == ["c/d.py", "logs/y.py", "top.py"]
+
+
+def test_imported_names():
+    found = lambda text: [(f["name"], f["names"], f["reexport"]) for f in extract.facts("typescript", text) if f["tag"] == "import"]
+    assert found("import { p, type Q as R } from './m';\nimport def from './n';\nimport * as all from './o';\nimport './side';\n") == [("./m", ["p", "Q"], None), ("./n", None, None), ("./o", None, None), ("./side", None, None)]
+    assert found("export { a as b } from './m';\nexport * from './n';\n") == [("./m", ["a"], True), ("./n", None, True)]
+    python = [f["names"] for f in extract.facts("python", "from .m import a, b as c\nfrom n import *\n") if f["tag"] == "import"]
+    assert python == [["a", "b"], None]

@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 
 import pytest
 
@@ -173,3 +174,61 @@ def test_command_line():
     assert parse(["mcp", "--root", "a", "--lsp", "off"]) == {"root": "a", "lsp": "off"}
     for bad in ([], ["x"], ["mcp", "--state", "s"], ["mcp", "--lsp", "maybe"], ["mcp", "--root"]):
         assert main(bad) == 2
+
+
+def test_named_imports_and_barrels(spark, tmp_path):
+    root = str(tmp_path / "r")
+    write(root, "lib/one.ts", "export function pick() {}\nexport function other() {}\n")
+    write(root, "lib/two.ts", "export function pick() {}\n")
+    write(root, "lib/index.ts", "export { pick } from './two';\nexport * from './three';\n")
+    write(root, "lib/three.ts", "export const depth = 1;\n")
+    write(root, "a.ts", "import { pick } from './lib/one';\n")
+    write(root, "b.ts", "import { pick } from './lib';\n")
+    write(root, "c.ts", "import * as all from './lib/one';\n")
+    store = Repository(spark, root, str(tmp_path / "s"))
+    store.refresh()
+    made = {}
+    for r in store.edges.where("kind = 'imports' and target_id not like 'module:%'").collect():
+        made.setdefault(r["file_path"], set()).add(":".join(r["target_id"].split(":")[1:3]))
+    assert made == {"a.ts": {"lib/one.ts:pick"}, "b.ts": {"lib/two.ts:pick"}, "c.ts": {"lib/one.ts:pick", "lib/one.ts:other"}, "lib/index.ts": {"lib/two.ts:pick", "lib/three.ts:depth"}}
+
+
+def test_refresh_equals_a_cold_build(spark, tmp_path):
+    r = random.Random(5)
+    root, names_ = str(tmp_path / "r"), [f"fn{i}" for i in range(6)]
+
+    def body():
+        lines = [f"import {{ {r.choice(names_)} }} from './f{r.randrange(5)}';"] if r.random() < 0.5 else []
+        for n in r.sample(names_, r.randint(1, 3)):
+            lines.append(f"export function {n}() {{ {r.choice(names_)}(); thing.{r.choice(names_)}(); }}")
+        if r.random() < 0.4:
+            lines.append(f"class Box{r.randrange(3)} extends Box{r.randrange(3)} {{\n  {r.choice(names_)}(a: Box{r.randrange(3)}) {{ return 1; }}\n}}")
+        if r.random() < 0.3:
+            lines.append(f"app.get('/x', {r.choice(names_)});")
+        return "\n".join(lines) + "\n"
+
+    for i in range(4):
+        write(root, f"f{i}.ts", body())
+    write(root, "R.md", "# A\n[b](#b)\n## B\n")
+    store = Repository(spark, root, str(tmp_path / "s"))
+    store.refresh()
+    for step in range(2):
+        write(root, f"f{r.randrange(5)}.ts", body())
+        if step == 1:
+            os.remove(os.path.join(root, "f1.ts")) if os.path.exists(os.path.join(root, "f1.ts")) else None
+            write(root, "R.md", "# A\n## C\n[c](#c) [b](#b)\n")
+        store.refresh()
+        cold = Repository(spark, root, str(tmp_path / f"cold{step}"))
+        cold.refresh()
+        every = lambda df: sorted(map(str, df.collect()))
+        assert every(store.nodes) == every(cold.nodes) and every(store.edges) == every(cold.edges)
+        assert every(store._stored("unresolved")) == every(cold._stored("unresolved"))
+
+
+def test_undecodable_files_are_skipped(spark, tmp_path):
+    root = str(tmp_path / "r")
+    write(root, "good.py", "def good():\n    pass\n")
+    with open(os.path.join(root, "bad.py"), "wb") as f:
+        f.write(b"def bad(): pass  # \xff\xfe\n")
+    fresh = Repository(spark, root, str(tmp_path / "s")).refresh()
+    assert (fresh["files_indexed"], fresh["files_skipped"]) == (1, 1)
