@@ -37,7 +37,7 @@ def main(args: list[str]) -> int:
     spark = SparkSession.builder.appName("factloom").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     try:
-        serve(Registry(spark, options.get("root"), options.get("state")))
+        serve(Registry(spark, options.get("root"), options.get("state"), options.get("lsp", "auto")))
     except (FactsError, OSError) as e:
         print(e, file=sys.stderr)
         return 1

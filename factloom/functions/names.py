@@ -195,22 +195,6 @@ def name_tokens(name: Column, qualified: Column) -> Column:
     return F.when(qualified.isNotNull() & (qualified != name), F.concat_ws(" ", split_identifier(name), parts)).otherwise(split_identifier(name))
 
 
-def python_words(name: str) -> list[str]:
-    """words_of for one string."""
-    out, word = [], ""
-    for i, c in enumerate(name):
-        if c in "_-.":
-            out, word = out + [word] * bool(word), ""
-            continue
-        if word and c.isupper():
-            after_small = name[i - 1].islower() or name[i - 1] in "0123456789"
-            before_small = i + 1 < len(name) and name[i + 1].islower()
-            if after_small or len(word.encode()) > 1 and before_small:
-                out, word = out + [word], ""
-        word += c
-    return out + [word] * bool(word)
-
-
 def normalize_path(path: Column) -> Column:
     """Drops empty and `.` parts; `..` takes the part before it, if there is one."""
     step = lambda done, part: (

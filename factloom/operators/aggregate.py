@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def node_stats(nodes: DataFrame) -> DataFrame:
+    return nodes.agg(F.count("*").alias("nodes"), F.count_distinct("file_path").alias("files"))
+
+
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    a = nodes.agg(F.count("*").alias("nodes"), F.count_distinct("file_path").alias("files"))
-    return a.crossJoin(edges.agg(F.count("*").alias("edges")))
+    return node_stats(nodes).crossJoin(edges.agg(F.count("*").alias("edges")))
 
 
 def counted(df: DataFrame, column: str) -> DataFrame:

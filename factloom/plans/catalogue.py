@@ -776,12 +776,12 @@ def _(t):
 
 @query("a01_count_nodes", "select count(*) as n from p_node")
 def _(t):
-    return aggregate.stats(t("p_node"), t("p_edge")).select(F.col("nodes").alias("n"))
+    return aggregate.node_stats(t("p_node")).select(F.col("nodes").alias("n"))
 
 
 @query("a03_count_files", "select count(distinct file_path) as n from p_node")
 def _(t):
-    return aggregate.stats(t("p_node"), t("p_edge")).select(F.col("files").alias("n"))
+    return aggregate.node_stats(t("p_node")).select(F.col("files").alias("n"))
 
 
 @query("a06_lang_symbols", "select coalesce(h.language, 'none') as language, count(*) as n from p_node n left join p_hash h on h.file_path = n.file_path group by 1")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from factloom.functions import names as N
 from factloom.functions.storage import delete, is_local, read_text, shared_dir, write_text
 from factloom.operators import graph, mutate, page, scan, structure, text
+from factloom.semantic import Semantic, path_of
 from factloom.sources import repository as repo
 
 EXTRACTOR = "2"
@@ -42,9 +43,10 @@ def default_state(spark: SparkSession, root: str) -> str:
 
 
 class Repository:
-    def __init__(self, spark: SparkSession, root: str, state: str | None = None):
+    def __init__(self, spark: SparkSession, root: str, state: str | None = None, lsp: str = "off"):
         if not os.path.isdir(root):
             raise FactsError(f"not a folder: {root}")
+        self.semantic = Semantic(lsp)
         self.spark, self.root = spark, os.path.realpath(root)
         state = state or default_state(spark, self.root)
         if ":" not in state.split("/", 1)[0]:
@@ -223,7 +225,7 @@ class Repository:
             "language_symbol_counts": count(self.nodes, "language"),
             "symbol_kinds": count(self.nodes, "kind"),
             "unresolved_references": {"count": total, "samples": facts, "truncated": total > SAMPLES},
-            "lsp": {"mode": "off", "status": "disabled"},
+            "lsp": self.semantic.report(files),
         }
 
     def _prefix(self, prefix: str | None) -> str | None:
@@ -269,8 +271,9 @@ class Repository:
     def outline(self, file_path: str, kind: str | None = None, scope: str = "top_level", offset: int = 0, cursor: str | None = None, limit: int | None = None) -> dict:
         fresh = self.refresh()
         limit = page.bounded_limit(limit)
-        rel = os.path.relpath(file_path, self.root) if os.path.isabs(file_path) else N.normalized(file_path)
-        if rel.startswith(".."):
+        at = os.path.join(self.root, file_path)
+        rel = os.path.relpath(os.path.realpath(at) if os.path.exists(at) else os.path.normpath(at), self.root)
+        if rel.split(os.sep)[0] == "..":
             raise FactsError("file_path must stay inside the repository")
         bound = page.scope_hash("outline", self.root, rel, kind, scope)
         try:
@@ -300,7 +303,19 @@ class Repository:
         section = None
         if n["kind"] == "heading":
             section = {"text": N.bounded(n["body"] or "", SECTION_BYTES, ""), "truncated": len((n["body"] or "").encode()) > SECTION_BYTES}
-        return {"freshness": fresh, "status": "ok", "definition": self._symbols([n])[0], "source": self._source(n), "section": section, "callers": near["callers"], "callees": near["callees"], "references": {"inbound": near["inbound"], "outbound": near["outbound"], "semantic": {"status": "disabled", "references": []}}, "tests": self._tests(n, limit), "bounded_by": limit}
+        return {"freshness": fresh, "status": "ok", "definition": self._symbols([n])[0], "source": self._source(n), "section": section, "callers": near["callers"], "callees": near["callees"], "references": {"inbound": near["inbound"], "outbound": near["outbound"], "semantic": self._semantic(n, limit)}, "tests": self._tests(n, limit), "bounded_by": limit}
+
+    def _semantic(self, n, limit: int) -> dict:
+        """A language server's references as facts; places outside the stored files, or past the limit, are only counted."""
+        got = self.semantic.references(self.root, n)
+        if got["status"] != "ok":
+            return got
+        inside = lambda p: os.path.relpath(os.path.realpath(p), self.root) if p else ".."
+        paths = [inside(path_of(x["uri"])) for x in got["locations"]]
+        hashes = self._hashes(p for p in paths if not p.startswith(".."))
+        facts = [{"evidence": {"file_path": p, "start_line": x["start_line"] + 1, "end_line": x["end_line"] + 1, "source_hash": hashes[p], "extractor": f"lsp:{got['provider']}", "confidence": "semantic"}, "start_column": x["start_column"], "end_column": x["end_column"]} for p, x in zip(paths, got["locations"]) if p in hashes][:limit]
+        omitted = len(paths) - len(facts)
+        return {"status": "ok", "provider": got["provider"], "position_encoding": "utf-16", "locations": facts, "truncated": omitted > 0, "omitted_locations": omitted}
 
     def path(self, start: str, goal: str, from_file_path: str | None = None, to_file_path: str | None = None, limit: int | None = None) -> dict:
         fresh = self.refresh()
@@ -329,10 +344,10 @@ class Repository:
 class Registry:
     """One store for each real root; results of roots are never merged."""
 
-    def __init__(self, spark: SparkSession, root: str | None = None, state: str | None = None):
-        self.spark, self.stores, self.default = spark, {}, None
+    def __init__(self, spark: SparkSession, root: str | None = None, state: str | None = None, lsp: str = "off"):
+        self.spark, self.stores, self.default, self.lsp = spark, {}, None, lsp
         if root:
-            store = Repository(spark, root, state)
+            store = Repository(spark, root, state, lsp)
             self.stores[store.root] = store
             self.default = store.root
 
@@ -341,5 +356,5 @@ class Registry:
             raise FactsError("repository_root is required")
         real = os.path.realpath(root) if root else self.default
         if real not in self.stores:
-            self.stores[real] = Repository(self.spark, real)
+            self.stores[real] = Repository(self.spark, real, lsp=self.lsp)
         return self.stores[real]

@@ -32,3 +32,13 @@ def test_query(spark, duck, name):
     columns = [d[0] for d in found.description]
     assert sorted(columns) == sorted(got.columns)
     assert plain([tuple(r) for r in got.collect()], got.columns) == plain(found.fetchall(), columns)
+
+
+#: Queries that join one row of totals to all others; every other join must be on keys.
+ONE_ROW = {"a04_stats", "a09_unresolved_report", "search_page", "t05_match", "t06_bm25_common", "t06_bm25_rare", "t08_page", "t09_body_search"}
+
+
+@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - ONE_ROW))
+def test_joins_are_on_keys(spark, name):
+    plan = catalogue.queries()[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan

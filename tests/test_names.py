@@ -14,9 +14,25 @@ def column(spark, values, f):
     return [r["o"] for r in rows]
 
 
+def python_words(name: str) -> list[str]:
+    """words_of for one string."""
+    out, word = [], ""
+    for i, c in enumerate(name):
+        if c in "_-.":
+            out, word = out + [word] * bool(word), ""
+            continue
+        if word and c.isupper():
+            after_small = name[i - 1].islower() or name[i - 1] in "0123456789"
+            before_small = i + 1 < len(name) and name[i + 1].islower()
+            if after_small or len(word.encode()) > 1 and before_small:
+                out, word = out + [word], ""
+        word += c
+    return out + [word] * bool(word)
+
+
 def test_split_identifier(spark):
     names = ["loadTileCache", "RiverBank", "fold_left_right", "LONG_UPPER_NAME", "CSVWriter", "q", "", "v3Beta", "UDPSocket4You", "__call__", "dash-ed.part", "QRs", "éÀb", "lowerÀB"]
-    assert column(spark, names, N.words_of) == [N.python_words(n) for n in names]
+    assert column(spark, names, N.words_of) == [python_words(n) for n in names]
     assert column(spark, ["loadTileCache", "fold_left2Right", "PlainHTTPHop", "solo"], N.split_identifier) == ["loadTileCache load tile cache", "fold_left2Right fold left2 right", "PlainHTTPHop plain http hop", "solo"]
 
 
