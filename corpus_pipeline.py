@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each as Parquet in the shared
 folder and reads it back for the next.
+
+Cases: a null or wordless text has no language and leaves in the first stage; null ids, null sources and rows
+that repeat an id with another text stay documents of their own up to the last stage; rows that repeat id and text
+count as copies of each other, and near-dedup keeps one; ties go to the smallest id, null before all others; an
+empty table passes through all stages; columns beside those of `documents` stay as they are until the last stage.
 """
 
 from __future__ import annotations

@@ -42,3 +42,15 @@ def test_stages_against_plain_versions(spark):
     for r in pipeline.byte_bpe(spark, docs, None).collect():
         assert list(memoryview(bytes(r["ids"])).cast("I")) == real.encode_ordinary(once[r["doc_id"]])
         assert r["decoded_sha256"] == hashlib.sha256(once[r["doc_id"]].encode()).hexdigest()
+
+
+def test_empty_table_and_more_columns(spark):
+    pipeline = importlib.import_module("corpus_pipeline")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("*", "1 as n", "'x' as comp", "2 as row", "3 as size", "4 as t1")
+    for start in (docs.limit(0), docs.where("doc_id < 40")):
+        kept = start
+        for name, stage in pipeline.STAGES[:4]:
+            kept = materialize(stage(spark, kept, None), "test")
+            assert kept.columns == docs.columns, name
+        done = pipeline.byte_bpe(spark, kept, None)
+        assert done.count() == kept.count() and (start.isEmpty() or done.count() > 10)

@@ -45,3 +45,29 @@ def test_ratio_tells_target_from_the_rest(spark):
 def test_buckets_are_in_range():
     b = q.ngram_buckets([b"a", b"b", b"a"])
     assert len(b) == 5 and (b[:3] < q.BUCKETS).all() and (b[3:] >= q.BUCKETS).all() and np.unique(b[:3]).size == 2
+
+
+def test_ratio_against_plain_counts(spark):
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["Aa", "b", "c#", "dd", "é", "f"]) for _ in range(r.choice([0, 1, 2, 15, 60]))) for _ in range(50)]
+    texts += [texts[3], None, "zz " * 50_000]
+    labels = [(i, i % 3 == 0) for i in range(30)] + [(4, True), (4, False)]
+    docs = spark.createDataFrame([*enumerate(texts), (3, texts[3])], "doc_id long, text string").selectExpr("*", "1 as raw", "2 as target")
+    known = spark.createDataFrame([(i, int(good), 0) for i, good in labels], "doc_id long, quality int, toxic int")
+    trusted = {i for i, good in labels if good}
+
+    def grams(text):
+        words = [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))]
+        return [int(q.ngram_buckets([w])[0]) for w in words] + [int(q.ngram_buckets([a, b])[2]) for a, b in zip(words, words[1:])]
+
+    raw, target = {}, {}
+    for i, t in [*enumerate(texts), (3, texts[3])]:
+        for g in grams(t):
+            raw[g] = raw.get(g, 0) + 1
+            target[g] = target.get(g, 0) + (i in trusted)
+    all_raw, all_target = sum(raw.values()), sum(target.values())
+    log = lambda g: np.log(q.LAMBDA * (target[g] / all_target) / (raw[g] / all_raw) + 1 - q.LAMBDA)
+    for x in q.judge(docs, q.log_ratios(docs, known)).collect():
+        found = grams(texts[x["doc_id"]])
+        assert abs(x["llr"] - (np.mean([log(g) for g in found]) if found else 0)) < 1e-9
+        assert x["kept"] == (not x["base_failed"] and x["llr"] >= q.THRESHOLD)
