@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from factloom.llm.common import fold, lower_byte_words, materialize, table
 
 KNOWN, HIDDEN = 2e-5, 16
 STEPS, LANES, RATE = 16, 512, 0.1
-SHARE = 2e-6
+SHARE = 1e-6
 BUFFER = 400_000
 #: Tokens that are scored together.
 TOGETHER = 1_500_000
@@ -87,41 +88,60 @@ class Network:
         return n + z * (h - n), z, r, n, inner
 
     def output(self, h: np.ndarray, ids: np.ndarray, learn: dict | None = None):
-        """log P of each id from its state; with learn, gradients go there and the states' are returned, too."""
-        w, rows = self.w, np.arange(len(ids))
+        """(log P of each id from its state, None); with learn, the gradients go there and (None, those of the states) come back.
+
+        Biases are the weights of a last state of 1. A softmax stays undivided: its sums divide what is made of it.
+        """
+        w, n = self.w, len(ids)
+        one = np.ones((n, 1), h.dtype)
+        inner, outer = np.concatenate([w["c"], w["cb"][None]]), np.concatenate([w["o"], w["ob"][:, None]], axis=1)
+        ones, places = np.ones(max(inner.shape[1], int(np.diff(self.first).max())), h.dtype), np.arange(n)
+        # states lie within -1 and 1, so most weights need no shift
+        shift = max(np.abs(inner).sum(axis=0).max(), np.abs(outer).sum(axis=1).max()) > 60
+
+        def soft(states, weights):
+            p = states @ weights
+            if shift:
+                p -= p.max(axis=1, keepdims=True)
+            np.exp(p, out=p)
+            return p, p @ ones[: p.shape[1]]
+
         cls = self.word_class[ids]
-        logits = h @ w["c"] + w["cb"]
-        logits -= logits.max(axis=1, keepdims=True)
-        p = np.exp(logits)
-        total = p.sum(axis=1)
-        out = logits[rows, cls] - np.log(total)
-        dh = None
+        h = np.concatenate([h, one], axis=1)
+        p, total = soft(h, inner)
+        share, dh = p[places, cls], None
         if learn is not None:
-            p /= total[:, None]
-            p[rows, cls] -= 1
-            learn["c"], learn["cb"] = h.T @ p, p.sum(axis=0)
-            dh = p @ w["c"].T
+            p[places, cls] -= total
+            whole = (h / total[:, None]).T @ p
+            learn["c"], learn["cb"] = whole[:-1], whole[-1]
+            dh = (p @ w["c"].T) / total[:, None]
             learn["o"], learn["ob"] = np.zeros_like(w["o"]), np.zeros_like(w["ob"])
+        share = share / total
         order = np.argsort(cls, kind="stable")
         bounds = np.searchsorted(cls[order], np.arange(len(self.first)))
+        sorted_h, sorted_ids, within = h[order], ids[order], np.ones(n, share.dtype)
+        back = np.zeros((n, HIDDEN), h.dtype) if learn is not None else None
         for k in range(len(self.first) - 1):
             a, b = self.first[k], self.first[k + 1]
-            if b - a < 2 or bounds[k] == bounds[k + 1]:
+            i, j = bounds[k], bounds[k + 1]
+            if b - a < 2 or i == j:
+                continue
+            hs, want, each = sorted_h[i:j], sorted_ids[i:j] - a, places[: j - i]
+            p, total = soft(hs, outer[a:b].T)
+            if learn is None:
+                within[i:j] = p[each, want] / total
                 continue
-            at = order[bounds[k] : bounds[k + 1]]
-            hs, want = h[at], ids[at] - a
-            logits = hs @ w["o"][a:b].T + w["ob"][a:b]
-            logits -= logits.max(axis=1, keepdims=True)
-            p = np.exp(logits)
-            total = p.sum(axis=1)
-            each = np.arange(len(at))
-            out[at] += logits[each, want] - np.log(total)
-            if learn is not None:
-                p /= total[:, None]
-                p[each, want] -= 1
-                learn["o"][a:b], learn["ob"][a:b] = p.T @ hs, p.sum(axis=0)
-                dh[at] += p @ w["o"][a:b]
-        return out, dh
+            p[each, want] -= total
+            by = 1 / total[:, None]
+            whole = p.T @ (hs * by)
+            learn["o"][a:b], learn["ob"][a:b] = whole[:, :-1], whole[:, -1]
+            back[i:j] = (p @ w["o"][a:b]) * by
+        if learn is not None:
+            dh[order] += back
+            return None, dh
+        out, tiny = np.empty(n), 1e-37
+        out[order] = within
+        return np.log(np.maximum(out, tiny)) + np.log(np.maximum(share, tiny)), None
 
     def train(self, stream: np.ndarray, end: int, sums: dict) -> None:
         """One pass of windows over a stream of documents, each closed by end."""
@@ -137,38 +157,51 @@ class Network:
         for at in range(0, len(ids), STEPS):
             x, y = prev[at : at + STEPS], ids[at : at + STEPS]
             keep = (x != end)[:, :, None].astype(np.float32)
-            trace, states = [], []
+            trace, states = [], np.empty((len(x), lanes, HIDDEN), h.dtype)
+            befores = np.empty_like(states)
             for t in range(len(x)):
-                h = h * keep[t]
-                new, z, r, n, inner = self.step(x[t], h)
-                trace.append((h, z, r, n, inner))
-                states.append(new)
-                h = new
+                befores[t] = h = h * keep[t]
+                h, *inner = self.step(x[t], h)
+                states[t] = h
+                trace.append(inner)
             learn: dict = {}
             real = y.ravel() >= 0
-            dout = np.zeros((x.size, HIDDEN), h.dtype)
-            _, dout[real] = self.output(np.concatenate(states)[real], y.ravel()[real], learn)
+            flat_states = states.reshape(-1, HIDDEN)
+            if real.all():
+                dout = self.output(flat_states, y.ravel(), learn)[1]
+            else:
+                dout = np.zeros((x.size, HIDDEN), h.dtype)
+                _, dout[real] = self.output(flat_states[real], y.ravel()[real], learn)
             dout = dout.reshape(len(x), lanes, HIDDEN)
-            du, dx, later = np.zeros_like(self.w["u"]), np.empty((len(x), lanes, 3 * HIDDEN), np.float32), 0
+            dx, last, later = np.empty((len(x), lanes, 3 * HIDDEN), h.dtype), slice(2 * HIDDEN, None), 0
+            dn_r, back = np.empty_like(states), self.w["u"].T.copy()
             for t in range(len(x) - 1, -1, -1):
-                before, z, r, n, inner = trace[t]
+                z, r, n, inner = trace[t]
                 d = dout[t] + later
-                dn = d * (1 - z) * (1 - n * n)
-                dz, dr = d * (before - n) * z * (1 - z), dn * inner * r * (1 - r)
-                dx[t] = np.concatenate([dz, dr, dn], axis=1)
-                da = np.concatenate([dz, dr, dn * r], axis=1)
-                du += before.T @ da
-                later = (d * z + da @ self.w["u"].T) * keep[t]
+                dn = d * (1 - z)
+                dx[t, :, :HIDDEN] = dn * z * (befores[t] - n)
+                dn *= 1 - n * n
+                np.multiply(dn, r, out=dn_r[t])
+                dx[t, :, HIDDEN : 2 * HIDDEN] = dn_r[t] * inner * (1 - r)
+                dx[t, :, last] = dn
+                later = (d * z + dx[t, :, : 2 * HIDDEN] @ back[: 2 * HIDDEN] + dn_r[t] @ back[last]) * keep[t]
+            dx, befores = dx.reshape(-1, 3 * HIDDEN), befores.reshape(-1, HIDDEN)
+            learn["u"] = np.concatenate([befores.T @ dx[:, : 2 * HIDDEN], befores.T @ dn_r.reshape(-1, HIDDEN)], axis=1)
             flat_ids = x.ravel()
             order = np.argsort(flat_ids, kind="stable")
             seen, starts = np.unique(flat_ids[order], return_index=True)
-            learn["u"], learn["x"] = du, np.zeros_like(self.w["x"])
-            learn["x"][seen] = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], starts)
             size = int(real.sum())
+            self._move("x", np.add.reduceat(dx[order], starts) / size, sums, seen)
             for key, v in learn.items():
-                g = v / size
-                sums[key] = sums.get(key, 1e-8) + g * g
-                self.w[key] -= RATE * g / np.sqrt(sums[key])
+                self._move(key, v / size, sums)
+
+    def _move(self, key: str, g: np.ndarray, sums: dict, rows=slice(None)) -> None:
+        """One adaptive step along a gradient; rows not given have none."""
+        if key not in sums:
+            sums[key] = np.full_like(self.w[key], 1e-8)
+        held = sums[key][rows] + g * g
+        sums[key][rows] = held
+        self.w[key][rows] -= RATE * g / np.sqrt(held)
 
     def score(self, docs: list[np.ndarray], end: int) -> np.ndarray:
         """Natural log-likelihood of each document, the sum over all its tokens."""
@@ -234,13 +267,6 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-class _Index(dict):
-    """Places of words; -1 for any other."""
-
-    def __missing__(self, word):
-        return -1
-
-
 class Vocabulary:
     """The broadcast head: index of a word, its count, its id in the network (the shared id is the last)."""
 
@@ -251,7 +277,7 @@ class Vocabulary:
         top = sorted(top if last in dict(top) else [*top, (last, 0)], key=lambda x: (-x[1], x[0]))
         taken = dict(top)
         rest = [x for x in head if x[0] not in taken]
-        self.index = _Index({w: i for i, (w, _) in enumerate(top + rest)})
+        self.index = {w: i for i, (w, _) in enumerate(top + rest)}
         self.counts = np.array([c for _, c in top + rest], np.int64)
         self.size, self.end = len(top), self.index[last]
         self.total, self.distinct = total, distinct
@@ -263,7 +289,7 @@ class Vocabulary:
     def ids(self, text: str | None) -> tuple[list[bytes], np.ndarray]:
         words = lower_byte_words(text)
         ids = np.empty(len(words) + 1, np.int64)
-        ids[:-1] = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        ids[:-1] = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
         ids[-1] = self.end
         return words, ids
 
