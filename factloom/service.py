@@ -59,8 +59,22 @@ class Repository:
     # snapshots
 
     def manifest(self) -> dict:
+        """Which snapshot is the current one, and what made it; extractor is None where the next refresh must build all anew."""
         found = read_text(self.spark, f"{self.state}/manifest.json")
-        return json.loads(found) if found else {"generation": 0, "extractor": None, "folder": None}
+        if not found:
+            return {"generation": 0, "extractor": None, "folder": None}
+        try:
+            made = json.loads(found)
+        except ValueError as e:
+            raise FactsError("the manifest can't be read") from e
+        number = made.get("generation") if isinstance(made, dict) else None
+        if isinstance(number, bool) or not isinstance(number, int) or number < 0:
+            raise FactsError("the manifest has no valid generation")
+        return {"extractor": None, "folder": None} | made
+
+    def require_rebuild(self) -> None:
+        """Makes the next refresh build everything anew, whatever changed; that refresh takes the mark away."""
+        write_text(self.spark, f"{self.state}/manifest.json", json.dumps(self.manifest() | {"extractor": None}))
 
     def _stored(self, name: str) -> DataFrame:
         if name not in self.tables:

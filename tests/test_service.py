@@ -7,6 +7,7 @@ import random
 import pytest
 
 from factloom import rpc
+from factloom.functions import storage
 from factloom.operators.page import CursorError
 from factloom.service import FactsError, Registry, Repository
 
@@ -232,3 +233,17 @@ def test_undecodable_files_are_skipped(spark, tmp_path):
         f.write(b"def bad(): pass  # \xff\xfe\n")
     fresh = Repository(spark, root, str(tmp_path / "s")).refresh()
     assert (fresh["files_indexed"], fresh["files_skipped"]) == (1, 1)
+
+
+def test_manifest_is_validated(spark, tmp_path):
+    store = Repository(spark, str(tmp_path), str(tmp_path / "s"))
+    assert store.manifest() == {"generation": 0, "extractor": None, "folder": None}
+    put = lambda text: storage.write_text(spark, f"{store.state}/manifest.json", text)
+    put('{"generation": 3, "extractor": "2", "folder": "gen=3"}')
+    assert store.manifest()["generation"] == 3
+    store.require_rebuild()
+    assert store.manifest() == {"generation": 3, "extractor": None, "folder": "gen=3"}
+    for bad in ("no json", "[]", "{}", '{"generation": -1}', '{"generation": true}', '{"generation": "4"}'):
+        put(bad)
+        with pytest.raises(FactsError):
+            store.manifest()
