@@ -9,10 +9,11 @@ probability of (1 - s ** ROWS) ** BANDS: 7e-9 at 0.85, 3e-6 at 0.8.
 2. Classes that share a band key meet in a bucket. Each class is held against the centres of its buckets, and
    the nearest that can be linked is confirmed. So a bucket costs comparisons in proportion to its members.
 3. Buckets that still hold several components are searched in blocks: their classes are dealt into chunks of
-   about CHUNK, and each pair of chunks is a cell that one task scans. Chunks of the bucket's largest
-   component never meet each other. A class hands on its nearest class of another component only; a class
-   without any is done, as components only grow. With the others rounds go on until one merges nothing, and a
-   last one hands on all pairs that are left.
+   about CHUNK, or COPIES chunks if that is more, and each pair of chunks is a cell that one task scans. Chunks
+   of the bucket's largest component never meet each other. Classes travel to cells in packs of about PACK, a
+   row each, and none more than COPIES + 2 times, so rows grow with a bucket's size and not with its square. A
+   class hands on its nearest class of another component only; a class without any is done, as components only
+   grow. With the others rounds go on until one merges nothing, and a last one hands on all pairs that are left.
 
 A cell tells apart what can be linked by parity bitmaps: bit i is the parity of the set's hashes that fall on
 i, so two bitmaps differ in no more bits than the sets have unlike elements. Nothing that is linked is lost,
@@ -42,6 +43,8 @@ from factloom.llm.common import discard, give_back, lower_byte_words, materializ
 PERMS, ROWS, BANDS = 80, 5, 32
 SALT = 256
 CHUNK = 256
+#: Classes in a row that goes to a cell, and the chunks of a bucket of any size.
+PACK, COPIES = 32, 32
 #: Keys to broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _MEMO = 150_000
@@ -269,57 +272,77 @@ def star_pairs(met: DataFrame, info: DataFrame, percent: int) -> DataFrame:
 
 
 def _members(met: DataFrame, info: DataFrame, comp: DataFrame) -> DataFrame:
-    """A stored table (band, a, b, at, node, comp, n, bits): the cells (a, b) of chunks of the buckets with several components."""
+    """A stored table (band, a, b, at, node, comp, n, bits): the cells (a, b) of chunks of the buckets with several
+    components. A row is a pack of classes of chunk `at`; its last four columns are lists."""
     inside = met.select("band", "node").join(comp.select("node", "comp"), "node")
     sizes = inside.groupBy("band", "comp").agg(F.count("*").alias("k")).groupBy("band")
     sizes = sizes.agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), F.max("k").alias("most"), F.sum("k").alias("all"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
     whole = F.col("all") <= CHUNK
-    minor = F.when(whole, 1).otherwise(F.ceil((F.col("all") - F.col("most")) / CHUNK))
-    major = F.when(whole, 0).otherwise(F.ceil(F.col("most") / CHUNK))
-    sizes = materialize(sizes.select("band", "top", minor.cast("long").alias("minor"), major.cast("long").alias("major")), "open")
+    chunk = F.greatest(F.lit(CHUNK), F.ceil(F.col("all") / COPIES))
+    minor = F.when(whole, 1).otherwise(F.ceil((F.col("all") - F.col("most")) / chunk))
+    major = F.when(whole, 0).otherwise(F.ceil(F.col("most") / chunk))
+    packs = F.ceil(F.least("all", chunk) / PACK)
+    sizes = materialize(sizes.select("band", "top", minor.cast("long").alias("minor"), major.cast("long").alias("major"), packs.cast("long").alias("packs")), "open")
     dealt = materialize(inside.join(sizes, "band"), "open-members")
     discard(sizes)
     low = (F.col("comp") != F.col("top")) | (F.col("major") == 0)
     place = F.when(low, F.pmod(F.xxhash64("node"), "minor")).otherwise(F.col("minor") + F.pmod(F.xxhash64("node"), F.greatest("major", F.lit(1))))
-    to = F.sequence(F.lit(0).cast("long"), F.when(low, F.col("minor") + F.col("major")).otherwise(F.col("minor")) - 1)
-    rows = dealt.join(info.select("node", "n", "bits"), "node").select("band", place.alias("at"), F.explode(to).alias("to"), "node", "comp", "n", "bits")
-    cells = materialize(rows.select("band", F.least("at", "to").alias("a"), F.greatest("at", "to").alias("b"), "at", "node", "comp", "n", "bits"), "cells")
+    rows = dealt.join(info.select("node", "n", "bits"), "node").select("band", "minor", "major", place.alias("at"), F.pmod(F.xxhash64(F.lit(1), "node"), "packs").alias("pack"), F.struct("node", "comp", "n", "bits").alias("row"))
+    packed = rows.groupBy("band", "minor", "major", "at", "pack").agg(F.collect_list("row").alias("rows"))
+    to = F.sequence(F.lit(0).cast("long"), F.when(F.col("at") < F.col("minor"), F.col("minor") + F.col("major")).otherwise(F.col("minor")) - 1)
+    sent = packed.select("band", "at", F.explode(to).alias("to"), "rows")
+    cells = materialize(sent.select("band", F.least("at", "to").alias("a"), F.greatest("at", "to").alias("b"), "at", "rows.node", "rows.comp", "rows.n", "rows.bits"), "cells")
     discard(dealt)
     return cells
 
 
 def block_pairs(cells: DataFrame, percent: int, every: bool) -> DataFrame:
     """(u, c) of different components that can be linked: for each u the nearest in all its cells, or every pair."""
+    step = CHUNK
 
     def search(cell: list[tuple]) -> list[tuple]:
         a, b = cell[0][1:3]
-        at, sizes = np.array([r[3] for r in cell]), np.array([r[6] for r in cell])
-        names: dict = {}
-        comp = np.array([names.setdefault(r[5], len(names)) for r in cell])
-        left, right = np.flatnonzero(at == a), np.flatnonzero(at == b)
-        if len(names) < 2 or not len(left) or not len(right):
+        at = np.repeat([r[3] for r in cell], [len(r[4]) for r in cell])
+        nodes, comps, sizes = (np.concatenate([r[k] for r in cell]) for k in (4, 5, 6))
+        bits = [x for r in cell for x in r[7]]
+        comp = np.unique(comps, return_inverse=True)[1]
+        lefts, rights = np.flatnonzero(at == a), np.flatnonzero(at == b)
+        if comp.max() == 0 or not len(lefts) or not len(rights):
             return []
-        gap = gaps(sizes, [r[7] for r in cell], left, right, percent)
-        gap[comp[left][:, None] == comp[right][None, :]] = np.inf
-        if every:
-            found = [(left[i], right[j], gap[i, j]) for i, j in np.argwhere(np.isfinite(gap)) if a != b or i < j]
-        else:
-            near = gap.argmin(axis=1)
-            found = [(left[i], right[j], gap[i, j]) for i, j in enumerate(near) if np.isfinite(gap[i, j])]
-            if a != b:
-                near = gap.argmin(axis=0)
-                found += [(right[j], left[i], gap[i, j]) for j, i in enumerate(near) if np.isfinite(gap[i, j])]
-        return [(cell[i][4], cell[j][4], float(g)) for i, j, g in found]
+        found: list[tuple] = []
+        best, partner = np.full(len(nodes), np.inf), np.zeros(len(nodes), np.int64)
+
+        def nearer(side, near, gap):
+            new = gap < best[side]
+            best[side[new]], partner[side[new]] = gap[new], near[new]
+
+        for i in range(0, len(lefts), step):
+            for j in range(i if a == b else 0, len(rights), step):
+                left, right = lefts[i : i + step], rights[j : j + step]
+                apart = comp[left][:, None] != comp[right][None, :]
+                if not apart.any():
+                    continue
+                gap = gaps(sizes, bits, left, right, percent)
+                gap[~apart] = np.inf
+                if every:
+                    found += [(nodes[left[x]], nodes[right[y]], gap[x, y]) for x, y in np.argwhere(np.isfinite(gap)) if a != b or left[x] < right[y]]
+                else:
+                    nearer(left, right[gap.argmin(axis=1)], gap.min(axis=1))
+                    nearer(right, left[gap.argmin(axis=0)], gap.min(axis=0))
+        if not every:
+            found = [(nodes[x], nodes[partner[x]], best[x]) for x in np.flatnonzero(np.isfinite(best))]
+        return [(int(u), int(c), float(g)) for u, c, g in found]
 
     def run(batches):
         cell: list[tuple] = []
         for batch in batches:
             out = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if cell and cell[0][:3] != row[:3]:
+            for i, name in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)))):
+                if cell and cell[0][:3] != name[:3]:
                     out += search(cell)
                     cell = []
-                cell.append(row)
+                lists = [batch.column(k)[i].values for k in range(4, 8)]
+                cell.append((*name, *(x.to_numpy().copy() for x in lists[:3]), lists[3].to_pylist()))
             yield _pairs(out)
         if cell:
             yield _pairs(search(cell))

@@ -128,3 +128,29 @@ def test_long_texts_and_large_groups(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(map(tuple, minmax.groups(df, 3, 85).collect()), key=key)
     assert got == sorted(brute(rows, 3, 85), key=key)
+
+
+def test_rows_of_cells_grow_with_the_bucket(spark, monkeypatch):
+    def cells(size):
+        """Cells of one bucket of so many classes; a sixteenth of them are one component, the others alone."""
+        node = minmax.F.col("id")
+        rows = minmax.materialize(spark.range(size).select(node.alias("node"), minmax.F.when(node % 16 == 0, 0).otherwise(node).alias("comp"), minmax.F.lit(7).cast("long").alias("band"), minmax.F.lit(4).cast("long").alias("n"), minmax.F.unhex(minmax.F.lpad(minmax.F.hex("id"), 64, "0")).alias("bits")), "test")
+        return minmax._members(rows, rows, rows)
+
+    monkeypatch.setattr(minmax, "CHUNK", 8)
+    monkeypatch.setattr(minmax, "PACK", 8)
+    monkeypatch.setattr(minmax, "COPIES", 6)
+    small, large = cells(400), cells(3200)
+    assert small.count() < 800 and large.count() < 9 * small.count()
+    for made, size in ((small, 400), (large, 3200)):
+        met = made.where("a = b").select(minmax.F.explode("node").alias("node"))
+        assert met.count() == met.distinct().count() and 15 * size // 16 <= met.count() <= size  # each class once in its own chunk
+        chunks = made.select("a").union(made.select("b")).distinct().count()
+        assert made.where("at = a or at = b").count() == made.count() and chunks <= 8
+        times = made.select(minmax.F.explode("node").alias("node")).groupBy("node").count().agg(minmax.F.max("count")).first()[0]
+        assert times <= 8
+    every = {frozenset(p) for p in minmax.block_pairs(small, 10, True).collect()}
+    by_hand = {frozenset((i, j)) for i in range(400) for j in range(i) if not (i % 16 == 0 and j % 16 == 0) and (i ^ j).bit_count() * 110 <= 90 * 8}
+    assert every == by_hand
+    near = {u: c for u, c in minmax.block_pairs(small, 10, False).collect()}
+    assert all((u ^ c).bit_count() == min((u ^ v).bit_count() for p in by_hand if u in p for v in p if v != u) for u, c in near.items()) and set(near) == {u for p in by_hand for u in p}
