@@ -45,3 +45,13 @@ def test_candidates_are_numbered_by_name(shuffled, sites, nodes):
     rows = found.where("key = 7").orderBy("rn").collect()
     assert [r["rn"] for r in rows] == list(range(1, N + 1)) and {(r["candidate_count"], r["same_file"]) for r in rows} == {(N, 2)}
     assert [r["target_id"] for r in rows[:3]] == ["n0", "n1", "n10"] and found.count() == N * N
+
+
+def test_edges_are_chosen_before_pairing(shuffled, sites, nodes):
+    found = resolve.chosen(sites, nodes, "key", 2)
+    assert shuffled(found) < 10 * N
+    rows = {(r["key"], r["target_id"], r["resolution"], r["truncated"], r["candidate_count"]) for r in found.where("key < 2").collect()}
+    assert rows == {(0, "n0", "polymorphic", True, N), (0, "n1", "polymorphic", True, N), (1, "n0", "ambiguous_name", False, N)}
+    own = nodes.where("id <> 'n1'")
+    rows = resolve.chosen(sites.withColumn("file_path", F.lit("b7.ts")), own, "key").where("key = 1").collect()
+    assert [(r["target_id"], r["resolution"], r["confidence"], r["t_path"]) for r in rows] == [("n7", "static", "static", "b7.ts")]
