@@ -55,3 +55,13 @@ def test_edges_are_chosen_before_pairing(shuffled, sites, nodes):
     own = nodes.where("id <> 'n1'")
     rows = resolve.chosen(sites.withColumn("file_path", F.lit("b7.ts")), own, "key").where("key = 1").collect()
     assert [(r["target_id"], r["resolution"], r["confidence"], r["t_path"]) for r in rows] == [("n7", "static", "static", "b7.ts")]
+
+
+def test_bound_calls_in_one_pass(shuffled, sites, nodes):
+    more = sites.unionByName(sites.limit(1).withColumns({"key": F.lit(N).cast("long"), "target_name": F.lit("gone")}))
+    names = nodes.sparkSession.createDataFrame([("run",), ("gone",)], "name string")
+    found = resolve.rebind(more, names, nodes, "key")
+    assert shuffled(found) < 10 * N
+    got = {(r["key"], r["target_id"], r["resolution"], r["confidence"], r["candidate_count"], r["truncated"]) for r in found.where(f"key in (1, {N})").collect()}
+    assert got == {(1, "n0", "ambiguous_name", "heuristic", N, False), (N, "unresolved:gone", "unresolved", "unresolved", None, None)}
+    assert found.count() == N // 3 * 32 + N // 3 * 2 + 1
