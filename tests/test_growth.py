@@ -65,3 +65,12 @@ def test_bound_calls_in_one_pass(shuffled, sites, nodes):
     got = {(r["key"], r["target_id"], r["resolution"], r["confidence"], r["candidate_count"], r["truncated"]) for r in found.where(f"key in (1, {N})").collect()}
     assert got == {(1, "n0", "ambiguous_name", "heuristic", N, False), (N, "unresolved:gone", "unresolved", "unresolved", None, None)}
     assert found.count() == N // 3 * 32 + N // 3 * 2 + 1
+
+
+def test_best_targets_are_found_by_name(shuffled, sites, nodes):
+    found = resolve.best_targets(sites, nodes, "key")
+    assert shuffled(found) < 10 * N
+    assert {r["target_id"] for r in found.collect()} == {"n0"}
+    away = sites.withColumn("file_path", F.when(F.col("key") < 2, "elsewhere.ts")).withColumn("target_name", F.when(F.col("key") == 2, "gone").otherwise("run"))
+    got = {r["key"]: r["target_id"] for r in resolve.best_targets(away, nodes, "key").collect()}
+    assert got[0] == got[1] == got[3] == f"n{N - 1}" and got[2] == "unresolved:gone" and len(got) == N
