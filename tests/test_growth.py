@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import resolve
+from factloom.operators import imports, resolve
 
 
 @pytest.fixture
@@ -74,3 +74,22 @@ def test_best_targets_are_found_by_name(shuffled, sites, nodes):
     away = sites.withColumn("file_path", F.when(F.col("key") < 2, "elsewhere.ts")).withColumn("target_name", F.when(F.col("key") == 2, "gone").otherwise("run"))
     got = {r["key"]: r["target_id"] for r in resolve.best_targets(away, nodes, "key").collect()}
     assert got[0] == got[1] == got[3] == f"n{N - 1}" and got[2] == "unresolved:gone" and len(got) == N
+
+
+@pytest.fixture
+def probed(spark):
+    """N imports from as many files of one file, which resolves, and one that does not."""
+    wanted = spark.range(N + 1).select(F.col("id").alias("key"), F.concat(F.lit("src/c"), F.col("id").cast("string"), F.lit(".ts")).alias("file_path"), F.when(F.col("id") == N, "./gone").otherwise("./b").alias("specifier"))
+    return imports.probed(wanted, spark.createDataFrame([("src/b.ts",), ("src/b.tsx",)], "file_path string"), "key")
+
+
+def test_named_imports_meet_the_best_of_a_name(shuffled, spark, probed, nodes):
+    assert {(r["resolved"], r["n"]) for r in probed.groupBy("resolved").agg(F.count("*").alias("n")).collect()} == {("src/b.ts", N), (None, 1)}
+    wanted = probed.withColumn("names", F.array(F.lit("run"), F.lit("gone")))
+    found = imports.named(wanted, nodes, "key")
+    assert shuffled(found) < 10 * N
+    assert {(r["name"], r["target_id"]) for r in found.collect()} == {("run", "n0")} and found.count() == N
+    own = nodes.withColumn("file_path", F.when(F.col("id") == "n9", "src/b.ts").otherwise(F.col("file_path")))
+    hops = spark.createDataFrame([("src/b.ts", "n8")], "file_path string, target_id string")
+    assert {r["target_id"] for r in imports.named(wanted, own, "key", hops).collect()} == {"n9"}
+    assert {r["target_id"] for r in imports.named(wanted, nodes, "key", hops).collect()} == {"n8"}
