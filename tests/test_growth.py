@@ -93,3 +93,10 @@ def test_named_imports_meet_the_best_of_a_name(shuffled, spark, probed, nodes):
     hops = spark.createDataFrame([("src/b.ts", "n8")], "file_path string, target_id string")
     assert {r["target_id"] for r in imports.named(wanted, own, "key", hops).collect()} == {"n9"}
     assert {r["target_id"] for r in imports.named(wanted, nodes, "key", hops).collect()} == {"n8"}
+
+
+def test_wildcard_joins_lists_of_a_file(spark, probed, nodes):
+    shown = nodes.withColumn("file_path", F.lit("src/b.ts")).withColumn("exported", F.col("id") != "n0")
+    found = imports.wildcard(probed, shown)
+    assert found.count() == N * (N - 1) and found.select("key", "target_id").distinct().count() == N * (N - 1)
+    assert "target_id" in found.columns and "collect_list" in found._jdf.queryExecution().executedPlan().toString()
