@@ -100,3 +100,13 @@ def test_wildcard_joins_lists_of_a_file(spark, probed, nodes):
     found = imports.wildcard(probed, shown)
     assert found.count() == N * (N - 1) and found.select("key", "target_id").distinct().count() == N * (N - 1)
     assert "target_id" in found.columns and "collect_list" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_barrels_are_distinct_before_they_meet(shuffled, probed, nodes):
+    shown = nodes.withColumn("file_path", F.lit("src/b.ts")).withColumn("exported", F.col("id") != "n0")
+    twice = probed.select("file_path", "resolved").unionByName(probed.select("file_path", "resolved"))
+    found = imports.barrels(twice, shown.unionByName(shown))
+    assert shuffled(found) < 10 * N
+    assert found.count() == N * (N - 1) and found.distinct().count() == N * (N - 1)
+    listed = imports.barrels(probed.withColumn("names", F.array(F.lit("run"))), shown)
+    assert listed.count() == N * N and set(listed.columns) >= {"file_path", "resolved", "target_id", "name"}
