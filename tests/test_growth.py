@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import imports, resolve
+from factloom.operators import imports, resolve, structure
 
 
 @pytest.fixture
@@ -110,3 +110,11 @@ def test_barrels_are_distinct_before_they_meet(shuffled, probed, nodes):
     assert found.count() == N * (N - 1) and found.distinct().count() == N * (N - 1)
     listed = imports.barrels(probed.withColumn("names", F.array(F.lit("run"))), shown)
     assert listed.count() == N * N and set(listed.columns) >= {"file_path", "resolved", "target_id", "name"}
+
+
+def test_endpoint_handlers_are_distinct_without_a_shuffle_of_pairs(shuffled, spark, nodes):
+    ends = spark.range(N).select(F.col("id").cast("string").alias("id"), F.array(F.lit("run"), F.lit("go")).alias("handlers"))
+    both = nodes.unionByName(nodes.where("id = 'n5'").withColumn("name", F.lit("go")))  # one node under two names
+    found = structure.endpoint_handlers(ends.unionByName(ends), both.unionByName(nodes))
+    assert shuffled(found) < 15 * N
+    assert found.count() == N * N and found.distinct().count() == N * N
