@@ -26,7 +26,7 @@ def _around(inner: DataFrame, outer: DataFrame, kinds: list[str], left: bool = F
     """Pairs of a row and the nodes of the kinds whose lines cover it (outer columns start with o_).
 
     Rows meet by file and bin of lines, so what a large file costs follows from what covers what, not from the
-    square of its nodes. With left, a row comes out once for each width besides.
+    square of its nodes. With left, a row that nothing covers comes out once.
     """
     o = outer.where(F.col("kind").isin(kinds)).select(*[F.col(c).alias(f"o_{c}") for c in ("id", "name", "file_path", "start_line", "end_line")])
     width = F.lit(WIDTHS[-1])
@@ -39,7 +39,27 @@ def _around(inner: DataFrame, outer: DataFrame, kinds: list[str], left: bool = F
     spots = inner.withColumn("_at", bins)
     covers = (F.col("o_file_path") == F.col("file_path")) & (F.col("o_width") == F.col("_at.w")) & (F.col("o_bin") == F.col("_at.b"))
     covers = covers & (F.col("o_start_line") <= F.col("start_line")) & (F.col("o_end_line") >= F.col("end_line")) & (F.col("o_id") != F.col("id").cast("string"))
-    return spots.join(o, covers, "left" if left else "inner").drop("_at", "o_width", "o_bin")
+    met = spots.join(o, covers, "left" if left else "inner")
+    if left:  # one unmatched row is enough
+        met = met.where(F.col("o_id").isNotNull() | (F.col("_at.w") == WIDTHS[-1]))
+    return met.drop("_at", "o_width", "o_bin")
+
+
+def _first_around(inner: DataFrame, outer: DataFrame, kinds: list[str], order, left: bool = False) -> DataFrame:
+    """Rows of inner (id, file_path, start_line, end_line), each with `o_id` of the first node around it, by order(start, end).
+
+    Nodes are numbered in their file, so that the pairs of _around() shrink to the least number where they arise and
+    are neither shuffled nor sorted.
+    """
+    o = outer.where(F.col("kind").isin(kinds))
+    rank = F.row_number().over(Window.partitionBy("file_path").orderBy(*order(F.col("start_line"), F.col("end_line")), "id"))
+    o = o.select("id", "file_path", "start_line", "end_line", "kind", rank.alias("name"))
+    place = ["id", "file_path", "start_line", "end_line"]
+    least = _around(inner.select(place), o, kinds, left).groupBy(place).agg(F.min("o_name").alias("_rank"))
+    names = o.select(F.col("file_path"), F.col("name").alias("_rank"), F.col("id").alias("o_id"), F.col("start_line").alias("o_start_line"), F.col("end_line").alias("o_end_line"))
+    found = least.join(names, ["file_path", "_rank"], "left" if left else "inner")
+    ends = order(F.col("o_start_line"), F.col("o_end_line"))
+    return first_of(found, ["id"], F.col("o_id").isNull(), *ends, "o_id")
 
 
 def qualified_names(nodes: DataFrame) -> DataFrame:
@@ -53,25 +73,22 @@ def qualified_names(nodes: DataFrame) -> DataFrame:
 
 def containment(nodes: DataFrame) -> DataFrame:
     """Edges from each method's tightest container (the one that starts last) to the method."""
-    found = _around(nodes.where("kind = 'method'"), nodes, CONTAINERS)
-    best = first_of(found, ["id"], F.col("o_start_line").desc(), F.col("o_id"))
+    best = _first_around(nodes.where("kind = 'method'"), nodes, CONTAINERS, lambda start, end: [start.desc()])
     return best.select(F.col("o_id").alias("source_id"), F.col("id").alias("target_id"), F.lit("contains").alias("kind"), "file_path", F.col("start_line").alias("line"))
 
 
 def enclosing_scope(sites: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     """`key`, `source_id` for sites (key, file_path, line): the shortest function, method or class around, else the file."""
     spots = sites.select(F.col(key).alias("id"), "file_path", F.col("line").alias("start_line"), F.col("line").alias("end_line"))
-    scopes = nodes.select(*["id", "name", "file_path", "start_line", "end_line", "kind"])
-    found = _around(spots, scopes, [*CALLABLES, "class"], left=True)
-    best = first_of(found, ["id"], (F.col("o_end_line") - F.col("o_start_line")).asc_nulls_last(), "o_start_line", "o_id")
+    best = _first_around(spots, nodes, [*CALLABLES, "class"], lambda start, end: [end - start, start], left=True)
     return best.select(F.col("id").alias(key), F.coalesce("o_id", F.concat(F.lit("file:"), "file_path")).alias("source_id"))
 
 
 def first_enclosing(sites: DataFrame, nodes: DataFrame, key: str, kinds: list[str]) -> DataFrame:
     """`key`, `owner_id` of the first node (by line) of the kinds that covers the site."""
     spots = sites.select(F.col(key).alias("id"), "file_path", F.col("line").alias("start_line"), F.col("line").alias("end_line"))
-    found = _around(spots, nodes, kinds)
-    return first_of(found, ["id"], "o_start_line", "o_id").select(F.col("id").alias(key), F.col("o_id").alias("owner_id"))
+    best = _first_around(spots, nodes, kinds, lambda start, end: [start])
+    return best.select(F.col("id").alias(key), F.col("o_id").alias("owner_id"))
 
 
 def top_level(nodes: DataFrame, scopes: DataFrame) -> DataFrame:

@@ -118,3 +118,20 @@ def test_endpoint_handlers_are_distinct_without_a_shuffle_of_pairs(shuffled, spa
     found = structure.endpoint_handlers(ends.unionByName(ends), both.unionByName(nodes))
     assert shuffled(found) < 15 * N
     assert found.count() == N * N and found.distinct().count() == N * N
+
+
+def test_enclosing_nodes_shrink_before_they_are_shuffled(shuffled, spark):
+    outer = spark.range(N).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("id"), F.lit("class").alias("kind"), F.lit("C").alias("name"), F.lit("a.ts").alias("file_path"), F.col("id").cast("int").alias("start_line"), (2000 - F.col("id")).cast("int").alias("end_line"))
+    spots = spark.range(N).select(F.col("id").alias("key"), F.lit("a.ts").alias("file_path"), F.lit(1000).alias("line"))
+    last = f"c{N - 1}"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        first = structure.first_enclosing(spots, outer, "key", ["class"])
+        assert shuffled(first) < 25 * N
+        assert {r["owner_id"] for r in first.collect()} == {"c0"} and first.count() == N
+        none = spots.withColumn("file_path", F.when(F.col("key") == 1, "b.ts").otherwise("a.ts"))
+        scope = structure.enclosing_scope(none, outer, "key")
+        assert {(r["key"] == 1, r["source_id"]) for r in scope.collect()} == {(True, "file:b.ts"), (False, last)} and scope.count() == N
+        assert "SortAggregate" not in first._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
