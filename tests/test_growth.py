@@ -70,6 +70,7 @@ def test_bound_calls_in_one_pass(shuffled, sites, nodes):
 def test_best_targets_are_found_by_name(shuffled, sites, nodes):
     found = resolve.best_targets(sites, nodes, "key")
     assert shuffled(found) < 10 * N
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()  # pairs were ranked by one
     assert {r["target_id"] for r in found.collect()} == {"n0"}
     away = sites.withColumn("file_path", F.when(F.col("key") < 2, "elsewhere.ts")).withColumn("target_name", F.when(F.col("key") == 2, "gone").otherwise("run"))
     got = {r["key"]: r["target_id"] for r in resolve.best_targets(away, nodes, "key").collect()}
@@ -132,6 +133,7 @@ def test_enclosing_nodes_shrink_before_they_are_shuffled(shuffled, spark):
         none = spots.withColumn("file_path", F.when(F.col("key") == 1, "b.ts").otherwise("a.ts"))
         scope = structure.enclosing_scope(none, outer, "key")
         assert {(r["key"] == 1, r["source_id"]) for r in scope.collect()} == {(True, "file:b.ts"), (False, last)} and scope.count() == N
+        assert "partial_min(o_name" in first._jdf.queryExecution().executedPlan().toString()  # pairs shrink in their own task
         assert "SortAggregate" not in first._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
