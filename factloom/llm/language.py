@@ -57,11 +57,34 @@ class Model:
         self.langs, self.priors, self.pieces = langs, priors, pieces
         self.longest = max(map(len, pieces), default=1)
         self.starts = {p[:i] for p in pieces for i in range(1, len(p) + 1)}
-        self.table = dict.fromkeys(self.starts, -1) | {p: k for k, p in enumerate(pieces)}
         self.probs = np.array([*pieces.values(), (UNKNOWN,) * len(langs)], np.float64).reshape(len(pieces) + 1, len(langs))
+        self._grow()
         self.row, self.before = {}, {}
         self.scores = self.scores_before = np.zeros((1024, len(langs)))
 
+    def _grow(self) -> None:
+        """The pieces as a trie of arrays. A code point has a state after the root, a column after other states and a piece."""
+        state = {p: k for k, p in enumerate(self.starts)}
+        self.piece = np.full(len(state), -1)
+        for k, p in enumerate(self.pieces):
+            self.piece[state[p]] = k
+        later = {c: k for k, c in enumerate(sorted({p[-1] for p in state if len(p) > 1}), 1)}
+        inner = {p: k for k, p in enumerate({p[:-1] for p in state if len(p) > 1}, 1)}
+        self.inner = np.zeros(len(state), np.int64)  # row 0 and column 0 lead nowhere
+        self.next = np.full((len(inner) + 1, len(later) + 1), -1, np.int32)
+        self.none = max((ord(c) for p in state for c in p), default=0) + 1  # stands for all code points from here on
+        self.root, self.column, self.single = np.full(self.none + 1, -1), np.zeros(self.none + 1, np.int64), np.full(self.none + 1, len(self.pieces))
+        for p, k in state.items():
+            self.inner[k] = inner.get(p, 0)
+            if len(p) > 1:
+                self.next[inner[p[:-1]], later[p[-1]]] = k
+            else:
+                self.root[ord(p)] = k
+                if p in self.pieces:
+                    self.single[ord(p)] = self.piece[k]
+        for c, k in later.items():
+            self.column[ord(c)] = k
+
     def forward(self, word: str) -> np.ndarray:
         s, k = MARK + word, len(self.langs)
         n = len(s)
@@ -85,32 +108,28 @@ class Model:
         return np.log(np.maximum(alpha[n], 1e-300)) + scale
 
     def forward_many(self, words: list[str]) -> np.ndarray:
-        """forward() of short words together: pieces are looked up word by word, sums run place by place."""
-        by_start: list[list[int]] = [[] for _ in range(SHORT + 1)]
-        get, unknown = self.table.get, len(self.pieces)
-        for k, word in enumerate(words):
-            s, n, base = MARK + word, len(word) + 1, k << 24
-            for i in range(n):
-                p = get(s[i : i + 1], -2)
-                edges = by_start[i]
-                edges.append(base | (i + 1) << 16 | (p if p >= 0 else unknown))
-                if p == -2:
-                    continue
-                for j in range(i + 2, min(n, i + self.longest) + 1):
-                    p = get(s[i:j])
-                    if p is None:
-                        break
-                    if p >= 0:
-                        edges.append(base | j << 16 | p)
-        alpha = np.zeros((len(words), SHORT + 2, len(self.langs)))
-        alpha[:, 0] = 1
-        for i, edges in enumerate(by_start):
-            if edges:
-                e = np.array(edges, np.int64)
-                at = e >> 24
-                alpha[at, (e >> 16) & 255] += alpha[at, i] * self.probs[e & 65535]  # a word and end occur once for each start
+        """forward() of short words together: place by place, all words take a step through the trie at once."""
+        codes = np.minimum(np.frombuffer("".join([MARK + w for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32), self.none)
+        root, column, single = self.root[codes], self.column[codes], self.single[codes]
         lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        return np.log(np.maximum(alpha[np.arange(len(words)), lengths], 1e-300))
+        offsets, most = np.cumsum(lengths) - lengths, int(lengths.max())
+        alpha = np.zeros((most + 1, len(words), len(self.langs)))
+        alpha[0] = 1
+        for i in range(most):
+            at = np.flatnonzero(lengths > i)
+            alpha[i + 1, at] += alpha[i, at] * self.probs[single[offsets[at] + i]]  # a word and end occur once for each start
+            state = root[offsets[at] + i]
+            for j in range(i + 2, most + 1):
+                on = (state >= 0) & (lengths[at] >= j)
+                at, state = at[on], state[on]
+                if not len(at):
+                    break
+                state = self.next[self.inner[state], column[offsets[at] + j - 1]]
+                piece = self.piece[state]
+                hit = (state >= 0) & (piece >= 0)
+                to = at[hit]
+                alpha[j, to] += alpha[i, to] * self.probs[piece[hit]]
+        return np.log(np.maximum(alpha[lengths, np.arange(len(words))], 1e-300))
 
     def learn(self, words: set[str]) -> None:
         """Puts the words' scores into the memo."""
@@ -167,18 +186,25 @@ def train(docs: DataFrame, vocabulary: str) -> Model:
     def count(batches):
         pieces = sentencepiece.SentencePieceProcessor(model_proto=sent.value)
         sums: Counter = Counter()
-        for batch in batches:
-            by_lang: dict[str, Counter] = {}
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[lang, -1] += 1
-                by_lang.setdefault(lang, Counter()).update(text_words(text))
+        by_lang: dict[str, Counter] = {}
+
+        def cut():
             for lang, words in by_lang.items():
                 for ids, times in zip(pieces.encode(list(words), num_threads=1), words.values()):
                     for i in ids:
                         sums[lang, i] += times
+            by_lang.clear()
+
+        for batch in batches:
+            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[lang, -1] += 1
+                by_lang.setdefault(lang, Counter()).update(text_words(text))
+            if sum(map(len, by_lang.values())) > _MEMO:
+                cut()
             if len(sums) > 1_000_000:
                 yield _batch(sums)
-                sums = Counter()
+                sums.clear()
+        cut()
         yield _batch(sums)
 
     def _batch(sums):

@@ -36,6 +36,22 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(m.forward_many(words), [m.forward(w) for w in words])
 
 
+def test_words_step_through_the_pieces_together():
+    m, asked = model(), []
+
+    class Watched(dict):
+        def get(self, *a):
+            asked.append(a)
+            return dict.get(self, *a)
+
+    words = [a + b for a in ("a", "ab", "éb", "\U00020000a", "zz") for b in ("", "b", "ba", "aab" * 7)]
+    want = [m.forward(w) for w in words]
+    for name, v in vars(m).items():
+        if isinstance(v, dict):
+            setattr(m, name, Watched(v))
+    assert np.allclose(m.forward_many(words), want) and not asked  # no look-up for each place of each word
+
+
 def test_forward_survives_long_words():
     assert np.isfinite(model().forward("ab" * 20_000)).all()
 
