@@ -37,7 +37,7 @@ KNOWN, HIDDEN = 2e-5, 16
 STEPS, LANES, RATE = 16, 512, 0.1
 SHARE = 1e-6
 BUFFER = 400_000
-#: Tokens that are scored together.
+#: Tokens that are scored together, of several batches: one long document leaves few lanes to a small batch.
 TOGETHER = 1_500_000
 END = ""
 _FLUSH = 300_000
@@ -81,11 +81,20 @@ class Network:
             at += v.size
 
     def step(self, prev: np.ndarray, h: np.ndarray):
-        g, a = self.w["x"][prev], h @ self.w["u"]
-        zr = 1 / (1 + np.exp(-(g[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN])))
+        g, a = self.w["x"].take(prev, axis=0), h @ self.w["u"]
+        zr = g[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
         z, r, inner = zr[:, :HIDDEN], zr[:, HIDDEN:], a[:, 2 * HIDDEN :]
-        n = np.tanh(g[:, 2 * HIDDEN :] + r * inner)
-        return n + z * (h - n), z, r, n, inner
+        n = r * inner
+        n += g[:, 2 * HIDDEN :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return new, z, r, n, inner
 
     def output(self, h: np.ndarray, ids: np.ndarray, learn: dict | None = None):
         """(log P of each id from its state, None); with learn, the gradients go there and (None, those of the states) come back.
@@ -115,28 +124,30 @@ class Network:
             whole = (h / total[:, None]).T @ p
             learn["c"], learn["cb"] = whole[:-1], whole[-1]
             dh = (p @ w["c"].T) / total[:, None]
-            learn["o"], learn["ob"] = np.zeros_like(w["o"]), np.zeros_like(w["ob"])
+            moves = np.zeros_like(outer)
         share = share / total
         order = np.argsort(cls, kind="stable")
         bounds = np.searchsorted(cls[order], np.arange(len(self.first)))
-        sorted_h, sorted_ids, within = h[order], ids[order], np.ones(n, share.dtype)
+        sorted_h, sorted_ids, within = h.take(order, axis=0), ids[order] - self.first[cls[order]], np.ones(n, share.dtype)
         back = np.zeros((n, HIDDEN), h.dtype) if learn is not None else None
-        for k in range(len(self.first) - 1):
-            a, b = self.first[k], self.first[k + 1]
+        first, bounds = self.first.tolist(), bounds.tolist()
+        for k in range(len(first) - 1):
+            a, b = first[k], first[k + 1]
             i, j = bounds[k], bounds[k + 1]
             if b - a < 2 or i == j:
                 continue
-            hs, want, each = sorted_h[i:j], sorted_ids[i:j] - a, places[: j - i]
+            hs, want, each = sorted_h[i:j], sorted_ids[i:j], places[: j - i]
             p, total = soft(hs, outer[a:b].T)
             if learn is None:
                 within[i:j] = p[each, want] / total
                 continue
             p[each, want] -= total
-            by = 1 / total[:, None]
-            whole = p.T @ (hs * by)
-            learn["o"][a:b], learn["ob"][a:b] = whole[:, :-1], whole[:, -1]
-            back[i:j] = (p @ w["o"][a:b]) * by
+            within[i:j] = by = 1 / total
+            np.matmul(p.T, hs * by[:, None], out=moves[a:b])
+            np.matmul(p, w["o"][a:b], out=back[i:j])
         if learn is not None:
+            learn["o"], learn["ob"] = moves[:, :-1], moves[:, -1]
+            back *= within[:, None]
             dh[order] += back
             return None, dh
         out, tiny = np.empty(n), 1e-37
@@ -222,14 +233,31 @@ class Network:
             ids[: load[k], k] = np.concatenate([docs[i] for i in lane])
         active = np.searchsorted(-load, -np.arange(int(load[0])), "left")  # lanes longer than t
         out = np.zeros(ids.shape)
-        h = np.zeros((len(lanes), HIDDEN), np.float32)
-        prev, states, spots = np.full(len(lanes), end), [], []
+        h = np.zeros((len(lanes), HIDDEN), self.w["u"].dtype)
+        states, spots, gates = [], [], slice(0, 2 * HIDDEN)
+        sign = np.repeat(np.float32([-1, 1]), [2 * HIDDEN, HIDDEN])  # step() with the gates' sums negated in the weights
+        x, u = self.w["x"] * sign, self.w["u"] * sign
         for t in range(len(ids)):
             n = active[t]
-            h = self.step(prev[:n], h[:n] * (prev[:n] != end)[:, None])[0]
+            if not states:  # what the coming steps read, gathered at once
+                before = np.vstack([np.full((1, len(lanes)), end) if t == 0 else ids[t - 1 : t], ids[t : t + 63]])[:, :n]
+                read, keep = x.take(before, axis=0), (before != end)[:, :, None].astype(h.dtype)
+            at = len(states)
+            h = h[:n] * keep[at, :n]
+            g, a = read[at, :n], h @ u
+            a[:, gates] += g[:, gates]
+            zr, new = a[:, gates], a[:, 2 * HIDDEN :]
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            new *= zr[:, HIDDEN:]
+            new += g[:, 2 * HIDDEN :]
+            np.tanh(new, out=new)
+            h -= new
+            h *= zr[:, :HIDDEN]
+            h += new
             states.append(h)
             spots.append(n)
-            prev = ids[t]
             if len(states) == 64 or t + 1 == len(ids):
                 first = t + 1 - len(states)
                 got = self.output(np.concatenate(states), np.concatenate([ids[first + k, :m] for k, m in enumerate(spots)]))[0]
@@ -334,6 +362,38 @@ def trained(docs: DataFrame, sent) -> np.ndarray:
     return np.round(np.concatenate([np.frombuffer(r["v"]) / r["n"] for r in sorted(found, key=lambda r: r["k"])]), 6)
 
 
+def score_batches(batches, vocab: Vocabulary, weights: np.ndarray):
+    """A task's rows with what the head of the vocabulary and the network give them; `tail`: the words of the rest."""
+    net = Network(vocab.net_counts)
+    net.load(weights)
+    logs = np.log10(vocab.counts + 1.0)
+    out, nets, size = [], [], 0
+
+    def together():
+        model = net.score(nets, vocab.end) / math.log(10)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.bool_()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[3] for x in out], pa.int64()), pa.array([x[4] for x in out], pa.float64()), pa.array(model + np.array([x[5] for x in out])), pa.array([x[6] for x in out], pa.list_(pa.binary())).cast(pa.list_(pa.string()))],
+            ["doc_id", "held_out", "n_tokens", "n_known", "base", "model", "tail"],
+        )
+
+    for batch in batches:
+        for key, held, text in zip(*(c.to_pylist() for c in batch.columns)):
+            words, ids = vocab.ids(text)
+            known = ids[ids >= 0]
+            tail = [words[k] for k in np.flatnonzero(ids[:-1] < 0)]
+            n_shared = len(ids) - int((known < vocab.size).sum())
+            base = float(logs[known].sum())
+            shared = float(logs[known[known >= vocab.size]].sum())
+            out.append((key, held, len(ids), int((vocab.counts[known] > 0).sum()), base - len(ids) * vocab.log_base, shared - n_shared * vocab.log_shared, tail))
+            nets.append(vocab.for_network(ids))
+            size += len(ids)
+            if size >= TOGETHER:
+                yield together()
+                out, nets, size = [], [], 0
+    if out:
+        yield together()
+
+
 def scored(docs: DataFrame, held_out) -> DataFrame:
     """`doc_id`, `held_out`, `n_tokens`, `n_known`, `train_tokens`, `base_score`, `score` of every row."""
     spark = docs.sparkSession
@@ -349,30 +409,7 @@ def scored(docs: DataFrame, held_out) -> DataFrame:
     weights = spark.sparkContext.broadcast(trained(train, sent))
 
     def run(batches):
-        vocab = sent.value
-        net = Network(vocab.net_counts)
-        net.load(weights.value)
-        logs = np.log10(vocab.counts + 1.0)
-        for batch in batches:
-            out, nets, size, first = [], [], 0, 0
-            ids_col, held_col = batch.column(0), batch.column(1)
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                words, ids = vocab.ids(text)
-                known = ids[ids >= 0]
-                tail = [words[k] for k in np.flatnonzero(ids[:-1] < 0)]
-                n_shared = len(ids) - int((known < vocab.size).sum())
-                base = float(logs[known].sum())
-                shared = float(logs[known[known >= vocab.size]].sum())
-                out.append((len(ids), int((vocab.counts[known] > 0).sum()), base - len(ids) * vocab.log_base, shared - n_shared * vocab.log_shared, tail))
-                nets.append(vocab.for_network(ids))
-                size += len(ids)
-                if size >= TOGETHER or i + 1 == len(batch.column(2)):
-                    model = net.score(nets, vocab.end) / math.log(10)
-                    yield pa.RecordBatch.from_arrays(
-                        [ids_col.slice(first, len(out)), held_col.slice(first, len(out)), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64()), pa.array(model + np.array([x[3] for x in out])), pa.array([x[4] for x in out], pa.list_(pa.binary())).cast(pa.list_(pa.string()))],
-                        ["doc_id", "held_out", "n_tokens", "n_known", "base", "model", "tail"],
-                    )
-                    out, nets, size, first = [], [], 0, i + 1
+        yield from score_batches(batches, sent.value, weights.value)
 
     made = rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, tail array<string>")
     made = materialize(made.withColumn("row", F.monotonically_increasing_id()), "scored")

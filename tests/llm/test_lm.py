@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from factloom.llm import lm
@@ -93,3 +94,18 @@ def test_training_reads_every_token(monkeypatch):
         monkeypatch.setattr(n, "output", lambda h, ids, learn=None: read.update(ids.tolist()) or output(h, ids, learn))  # noqa: B023
         n.train(stream, 0, {})
         assert read == Counter(stream.tolist())
+
+
+def test_texts_of_several_batches_are_scored_together(monkeypatch):
+    vocab = lm.Vocabulary([(lm.END, 9), ("a", 5), ("b", 4), ("c", 2)], 20, 4)
+    weights = lm.Network(vocab.net_counts).flat()
+    texts = ["a b a", None, "", "b zz c", "a " * 30, "zz", "c c A"]
+    columns = lambda i, j: [pa.array(range(i, j), pa.int64()), pa.array([False] * (j - i)), pa.array(texts[i:j], pa.string())]
+    one = [pa.RecordBatch.from_arrays(columns(i, i + 1), ["doc_id", "held_out", "text"]) for i in range(7)]
+    got = list(lm.score_batches(one, vocab, weights))
+    assert len(got) == 1 and got[0].column(0).to_pylist() == list(range(7)) and got[0].column(2).to_pylist() == [4, 1, 1, 4, 31, 2, 4]
+    assert got[0].column(6).to_pylist() == [[], [], [], ["zz"], [], ["zz"], []]
+    monkeypatch.setattr(lm, "TOGETHER", 30)
+    parts = list(lm.score_batches(one, vocab, weights))
+    assert [len(x) for x in parts] == [5, 2]
+    assert np.allclose(np.concatenate([x.column(5) for x in parts]), got[0].column(5)) and list(lm.score_batches([], vocab, weights)) == []
