@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -43,8 +44,12 @@ def postings(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return each.select(key, F.col("f.col").alias("col"), F.posexplode("f.terms").alias("pos", "term"))
 
 
+#: The term of the posting that ends a row; its position is the row's number of terms. No search asks for it.
+END = ""
+
+
 class Index(NamedTuple):
-    """An inverted index: `postings` (term, key, col, pos) in ranges of terms, `lengths` (key, len), `stats` (n, average)."""
+    """An inverted index: `postings` (term, key, col, pos), each file sorted by term, `lengths` (key, len), `stats` (n, average)."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -52,18 +57,30 @@ class Index(NamedTuple):
 
 
 def index(rows: DataFrame, key: str, columns: list[str]) -> Index:
-    """One shuffle, by ranges of terms, so that a stored index is read for the terms of a query alone."""
-    posted = postings(rows, key, columns).select("term", key, "col", "pos")
-    ranged = posted.repartitionByRange("term").sortWithinPartitions("term", key)
-    count = sum((F.size(search_terms(F.coalesce(F.col(c), F.lit("")))) for c in columns), F.lit(0))
-    lengths = rows.select(key, count.cast("long").alias("len"))
-    return Index(ranged, lengths, lengths.agg(F.count("*").alias("n"), F.avg("len").alias("average")))
-
-
-def stored(made: Index, tag: str = "index") -> Index:
-    """The index as tables of the shared folder."""
-    lengths = materialize(made.lengths, f"{tag}-lengths")
-    return Index(materialize(made.postings, f"{tag}-postings"), lengths, materialize(lengths.agg(F.count("*").alias("n"), F.avg("len").alias("average")), f"{tag}-stats"))
+    """One pass and no shuffle: each partition is sorted by term, so that a stored index is read for the terms of a query alone."""
+    terms = [f"_t{i}" for i in range(len(columns))]
+    cut = rows.select(key, *[search_terms(F.coalesce(F.col(c), F.lit(""))).alias(t) for c, t in zip(columns, terms)])
+    field = lambda col, terms, start: F.struct(F.lit(col).alias("col"), terms.alias("terms"), start.alias("start"))
+    fields = [field(i, F.col(t), F.lit(0)) for i, t in enumerate(terms)]
+    last = field(-1, F.array(F.lit(END)), sum((F.size(t) for t in terms), F.lit(0)))
+    each = cut.select(key, F.explode(F.array(*fields, last)).alias("f"))
+    posted = each.select(key, F.col("f.col").alias("col"), F.col("f.start").alias("start"), F.posexplode("f.terms").alias("pos", "term"))
+    return _of(posted.select("term", key, "col", (F.col("start") + F.col("pos")).alias("pos")).sortWithinPartitions("term", key), key)
+
+
+def _of(posted: DataFrame, key: str) -> Index:
+    lengths = posted.where(F.col("term") == END).select(key, F.col("pos").cast("long").alias("len"))
+    return Index(posted, lengths, lengths.agg(F.count("*").alias("n"), F.avg("len").alias("average")))
+
+
+def stored(made: Index, store: Callable[[DataFrame, str], DataFrame] | None = None) -> Index:
+    """The index with its postings as a table of the shared folder; with `store` each of its tables is stored by that."""
+    posted = store(made.postings, "postings") if store else materialize(made.postings, "index-postings")
+    out = _of(posted, made.lengths.columns[0])
+    if store is None:
+        return out
+    lengths = store(out.lengths, "lengths")
+    return Index(posted, lengths, store(out.stats, "stats"))
 
 
 def phrase_hits(posted: DataFrame, phrase: list[str], key: str) -> DataFrame:

@@ -3,7 +3,7 @@
 A snapshot is a folder of Parquet tables; manifest.json names the current one and is replaced last, so a
 reader never sees half a refresh. A refresh reads only files whose size or time of change is new, extracts those
 whose hash changed, and resolves again what they or the names that they declare can move, so that it equals a cold
-build. The search index is stored with the snapshot, in ranges of terms.
+build. The search index is stored with the snapshot, each file sorted by term.
 """
 
 from __future__ import annotations
@@ -139,9 +139,7 @@ class Repository:
             return self.spark.read.schema(table.schema).parquet(f"{path}/{name}")
 
         nodes, _, _ = repo.assemble(raw, stored, (self.nodes, self.edges) if usable else None, paths, store)
-        made = text.index(nodes, "id", SEARCHED)
-        for name, table in zip(made._fields, made):
-            table.write.parquet(f"{path}/index-{name}")
+        text.stored(text.index(nodes, "id", SEARCHED), lambda table, name: store(table, f"index-{name}"))
         rebound = 0
         if usable:
             same = ["source_id", "target_id", "file_path", "line", "target_name"]

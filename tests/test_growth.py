@@ -137,3 +137,17 @@ def test_enclosing_nodes_shrink_before_they_are_shuffled(shuffled, spark):
         assert "SortAggregate" not in first._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_an_index_is_built_without_a_shuffle(spark, shuffled):
+    from factloom.operators import text
+
+    rows = spark.createDataFrame([(i, "of the Éther of this" if i % 2 else None, "the of") for i in range(N)] + [(N, "", " - ")], "id long, a string, b string")
+    made = text.index(rows, "id", ["a", "b"])
+    assert shuffled(made.postings) == 0
+    assert made.postings.count() == N // 2 * 7 + N // 2 * 2 + N + 1  # each row has one posting more, its end
+    held = text.stored(made)
+    assert {r["id"]: r["len"] for r in held.lengths.collect()} == {**{i: 7 if i % 2 else 2 for i in range(N)}, N: 0}
+    assert held.stats.first()["n"] == N + 1
+    assert {(r["id"], r["tf"]) for r in text.phrase_hits(held.postings, ["of", "th"], "id").collect()} == {(i, 2) for i in range(1, N, 2)}
+    assert text.ranked(held, "ether", "id").count() == N // 2
