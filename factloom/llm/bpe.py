@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import give_back, text_batches
+from factloom.llm.common import sliced, text_batches, tidy
 
 LEAF = 16
 #: Distinct matches that a worker remembers before it starts anew; a speed-up only.
@@ -150,6 +150,15 @@ def codec_of(raw: bytes, pattern: str) -> Codec:
     return _codecs[key]
 
 
+def coded_batches(batches, codec: Codec, id_col: str = "doc_id"):
+    """A task's rows; what is made of a text lives no longer than its slice."""
+    for batch in sliced(batches):
+        ids = pa.array(map(codec.encode, batch.column(1).to_pylist()), pa.binary())
+        decoded = pa.array((codec.decode(x.as_py()) for x in ids), pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), ids, decoded], [id_col, "ids", "decoded"])
+    codec.forget()
+
+
 def encode_decode(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`id_col`, `ids` (binary, little-endian unsigned 32-bit) and `decoded` (binary) for each row.
 
@@ -163,15 +172,9 @@ def encode_decode(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "d
     schema = rows.select(id_col).withColumns({"ids": F.lit(b""), "decoded": F.lit(b"")}).schema
 
     def run(batches):
-        codec = codec_of(sent.value, pattern)
-        for batch in batches:
-            ids = [codec.encode(t) for t in batch.column(1).to_pylist()]
-            decoded = [codec.decode(x) for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], [id_col, "ids", "decoded"])
-        codec.forget()
-        give_back()
-
-    return rows.mapInArrow(run, schema)
+        yield from coded_batches(batches, codec_of(sent.value, pattern), id_col)
+
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def op7_byte_bpe(spark, sf_dir: str, vocabulary: str | None = None) -> DataFrame:

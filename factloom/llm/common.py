@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from factloom.functions.storage import discard, shared_dir
 from factloom.functions.storage import materialize as _materialize
 
-__all__ = ["BATCH", "WORD", "ascii_lower", "ascii_lower_col", "byte_words", "discard", "find_words", "fold", "give_back", "lower_byte_words", "materialize", "shared_dir", "table", "text_batches"]
+__all__ = ["BATCH", "WORD", "ascii_lower", "ascii_lower_col", "byte_words", "discard", "find_words", "fold", "give_back", "lower_byte_words", "materialize", "shared_dir", "sliced", "table", "text_batches", "tidy"]
 
 #: Rows of an Arrow batch of whole texts, in place of Spark's default of 10,000.
 BATCH = 2000
+#: Bytes of a slice of an Arrow batch, from which Python objects are made at once.
+SLICE = 2_000_000
 
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -59,6 +61,24 @@ def give_back() -> None:
         pass  # another C library
 
 
+def sliced(batches):
+    """The batches in slices of about SLICE bytes, without a copy: what is made of their rows stays small, too."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * SLICE // max(SLICE, batch.nbytes))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def tidy(run):
+    """run, a generator over batches, and then give_back(), once all that run held is free."""
+
+    def tidied(batches):
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -27,7 +27,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import fold, give_back, table, text_batches
+from factloom.llm.common import fold, sliced, table, text_batches, tidy
 
 MARK = "▁"
 ALPHA = 0.1
@@ -195,7 +195,7 @@ def train(docs: DataFrame, vocabulary: str) -> Model:
                         sums[lang, i] += times
             by_lang.clear()
 
-        for batch in batches:
+        for batch in sliced(batches):
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 sums[lang, -1] += 1
                 by_lang.setdefault(lang, Counter()).update(text_words(text))
@@ -211,7 +211,7 @@ def train(docs: DataFrame, vocabulary: str) -> Model:
         keys = list(sums)
         return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array(list(sums.values()), pa.int64())], ["lang", "piece", "n"])
 
-    found = docs.select("text", "lang").where("lang is not null").mapInArrow(count, "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()  # languages x pieces
+    found = docs.select("text", "lang").where("lang is not null").mapInArrow(tidy(count), "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()  # languages x pieces
     langs = sorted({r["lang"] for r in found}, key=lambda x: x.encode())
     vocab = sentencepiece.SentencePieceProcessor(model_proto=proto)
     names = {i: p for i in range(vocab.get_piece_size()) if usable(p := vocab.id_to_piece(i))}
@@ -238,12 +238,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         if key not in _models:
             _models.clear()
             _models[key] = Model(*sent.value)
-        for batch in batches:
+        for batch in sliced(batches):
             out = _models[key].predict_all(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], ["doc_id", "lang_pred", "score"])
-        give_back()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
 
 
 def recognised(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -255,13 +254,12 @@ def recognised(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
         if key not in _models:
             _models.clear()
             _models[key] = Model(*sent.value)
-        for batch in batches:
+        for batch in sliced(batches):
             found = _models[key].predict_all(batch.column(at).to_pylist())
             yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
         _models.clear()
-        give_back()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def learned(docs: DataFrame, vocabulary: str | None = None) -> Model:

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import discard, give_back, lower_byte_words, materialize, table
+from factloom.llm.common import discard, lower_byte_words, materialize, sliced, table, tidy
 
 PERMS, ROWS, BANDS = 80, 5, 32
 SALT = 256
@@ -163,7 +163,7 @@ def features(docs: DataFrame, width: int) -> DataFrame:
     """`doc_id`, `t1`, `t2`, `n`, `set_id`, `bands`, `bits` for every row; one pass."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             ns, ids, bands, bits = [], [], [], []
             for text in batch.column(3).to_pylist():
                 s = shingle_set(text, width)
@@ -178,9 +178,8 @@ def features(docs: DataFrame, width: int) -> DataFrame:
                 ["doc_id", "t1", "t2", "n", "set_id", "bands", "bits"],
             )
         _hashes.clear()
-        give_back()
 
-    return _keyed(docs, "doc_id").mapInArrow(run, "doc_id long, t1 long, t2 long, n long, set_id binary, bands array<long>, bits binary")
+    return _keyed(docs, "doc_id").mapInArrow(tidy(run), "doc_id long, t1 long, t2 long, n long, set_id binary, bands array<long>, bits binary")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -346,12 +345,11 @@ def block_pairs(cells: DataFrame, percent: int, every: bool) -> DataFrame:
             yield _pairs(out)
         if cell:
             yield _pairs(search(cell))
-        give_back()
 
     def _pairs(out):
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64())], ["u", "c", "gap"])
 
-    found = cells.repartition("band", "a", "b").sortWithinPartitions("band", "a", "b", "at").mapInArrow(run, "u long, c long, gap double")
+    found = cells.repartition("band", "a", "b").sortWithinPartitions("band", "a", "b", "at").mapInArrow(tidy(run), "u long, c long, gap double")
     if every:
         return found.select(F.greatest("u", "c").alias("u"), F.least("u", "c").alias("c")).distinct()
     return found.groupBy("u").agg(F.min_by("c", F.struct("gap", "c")).alias("c"))

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import byte_words, discard, give_back, materialize, table
+from factloom.llm.common import byte_words, discard, materialize, sliced, table, tidy
 
 ROUNDS = 3
 CONFIDENT = 0.5
@@ -203,7 +203,7 @@ def _scan(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         row = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[tuple] = []
             for doc_id, text, digest in zip(*(c.to_pylist() for c in batch.columns)):
                 text, row = text or "", row + 1
@@ -217,9 +217,8 @@ def _scan(docs: DataFrame) -> DataFrame:
                     yield _rows(out)
                     out = []
             yield _rows(out)
-        give_back()
 
-    return docs.select(F.col("doc_id").cast("long"), "text", _digest("text")).mapInArrow(run, _ROW)
+    return docs.select(F.col("doc_id").cast("long"), "text", _digest("text")).mapInArrow(tidy(run), _ROW)
 
 
 _NAMES = [x.split()[0] for x in _ROW.split(", ")]
@@ -247,15 +246,14 @@ def cue_counts(docs: DataFrame, cues: DataFrame) -> DataFrame:
                     out[c] += n
             return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], ["cue", "n"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 words.update(byte_words(text))
                 if len(words) > _FLUSH:
                     yield sums()
         yield sums()
-        give_back()
 
-    counts = docs.select("text").mapInArrow(run, "cue string, n long")
+    counts = docs.select("text").mapInArrow(tidy(run), "cue string, n long")
     if not few:
         counts = counts.join(cues, "cue", "left_semi")
     return counts.groupBy("cue").agg(F.sum("n").alias("seen"))
@@ -328,6 +326,20 @@ def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
+def masked_batches(batches, at: int, names: list[str]):
+    """A task's rows with the column at masked; the spans found are the column after those named."""
+
+    def safe(text, found):
+        more = [("found", x["s"], x["e"]) for x in found or () if text and x["e"] <= len(text)]
+        spans = [*base_spans(text), *more] if text else []
+        return mask(text, spans) if spans else text
+
+    for batch in sliced(batches):
+        columns = [batch.column(i) for i in range(len(names))]
+        columns[at] = pa.array(map(safe, batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()), pa.string())
+        yield pa.RecordBatch.from_arrays(columns, names)
+
+
 def masked(docs: DataFrame) -> DataFrame:
     """docs with every base and found span of `text` masked, and `n_chars`, if there is one, to match.
 
@@ -342,15 +354,7 @@ def masked(docs: DataFrame) -> DataFrame:
     at, schema = docs.columns.index("text"), docs.schema
 
     def run(batches):
-        for batch in batches:
-            texts = []
-            for text, found in zip(batch.column(at).to_pylist(), batch.column(len(schema)).to_pylist()):
-                more = [("found", x["s"], x["e"]) for x in found or () if text and x["e"] <= len(text)]
-                spans = [*base_spans(text), *more] if text else []
-                texts.append(mask(text, spans) if spans else text)
-            columns = [batch.column(i) for i in range(len(schema))]
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, schema.names)
-
-    out = joined.mapInArrow(run, schema)
+        yield from masked_batches(batches, at, schema.names)
+
+    out = joined.mapInArrow(tidy(run), schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in schema.names else out
