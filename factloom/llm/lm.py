@@ -45,6 +45,11 @@ _FLUSH = 300_000
 PART = 8192
 
 
+def by_number(numbers: np.ndarray) -> np.ndarray:
+    """The stable order of ids or classes. All are under 1 / KNOWN + 2, and numpy sorts 16 bits by counting, not comparing."""
+    return np.argsort(numbers.astype(np.uint16) if len(numbers) and numbers.max() < 1 << 16 else numbers, kind="stable")
+
+
 class Network:
     """Weights by name. word_class and first give each id's class and each class's first id."""
 
@@ -117,16 +122,21 @@ class Network:
 
         cls = self.word_class[ids]
         h = np.concatenate([h, one], axis=1)
-        p, total = soft(h, inner)
-        share, dh = p[places, cls], None
-        if learn is not None:
+        if learn is None:
+            share, total, dh = np.empty(n, h.dtype), np.empty(n, h.dtype), None
+            for at in range(0, n, 4096):  # so few rows that the softmax stays in the cache
+                p, total[at : at + 4096] = soft(h[at : at + 4096], inner)
+                share[at : at + 4096] = p[places[: len(p)], cls[at : at + 4096]]
+        else:
+            p, total = soft(h, inner)
+            share = p[places, cls]
             p[places, cls] -= total
             whole = (h / total[:, None]).T @ p
             learn["c"], learn["cb"] = whole[:-1], whole[-1]
             dh = (p @ w["c"].T) / total[:, None]
             moves = np.zeros_like(outer)
         share = share / total
-        order = np.argsort(cls, kind="stable")
+        order = by_number(cls)
         bounds = np.searchsorted(cls[order], np.arange(len(self.first)))
         sorted_h, sorted_ids, within = h.take(order, axis=0), ids[order] - self.first[cls[order]], np.ones(n, share.dtype)
         back = np.zeros((n, HIDDEN), h.dtype) if learn is not None else None
@@ -199,8 +209,10 @@ class Network:
             dx, befores = dx.reshape(-1, 3 * HIDDEN), befores.reshape(-1, HIDDEN)
             learn["u"] = np.concatenate([befores.T @ dx[:, : 2 * HIDDEN], befores.T @ dn_r.reshape(-1, HIDDEN)], axis=1)
             flat_ids = x.ravel()
-            order = np.argsort(flat_ids, kind="stable")
-            seen, starts = np.unique(flat_ids[order], return_index=True)
+            order = by_number(flat_ids)
+            in_order = flat_ids[order]
+            starts = np.flatnonzero(np.append(True, in_order[1:] != in_order[:-1]))
+            seen = in_order[starts]
             size = int(real.sum())
             self._move("x", np.add.reduceat(dx[order], starts) / size, sums, seen)
             for key, v in learn.items():
@@ -210,9 +222,12 @@ class Network:
         """One adaptive step along a gradient; rows not given have none."""
         if key not in sums:
             sums[key] = np.full_like(self.w[key], 1e-8)
-        held = sums[key][rows] + g * g
+        held = g * g
+        held += sums[key][rows]
         sums[key][rows] = held
-        self.w[key][rows] -= RATE * g / np.sqrt(held)
+        np.sqrt(held, out=held)
+        np.divide(RATE * g, held, out=held)
+        self.w[key][rows] -= held
 
     def score(self, docs: list[np.ndarray], end: int) -> np.ndarray:
         """Natural log-likelihood of each document, the sum over all its tokens."""
@@ -239,10 +254,10 @@ class Network:
         x, u = self.w["x"] * sign, self.w["u"] * sign
         for t in range(len(ids)):
             n = active[t]
-            if not states:  # what the coming steps read, gathered at once
-                before = np.vstack([np.full((1, len(lanes)), end) if t == 0 else ids[t - 1 : t], ids[t : t + 63]])[:, :n]
+            if t % 16 == 0:  # what the coming steps read, gathered at once, and so little that it stays in the cache
+                before = np.vstack([np.full((1, len(lanes)), end) if t == 0 else ids[t - 1 : t], ids[t : t + 15]])[:, :n]
                 read, keep = x.take(before, axis=0), (before != end)[:, :, None].astype(h.dtype)
-            at = len(states)
+            at = t % 16
             h = h[:n] * keep[at, :n]
             g, a = read[at, :n], h @ u
             a[:, gates] += g[:, gates]
@@ -308,6 +323,7 @@ class Vocabulary:
         self.index = {w: i for i, (w, _) in enumerate(top + rest)}
         self.counts = np.array([c for _, c in top + rest], np.int64)
         self.size, self.end = len(top), self.index[last]
+        self.top = {w: i for i, (w, _) in enumerate(top)}
         self.total, self.distinct = total, distinct
         shared = total - int(self.counts[: self.size].sum())
         self.log_shared = math.log10(max(1, shared + distinct - self.size + 1))
@@ -321,6 +337,12 @@ class Vocabulary:
         ids[-1] = self.end
         return words, ids
 
+    def network_ids(self, text: str | None) -> np.ndarray:
+        """for_network() of ids(), by the few words that have ids there."""
+        words = lower_byte_words(text)
+        words.append(END.encode())
+        return np.fromiter(map(self.top.get, words, repeat(self.size)), np.int64, len(words))
+
     def for_network(self, ids: np.ndarray) -> np.ndarray:
         return np.where((ids < 0) | (ids >= self.size), self.size, ids)
 
@@ -333,7 +355,7 @@ def trained(docs: DataFrame, sent) -> np.ndarray:
         net, sums, held, size, seen = Network(vocab.net_counts), {}, [], 0, 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                ids = vocab.for_network(vocab.ids(text)[1])
+                ids = vocab.network_ids(text)
                 held.append(ids)
                 size += len(ids)
                 if size >= BUFFER:

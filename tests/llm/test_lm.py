@@ -109,3 +109,22 @@ def test_texts_of_several_batches_are_scored_together(monkeypatch):
     parts = list(lm.score_batches(one, vocab, weights))
     assert [len(x) for x in parts] == [5, 2]
     assert np.allclose(np.concatenate([x.column(5) for x in parts]), got[0].column(5)) and list(lm.score_batches([], vocab, weights)) == []
+
+
+def test_ids_and_classes_are_sorted_by_counting(monkeypatch):
+    kinds, sort = [], np.argsort
+    n, r = net(), np.random.default_rng(6)
+    docs = [np.append(r.integers(1, 41, m), 0) for m in (9000, 5, 200)]
+    monkeypatch.setattr(np, "argsort", lambda a, **more: kinds.append((a.dtype.itemsize, len(a))) or sort(a, **more))
+    n.train(np.concatenate(docs), 0, {})
+    n.score(docs, 0)
+    assert kinds and all(size <= 2 for size, rows in kinds if rows > len(docs))
+    numbers = r.integers(0, 70_000, 1000)
+    for some in (numbers, numbers % 50, numbers[:0]):
+        assert (lm.by_number(some) == sort(some, kind="stable")).all()
+
+
+def test_ids_for_training_are_those_of_the_network():
+    vocab = lm.Vocabulary([("a", 900_000), ("b", 50), ("c", 3), (lm.END, 7)], 1_000_000, 5)
+    for text in (None, "", "A b c  zz", "b\na é"):
+        assert vocab.network_ids(text).tolist() == vocab.for_network(vocab.ids(text)[1]).tolist()
