@@ -23,15 +23,14 @@ own; an empty table gives an empty table; columns besides id and text are ignore
 from __future__ import annotations
 
 import math
-from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import fold, lower_byte_words, materialize, table
+from factloom.llm.common import fold, materialize, sliced, table
 
 KNOWN, HIDDEN = 2e-5, 16
 STEPS, LANES, RATE = 16, 512, 0.1
@@ -248,34 +247,35 @@ class Network:
             ids[: load[k], k] = np.concatenate([docs[i] for i in lane])
         active = np.searchsorted(-load, -np.arange(int(load[0])), "left")  # lanes longer than t
         out = np.zeros(ids.shape)
-        h = np.zeros((len(lanes), HIDDEN), self.w["u"].dtype)
+        h = np.zeros((HIDDEN, len(lanes)), self.w["u"].dtype)
         states, spots, gates = [], [], slice(0, 2 * HIDDEN)
-        sign = np.repeat(np.float32([-1, 1]), [2 * HIDDEN, HIDDEN])  # step() with the gates' sums negated in the weights
-        x, u = self.w["x"] * sign, self.w["u"] * sign
+        sign = np.repeat(np.float32([-1, 1]), [2 * HIDDEN, HIDDEN])  # step() with lanes as columns and the gates' sums negated in the weights
+        x, u = self.w["x"] * sign, (self.w["u"] * sign).T.copy()
         for t in range(len(ids)):
             n = active[t]
             if t % 16 == 0:  # what the coming steps read, gathered at once, and so little that it stays in the cache
                 before = np.vstack([np.full((1, len(lanes)), end) if t == 0 else ids[t - 1 : t], ids[t : t + 15]])[:, :n]
-                read, keep = x.take(before, axis=0), (before != end)[:, :, None].astype(h.dtype)
+                read, keep = x.take(before, axis=0).transpose(0, 2, 1).copy(), (before != end).astype(h.dtype)
+                going = keep.all(axis=1).tolist()
             at = t % 16
-            h = h[:n] * keep[at, :n]
-            g, a = read[at, :n], h @ u
-            a[:, gates] += g[:, gates]
-            zr, new = a[:, gates], a[:, 2 * HIDDEN :]
+            h = h[:, :n] if going[at] else h[:, :n] * keep[at, :n]
+            g, a = read[at, :, :n], u @ h
+            a[gates] += g[gates]
+            zr, new = a[gates], a[2 * HIDDEN :]
             np.exp(zr, out=zr)
             zr += 1
             np.reciprocal(zr, out=zr)
-            new *= zr[:, HIDDEN:]
-            new += g[:, 2 * HIDDEN :]
+            new *= zr[HIDDEN:]
+            new += g[2 * HIDDEN :]
             np.tanh(new, out=new)
-            h -= new
-            h *= zr[:, :HIDDEN]
+            h = h - new
+            h *= zr[:HIDDEN]
             h += new
             states.append(h)
             spots.append(n)
             if len(states) == 64 or t + 1 == len(ids):
                 first = t + 1 - len(states)
-                got = self.output(np.concatenate(states), np.concatenate([ids[first + k, :m] for k, m in enumerate(spots)]))[0]
+                got = self.output(np.concatenate(states, axis=1).T, np.concatenate([ids[first + k, :m] for k, m in enumerate(spots)]))[0]
                 at = 0
                 for k, m in enumerate(spots):
                     out[first + k, :m] = got[at : at + m]
@@ -288,24 +288,36 @@ class Network:
         return sums
 
 
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words of all texts in one array, none of them a Python object, and the number of each text's words."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    words, bounds = parts.flatten(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
+    real = pc.not_equal(words, "")  # white space at an end gives an empty one
+    before = np.append(0, np.cumsum(real.to_numpy(zero_copy_only=False)))
+    return words.filter(real), np.diff(before[bounds])
+
+
 def token_counts(docs: DataFrame) -> DataFrame:
     """`word`, `c` over all texts given; the end token is the empty word. A task sums before it sends."""
 
     def run(batches):
-        sums: Counter = Counter()
-
-        def rows():
-            out = pa.RecordBatch.from_arrays([pa.array(list(sums), pa.binary()).cast(pa.string()), pa.array(list(sums.values()), pa.int64())], ["word", "c"])
-            sums.clear()
-            return out
+        held: list[pa.Table] = []
+        size = 0
+        for batch in sliced(batches):
+            found = pc.value_counts(tokens(batch.column(0))[0])
+            held += [pa.table([found.field(0), found.field(1)], ["word", "c"]), pa.table([[END], [batch.num_rows]], ["word", "c"])]
+            size += len(found)
+            if size > 2 * _FLUSH:
+                held = [summed(held)]
+                size = held[0].num_rows
+                if size > _FLUSH:
+                    yield from held[0].to_batches()
+                    held, size = [], 0
+        if held:
+            yield from summed(held).to_batches()
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                sums.update(lower_byte_words(text))
-                sums[END.encode()] += 1
-            if len(sums) > _FLUSH:
-                yield rows()
-        yield rows()
+    def summed(held):
+        return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")]).select(["word", "c_sum"]).rename_columns(["word", "c"])
 
     return docs.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -320,28 +332,35 @@ class Vocabulary:
         top = sorted(top if last in dict(top) else [*top, (last, 0)], key=lambda x: (-x[1], x[0]))
         taken = dict(top)
         rest = [x for x in head if x[0] not in taken]
-        self.index = {w: i for i, (w, _) in enumerate(top + rest)}
+        self.words = pa.array([w for w, _ in top + rest], pa.binary()).cast(pa.string())
         self.counts = np.array([c for _, c in top + rest], np.int64)
-        self.size, self.end = len(top), self.index[last]
-        self.top = {w: i for i, (w, _) in enumerate(top)}
+        self.size, self.end = len(top), [w for w, _ in top].index(last)
         self.total, self.distinct = total, distinct
         shared = total - int(self.counts[: self.size].sum())
         self.log_shared = math.log10(max(1, shared + distinct - self.size + 1))
         self.net_counts = np.append(self.counts[: self.size], shared)
         self.log_base = math.log10(total + distinct + 1)
 
+    def all_ids(self, texts: pa.Array, known: int | None = None) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Ids of all tokens of the texts among the first `known` words (-1: none of them), each text's number of tokens, the words."""
+        words, sizes = tokens(texts)
+        found = pc.fill_null(pc.index_in(words, self.words[:known]), -1).to_numpy()
+        ids, inner = np.full(len(words) + len(sizes), self.end), np.ones(len(words) + len(sizes), bool)
+        inner[np.cumsum(sizes + 1) - 1] = False
+        ids[inner] = found
+        return ids, sizes + 1, words
+
     def ids(self, text: str | None) -> tuple[list[bytes], np.ndarray]:
-        words = lower_byte_words(text)
-        ids = np.empty(len(words) + 1, np.int64)
-        ids[:-1] = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
-        ids[-1] = self.end
-        return words, ids
+        ids, _, words = self.all_ids(pa.array([text], pa.string()))
+        return words.cast(pa.binary()).to_pylist(), ids
+
+    def all_network_ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """for_network() of all_ids(), by the few words that have ids there."""
+        ids, sizes, _ = self.all_ids(texts, self.size)
+        return self.for_network(ids), sizes
 
     def network_ids(self, text: str | None) -> np.ndarray:
-        """for_network() of ids(), by the few words that have ids there."""
-        words = lower_byte_words(text)
-        words.append(END.encode())
-        return np.fromiter(map(self.top.get, words, repeat(self.size)), np.int64, len(words))
+        return self.all_network_ids(pa.array([text], pa.string()))[0]
 
     def for_network(self, ids: np.ndarray) -> np.ndarray:
         return np.where((ids < 0) | (ids >= self.size), self.size, ids)
@@ -353,15 +372,16 @@ def trained(docs: DataFrame, sent) -> np.ndarray:
     def run(batches):
         vocab = sent.value
         net, sums, held, size, seen = Network(vocab.net_counts), {}, [], 0, 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                ids = vocab.network_ids(text)
-                held.append(ids)
-                size += len(ids)
-                if size >= BUFFER:
-                    net.train(np.concatenate(held), vocab.end, sums)
-                    held, seen, size = [], seen + size, 0
-        if held:
+        for batch in sliced(batches):
+            ids, sizes = vocab.all_network_ids(batch.column(0))
+            done = 0
+            for end in np.cumsum(sizes).tolist():
+                if size + end - done >= BUFFER:
+                    net.train(np.concatenate([*held, ids[done:end]]), vocab.end, sums)
+                    held, seen, size, done = [], seen + size + end - done, 0, end
+            held.append(ids[done:])
+            size += len(ids) - done
+        if size:
             net.train(np.concatenate(held), vocab.end, sums)
         if seen + size:
             flat = net.flat().astype(np.float64) * (seen + size)
@@ -388,30 +408,31 @@ def score_batches(batches, vocab: Vocabulary, weights: np.ndarray):
     """A task's rows with what the head of the vocabulary and the network give them; `tail`: the words of the rest."""
     net = Network(vocab.net_counts)
     net.load(weights)
-    logs = np.log10(vocab.counts + 1.0)
+    logs, seen = np.log10(vocab.counts + 1.0), vocab.counts > 0
     out, nets, size = [], [], 0
 
     def together():
+        rows = pa.Table.from_batches(out).combine_chunks().to_batches()[0]
         model = net.score(nets, vocab.end) / math.log(10)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.bool_()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[3] for x in out], pa.int64()), pa.array([x[4] for x in out], pa.float64()), pa.array(model + np.array([x[5] for x in out])), pa.array([x[6] for x in out], pa.list_(pa.binary())).cast(pa.list_(pa.string()))],
-            ["doc_id", "held_out", "n_tokens", "n_known", "base", "model", "tail"],
-        )
-
-    for batch in batches:
-        for key, held, text in zip(*(c.to_pylist() for c in batch.columns)):
-            words, ids = vocab.ids(text)
-            known = ids[ids >= 0]
-            tail = [words[k] for k in np.flatnonzero(ids[:-1] < 0)]
-            n_shared = len(ids) - int((known < vocab.size).sum())
-            base = float(logs[known].sum())
-            shared = float(logs[known[known >= vocab.size]].sum())
-            out.append((key, held, len(ids), int((vocab.counts[known] > 0).sum()), base - len(ids) * vocab.log_base, shared - n_shared * vocab.log_shared, tail))
-            nets.append(vocab.for_network(ids))
-            size += len(ids)
-            if size >= TOGETHER:
-                yield together()
-                out, nets, size = [], [], 0
+        return rows.set_column(5, "model", pa.array(model + rows.column(5).to_numpy()))
+
+    for batch in sliced(batches):
+        ids, sizes, words = vocab.all_ids(batch.column(2))
+        starts, rest, shared = np.cumsum(sizes) - sizes, ids < 0, (ids < 0) | (ids >= vocab.size)
+        each = np.where(rest, 0.0, logs[ids])
+        base = np.add.reduceat(each, starts) - sizes * vocab.log_base
+        model = np.add.reduceat(np.where(shared, each, 0.0), starts) - np.add.reduceat(shared, starts, dtype=np.int64) * vocab.log_shared
+        known = np.add.reduceat(~rest & seen[ids], starts, dtype=np.int64)
+        inner = np.ones(len(ids), bool)
+        inner[starts + sizes - 1] = False
+        n_tail = np.append(0, np.cumsum(np.add.reduceat(rest, starts, dtype=np.int64)))
+        tail = pa.ListArray.from_arrays(pa.array(n_tail, pa.int32()), words.filter(pa.array(rest[inner])))
+        out.append(pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.array(known), pa.array(base), pa.array(model), tail], ["doc_id", "held_out", "n_tokens", "n_known", "base", "model", "tail"]))
+        nets += np.split(vocab.for_network(ids), starts[1:])
+        size += len(ids)
+        if size >= TOGETHER:
+            yield together()
+            out, nets, size = [], [], 0
     if out:
         yield together()
 

@@ -1,5 +1,6 @@
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -128,3 +129,41 @@ def test_ids_for_training_are_those_of_the_network():
     vocab = lm.Vocabulary([("a", 900_000), ("b", 50), ("c", 3), (lm.END, 7)], 1_000_000, 5)
     for text in (None, "", "A b c  zz", "b\na é"):
         assert vocab.network_ids(text).tolist() == vocab.for_network(vocab.ids(text)[1]).tolist()
+
+
+def test_tokens_of_odd_texts():
+    texts = ["", None, " ", "A b", " \tA\x0b\x0cb\r\n", "a\x1cb\x1d\x1e\x1f c", "a\x00b\x85c\xa0d\u3000e", "\u0130\u212aK \u00c9\U0001f600 Z", "zz  zz"]
+    want = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    for i in range(len(texts)):  # slices, too
+        words, sizes = lm.tokens(pa.array(texts, pa.string())[i:])
+        assert words.to_pylist() == sum(want[i:], []) and sizes.tolist() == [len(w) for w in want[i:]]
+    vocab = lm.Vocabulary([("zz", 9), ("a", 8), ("k", 3)], 20, 5)
+    ids, sizes, _ = vocab.all_ids(pa.array(texts, pa.string()))
+    known = {"zz": 0, "a": 1, "k": 2}
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [[known.get(w, -1) for w in t] + [vocab.end] for t in want]
+
+
+def test_counting_and_ids_make_no_object_of_a_word(spark, monkeypatch):
+    class Docs:
+        select = groupBy = agg = lambda self, *_: self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            self.run = run
+            return self
+
+    docs = lm.token_counts(Docs())
+    texts = [" ".join(f"word{i}" for i in range(k, k + 10_000)) for k in range(0, 100_000, 5000)] + [None]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 4], pa.string())], ["text"]) for i in range(0, len(texts), 4)]
+    for flush in (300_000, 7000):
+        monkeypatch.setattr(lm, "_FLUSH", flush)
+        tracemalloc.start()
+        found = list(docs.run(batches))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 5_000_000
+        sums = Counter()
+        for batch in found:
+            for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[word] += c
+        want = Counter(w for t in texts if t for w in t.split())
+        assert sums == want + Counter({lm.END: len(texts)})
